@@ -19,7 +19,7 @@ def fit_encoding(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, class, code); one row per distinct class of a categorical column."""
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), _as_text(train, c).alias("class")) for c in columns
-    ])).alias("s")).select("s.*").where(F.col("class").isNotNull()).groupBy("variable", "class").agg()
+    ])).alias("s")).select("s.*").where(F.col("class").isNotNull()).distinct()
     w = Window.partitionBy("variable").orderBy("class")
     return long.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
 

@@ -92,7 +92,7 @@ def horizon_features(df: DataFrame, spec: PanelSpec, sum_vars: Sequence[str], me
         # Slice-wide number of periods with a value, per variable and horizon.
         counts = slice_positions(reduced, spec.period, variables).withColumn(
             "horizon", F.explode(F.filter(F.array(*[F.lit(int(x)) for x in horizons]), lambda x: x >= p))
-        ).groupBy("horizon").pivot("variable", list(variables)).agg(F.count("*")).select(
+        ).groupBy("horizon").pivot("variable", list(variables)).agg(F.count(F.lit(1))).select(
             "horizon", *[F.col(v).cast("double").alias(f"_{v}_n") for v in variables]
         )
         out = out.join(F.broadcast(counts), "horizon", "left")
