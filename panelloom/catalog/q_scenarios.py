@@ -118,7 +118,7 @@ def scn_compare(spark, sf):
     return C.compare(table, "total", KINDS)
 
 
-@query("scn_final_table", sql([EVENTS, PLAN, WIDE, LONG], """select scenario_id, target, round(arg_max(value, year), 2) as value,
+@query("scn_final_table", sql([EVENTS, PLAN, WIDE, LONG], """select scenario_id, target, round(arg_max(value, year) + 1e-9, 2) as value,
     case when target like 'carbon%' then 'kgC/tree' else 't/ha' end as unit from long_ group by 1, 2""", "scenario_id target unit", "value", 2), digits=2)
 def scn_final_table(spark, sf):
     return C.final_table(long(spark, sf).withColumn("value", F.col("value") + 1e-9))

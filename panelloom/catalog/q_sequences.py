@@ -18,6 +18,7 @@ from panelloom.operators import reshape as V
 from panelloom.operators import sequence as Q
 from panelloom.operators import split as X
 from panelloom.operators.prepare import static_first
+from panelloom.session import materialize
 from panelloom.sources import presets
 from panelloom.sources.readers import read_table
 
@@ -441,7 +442,7 @@ def smp_cap(spark, sf):
     row_number() over (partition by period, boot order by md5('42:' || boot || ':' || entity), entity) as rn
     from panel, (select unnest(range(0, 20)) as boot)) where rn <= 40""", "period entity boot"))
 def smp_boot(spark, sf):
-    p = presets.events_panel(spark, sf).select("period", "entity")
+    p = materialize(presets.events_panel(spark, sf).select("period", "entity"))
     return X.bootstrap_samples(p, ["period"], "entity", 20, 40).select(
         "period", "entity", F.col("boot").cast("bigint").alias("boot"))
 

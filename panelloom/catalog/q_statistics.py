@@ -12,6 +12,7 @@ from panelloom.operators import aggregate as G
 from panelloom.operators import metrics as M
 from panelloom.operators import sensitivity as N
 from panelloom.operators.split import bootstrap_samples
+from panelloom.session import materialize
 from panelloom.sources import presets
 from panelloom.sources.readers import read_table
 
@@ -197,7 +198,7 @@ ROWS = "rows0 as (select period, entity, clim_mean, clim_n::double as clim_n, cr
 @query("sen_hsic_pair", sql([EVENTS, ROWS, hsic_sql("rows0", FEATURES, TARGETS, 3, 30)], "select * from hv", "period boot feature target", "hsic"))
 def sen_hsic_pair(spark, sf):
     """The index of every bootstrap sample."""
-    rows = presets.events_panel(spark, sf).where("crop_af is not null").select("period", "entity", *FEATURES, *TARGETS)
+    rows = materialize(presets.events_panel(spark, sf).where("crop_af is not null").select("period", "entity", *FEATURES, *TARGETS))
     sigmas = N.bandwidths(rows, ["period"], [*FEATURES, *TARGETS])
     samples = bootstrap_samples(rows, ["period"], "entity", 3, 30)
     return N.hsic_values(samples, sigmas, ["period"], FEATURES, TARGETS).withColumn("boot", F.col("boot").cast("bigint"))

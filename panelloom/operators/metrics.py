@@ -91,7 +91,7 @@ def binary_metrics(df: DataFrame, label: str, predicted: str, score: str | None
 
 def confusion(df: DataFrame, label: str, predicted: str, classes: Sequence) -> DataFrame:
     """Truth x prediction counts, one column per predicted class."""
-    table = df.groupBy(F.col(label).alias("truth")).pivot(predicted, list(classes)).agg(F.count("*"))
+    table = df.groupBy(F.col(label).alias("truth")).pivot(predicted, list(classes)).agg(F.count(F.lit(1)))
     return table.select("truth", *[F.coalesce(f"`{c}`", F.lit(0)).alias(f"pred_{c}") for c in classes])
 
 

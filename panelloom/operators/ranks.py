@@ -13,10 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import broadcast_if_small, freeze
+from panelloom.session import broadcast_if_small, freeze, materialize
 
 BUCKETS = 256
 HASH_DIGITS = 3
+# Rows up to which a whole table may be sorted in one task.
+SMALL_TABLE = 200_000
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -27,28 +29,41 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     )
 
 
-def _bucketed(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping[str, Column],
-              buckets: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(distinct values with weights and bucket, bucket totals with offsets, key columns)."""
-    keys = [*groups, "_all"]
-    totals = (
-        df.where(F.col(value).isNotNull())
-        .withColumn("_all", F.lit(0))
-        .groupBy(*keys, value)
+def count_below(cuts: str | Column, value: str | Column, size: int = BUCKETS) -> Column:
+    """Number of entries of a sorted array (shorter than ``size``) that are below a value: a
+    binary search in log2(size) lambda steps."""
+    cuts = F.col(cuts) if isinstance(cuts, str) else cuts
+    value = F.col(value) if isinstance(value, str) else value
+    steps = [2**k for k in reversed(range((size - 1).bit_length()))]
+    return F.aggregate(
+        F.lit(steps), F.lit(0),
+        lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0),
+    )
+
+
+def value_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column]) -> DataFrame:
+    """Distinct values with summed weights, written once: the passes below read this
+    reduced table instead of the input."""
+    return materialize(
+        df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*keys, value)
         .agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     )
+
+
+def bucket_values(totals: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str],
+                  buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(totals with a bucket number in value order, bucket weights with offsets and group totals)."""
     probabilities = F.lit([i / buckets for i in range(1, buckets)])
-    # Approximate cut points only steer the load; they are frozen because the
-    # two uses below must agree for the result to be exact.
+    # Approximate cut points only steer the load; they are frozen because both
+    # uses must see the same ones for the result to be exact.
     cuts = freeze(
         totals.groupBy(*keys).agg(
             F.array_distinct(F.percentile_approx(value, probabilities, 10 * buckets)).alias("_cuts")
         )
     )
     bucketed = (
-        totals.join(broadcast_if_small(cuts, 2_000), keys)
-        .withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value))))
-        .drop("_cuts")
+        totals.join(broadcast_if_small(cuts, 2_000), list(keys))
+        .withColumn("_b", count_below("_cuts", value, buckets)).drop("_cuts")
     )
     per_bucket = bucketed.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"{n}_in") for n in weights])
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,44 +72,58 @@ def _bucketed(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping
         {f"{n}_off": F.coalesce(F.sum(f"{n}_in").over(upto), F.lit(0)) for n in weights}
         | {f"{n}_total": F.sum(f"{n}_in").over(whole) for n in weights}
     )
-    return bucketed, offsets, keys
+    return bucketed, offsets
 
 
-def cumulate(df: DataFrame, groups: Sequence[str], value: str,
-             weights: Mapping[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def _before(keys: Sequence[str], value: str):
+    return Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def cumulate(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping[str, Column] | None = None,
+             buckets: int = BUCKETS, small: int = SMALL_TABLE) -> DataFrame:
     """One row per distinct value: weight, weight strictly below, and group total."""
     weights = dict(weights or {"n": F.lit(1)})
-    bucketed, offsets, keys = _bucketed(df, groups, value, weights, buckets)
-    before = (
-        Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    joined = bucketed.join(offsets, [*keys, "_b"]).withColumns(
-        {f"{n}_below": F.col(f"{n}_off") + F.coalesce(F.sum(n).over(before), F.lit(0)) for n in weights}
-    )
-    return joined.select(
-        *groups, value, *[c for n in weights for c in (n, f"{n}_below", f"{n}_total")]
-    )
+    keys = [*groups, "_all"]
+    totals = value_totals(df, keys, value, weights)
+    if totals.count() <= small:
+        # So few distinct values in all that one sort per group is bounded.
+        ranked = totals.withColumns(
+            {f"{n}_below": F.coalesce(F.sum(n).over(_before(keys, value)), F.lit(0)) for n in weights}
+            | {f"{n}_total": F.sum(n).over(Window.partitionBy(*keys)) for n in weights}
+        )
+    else:
+        bucketed, offsets = bucket_values(totals, keys, value, list(weights), buckets)
+        ranked = bucketed.join(offsets, [*keys, "_b"]).withColumns({
+            f"{n}_below": F.col(f"{n}_off") + F.coalesce(F.sum(n).over(_before([*keys, "_b"], value)), F.lit(0))
+            for n in weights
+        })
+    return ranked.select(*groups, value, *[c for n in weights for c in (n, f"{n}_below", f"{n}_total")])
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
-                    probs: Mapping[str, float], buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],
+                    buckets: int = BUCKETS, small: int = SMALL_TABLE) -> DataFrame:
     """Linearly interpolated quantiles per group; only buckets holding a wanted rank are sorted."""
-    bucketed, offsets, keys = _bucketed(df, groups, value, {"n": F.lit(1)}, buckets)
+    keys = [*groups, "_all"]
+    totals = value_totals(df, keys, value, {"n": F.lit(1)})
     position = {q: F.lit(float(p)) * (F.col("n_total") - 1) for q, p in probs.items()}
 
     def holds(lo: Column, width: Column, rank: Column) -> Column:
         return (rank >= lo) & (rank < lo + width)
 
-    wanted = F.lit(False)
-    for pos in position.values():
-        for rank in (F.floor(pos), F.ceil(pos)):
-            wanted = wanted | holds(F.col("n_off"), F.col("n_in"), rank)
-    before = (
-        Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = bucketed.join(offsets.where(wanted), [*keys, "_b"]).withColumn(
-        "_lo", F.col("n_off") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    )
+    if totals.count() <= small:
+        ranked = totals.withColumns({
+            "_lo": F.coalesce(F.sum("n").over(_before(keys, value)), F.lit(0)),
+            "n_total": F.sum("n").over(Window.partitionBy(*keys)),
+        })
+    else:
+        bucketed, offsets = bucket_values(totals, keys, value, ["n"], buckets)
+        wanted = F.lit(False)
+        for pos in position.values():
+            for rank in (F.floor(pos), F.ceil(pos)):
+                wanted = wanted | holds(F.col("n_off"), F.col("n_in"), rank)
+        ranked = bucketed.join(offsets.where(wanted), [*keys, "_b"]).withColumn(
+            "_lo", F.col("n_off") + F.coalesce(F.sum("n").over(_before([*keys, "_b"], value)), F.lit(0))
+        )
     picks = []
     for q, pos in position.items():
         for suffix, rank in (("0", F.floor(pos)), ("1", F.ceil(pos))):
@@ -130,33 +159,34 @@ def seeded_md5(seed: int | str, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def hash_rank(df: DataFrame, strata: Sequence[str], entity: str, seed: int | str,
-              out: str = "rank", total: str = "n_stratum", lead: Sequence[str] = ()) -> DataFrame:
+def hash_rank(df: DataFrame, strata: Sequence[str], entity: str, seed: int | str, out: str = "rank",
+              total: str = "n_stratum", lead: Sequence[str] = (), small: int = SMALL_TABLE) -> DataFrame:
     """Exact 0-based rank by ``(lead..., md5(seed:entity))`` within each stratum.
 
     Buckets are leading hash digits, so even one stratum with most entities
-    spreads evenly over ``16**HASH_DIGITS`` sort groups.
+    spreads evenly over ``16**HASH_DIGITS`` sort groups.  The input is one row
+    per entity and is written once, as it is read twice.
     """
     keys = [*strata, "_all"]
-    tagged = df.withColumn("_all", F.lit(0)).withColumn("_h", seeded_md5(seed, entity))
-    tagged = tagged.withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
+    rows = materialize(df.withColumn("_all", F.lit(0)).withColumn("_h", seeded_md5(seed, entity)))
+    order = [*lead, "_h", entity]
+    if rows.count() <= small:
+        return rows.withColumns({
+            out: (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"),
+            total: F.count("*").over(Window.partitionBy(*keys)),
+        }).drop("_h", "_all")
+    tagged = rows.withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
     per_bucket = tagged.groupBy(*keys, *lead, "_b").agg(F.count("*").alias("_in"))
+    offsets = per_bucket.withColumn(
+        "_off", F.coalesce(F.sum("_in").over(_before([*keys, *lead], "_b")), F.lit(0)))
     if lead:
         per_lead = per_bucket.groupBy(*keys, *lead).agg(F.sum("_in").alias("_lead_in"))
-        w = Window.partitionBy(*keys).orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
-        lead_offsets = per_lead.select(
-            *keys, *lead,
-            F.coalesce(F.sum("_lead_in").over(w), F.lit(0)).alias("_lead_off"),
+        upto = Window.partitionBy(*keys).orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+        per_lead = per_lead.select(
+            *keys, *lead, F.coalesce(F.sum("_lead_in").over(upto), F.lit(0)).alias("_lead_off"),
             F.sum("_lead_in").over(Window.partitionBy(*keys)).alias(total),
         )
-    within = (
-        Window.partitionBy(*keys, *lead).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_bucket.withColumn("_off", F.coalesce(F.sum("_in").over(within), F.lit(0)))
-    if lead:
-        offsets = offsets.join(lead_offsets, [*keys, *lead]).withColumn(
-            "_off", F.col("_off") + F.col("_lead_off")
-        ).drop("_lead_off")
+        offsets = offsets.join(per_lead, [*keys, *lead]).withColumn("_off", F.col("_off") + F.col("_lead_off")).drop("_lead_off")
     else:
         offsets = offsets.withColumn(total, F.sum("_in").over(Window.partitionBy(*keys)))
     inside = Window.partitionBy(*keys, *lead, "_b").orderBy("_h", entity)

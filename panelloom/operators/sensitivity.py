@@ -15,7 +15,7 @@ from panelloom.operators import ranks
 from panelloom.operators.aggregate import boot_summary, dominant_category, order_by_best
 from panelloom.operators.ranks import unpivot
 from panelloom.operators.split import bootstrap_samples
-from panelloom.session import broadcast_if_small, freeze
+from panelloom.session import broadcast_if_small, freeze, materialize
 
 # Distinct values of one (slice, variable) up to which one task finds the
 # bandwidth; larger groups take the distributed search.  Both are exact.
@@ -78,16 +78,19 @@ def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan:
     them: values and shifted values are merged in bucketed order and a running
     count gives every shifted value its rank.  Rows are values x fan, never pairs.
     """
-    bucketed, offsets, bkeys = ranks._bucketed(totals, keys, "value", {"n": F.col("n")}, ranks.BUCKETS)
-    before = Window.partitionBy(*bkeys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    points = freeze(
-        bucketed.join(offsets, [*bkeys, "_b"]).select(
+    # Every group is whole here, so the reduced table is bucketed as it stands.
+    bucketed, offsets = ranks.bucket_values(totals, keys, "value", ["n"])
+    before = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    points = materialize(
+        bucketed.join(offsets, [*keys, "_b"]).select(
             *keys, "value", "n", "_b", "n_off", "n_total", (F.col("n_off") + F.sum("n").over(before)).alias("upto")
         )
     )
     # Bucket edges: the largest value of each bucket, at most BUCKETS per group.
-    edges = freeze(points.groupBy(*keys, "_b").agg(F.max("value").alias("edge"), F.max("upto").alias("bucket_upto")))
-    cuts = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("edge", "_b", "bucket_upto"))).alias("_edges"))
+    edges = points.groupBy(*keys, "_b").agg(F.max("value").alias("edge"))
+    sorted_edges = F.array_sort(F.collect_list(F.struct("edge", "_b")))
+    cuts = edges.groupBy(*keys).agg(sorted_edges.alias("_e")).select(
+        *keys, F.col("_e.edge").alias("_edges"), F.col("_e._b").alias("_ids"))
     base = points.groupBy(*keys).agg(
         F.sum(F.col("n") * F.col("upto")).alias("own"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("ties"),
         F.max("n_total").alias("total"), (F.max("value") - F.min("value")).alias("span"),
@@ -103,15 +106,13 @@ def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan:
             "d", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("j") / (fan + 1)
         )
         asked = points.select(*keys, "value", "n").join(
-            broadcast_if_small(candidates.select(*keys, "which", "j", "d", "_edges"), 50_000), keys
-        ).withColumn("value", F.col("value") + F.col("d"))
+            broadcast_if_small(candidates.select(*keys, "which", "j", "d", "_edges", "_ids", "total"), 5_000), keys
+        ).withColumn("value", F.col("value") + F.col("d")).drop("d")
         # A shifted value falls into the first bucket whose edge reaches it.
-        fits = F.filter("_edges", lambda e: e["edge"] >= F.col("value"))
-        asked = asked.withColumn("_fit", F.get(fits, F.lit(0)))
-        beyond = asked.where("_fit is null").join(state.select(*keys, "which", "total"), [*keys, "which"]).select(
-            *keys, "which", "j", (F.col("n") * F.col("total")).alias("reach"))
-        inside = asked.where("_fit is not null").select(
-            *keys, "which", "j", "value", "n", F.col("_fit._b").alias("_b"), F.lit(1).alias("q"),
+        asked = asked.withColumn("_b", F.get("_ids", ranks.count_below("_edges", "value", 2 * ranks.BUCKETS))).drop("_edges", "_ids")
+        beyond = asked.where("_b is null").select(*keys, "which", "j", (F.col("n") * F.col("total")).alias("reach"))
+        inside = asked.where("_b is not null").select(
+            *keys, "which", "j", "value", "n", "_b", F.lit(1).alias("q"),
             F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("n_off"))
         merged = points.select(
             *keys, F.lit(None).cast("int").alias("which"), F.lit(None).cast("int").alias("j"), "value",
@@ -122,7 +123,7 @@ def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan:
         reached = merged.withColumn("rank", F.sum("c").over(run) + F.max("n_off").over(group)).where("q = 1").select(
             *keys, "which", "j", (F.col("n") * F.col("rank")).alias("reach"))
         counted = reached.unionByName(beyond).groupBy(*keys, "which", "j").agg(F.sum("reach").alias("reach"))
-        judged = candidates.drop("_edges").join(counted, [*keys, "which", "j"]).withColumn(
+        judged = candidates.drop("_edges", "_ids").join(counted, [*keys, "which", "j"]).withColumn(
             "enough", F.col("reach") - F.col("own") + F.col("ties") > F.col("k"))
         step = judged.groupBy(*keys, "which").agg(
             F.max(F.when(~F.col("enough"), F.col("d"))).alias("_lo"), F.min(F.when(F.col("enough"), F.col("d"))).alias("_hi"))
@@ -140,16 +141,19 @@ def bandwidths(df: DataFrame, slices: Sequence[str], columns: Sequence[str],
     Rows are first reduced to distinct values with counts.  1.0 if degenerate.
     """
     keys = [*slices, "variable"]
-    totals = freeze(
+    totals = materialize(
         unpivot(df, slices, columns).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"))
     )
-    sizes = freeze(totals.groupBy(*keys).agg(F.count("*").alias("_distinct")))
-    large = sizes.where(F.col("_distinct") > small_group)
-    distances = _small_bandwidths(
-        totals.join(sizes.where(F.col("_distinct") <= small_group), keys, "left_semi"), keys
-    )
-    if not large.isEmpty():
-        distances = distances.unionByName(_large_bandwidths(totals.join(large, keys, "left_semi"), keys))
+    if totals.count() <= small_group:
+        distances = _small_bandwidths(totals, keys)
+    else:
+        sizes = freeze(totals.groupBy(*keys).agg(F.count("*").alias("_distinct")))
+        large = sizes.where(F.col("_distinct") > small_group)
+        distances = _small_bandwidths(
+            totals.join(sizes.where(F.col("_distinct") <= small_group), keys, "left_semi"), keys
+        )
+        if not large.isEmpty():
+            distances = distances.unionByName(_large_bandwidths(totals.join(large, keys, "left_semi"), keys))
     middle = (F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1")) / 2
     return distances.select(*keys, F.when(middle > 0, F.sqrt(middle / 2)).otherwise(1.0).alias("sigma"))
 
@@ -218,7 +222,7 @@ def hsic_indices(df: DataFrame, key: str, features: Sequence[str], targets: Sequ
                  slices: Sequence[str] = (), n_boot: int = 100, boot_size: int = 500, seed: int = 42) -> DataFrame:
     """Bootstrap summary per (slice, feature, target); all slices are one grouped job."""
     columns = list(dict.fromkeys([*features, *targets]))
-    rows = freeze(df.select(*slices, key, *columns).na.drop(subset=columns))
+    rows = materialize(df.select(*slices, key, *columns).na.drop(subset=columns))
     sigmas = bandwidths(rows, slices, columns)
     samples = bootstrap_samples(rows, slices, key, n_boot, boot_size, seed)
     values = hsic_values(samples, sigmas, slices, features, targets)
@@ -247,7 +251,7 @@ def hsic_by_period(df: DataFrame, entity: str, period: str, category: str, featu
     one = df.withColumn("crop_name", label).groupBy(*slices, entity).agg(
         *[first_value(f, [category, f]).alias(f) for f in features], *[F.avg(t).alias(t) for t in targets]
     ).na.drop(subset=[*features, *targets])
-    one = freeze(one)
+    one = materialize(one)
     enough = one.groupBy(*slices).agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
     kept = one.join(enough.drop("n_obs"), slices, "left_semi")
     return hsic_indices(kept, entity, features, targets, slices, n_boot, boot_size, seed).join(enough, slices)
@@ -289,9 +293,9 @@ def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str], min
         for f in features for t in targets
     ])
     group = ["feature", "target"]
-    cells = df.select(F.explode(pairs).alias("s")).select("s.*").where(
+    cells = materialize(df.select(F.explode(pairs).alias("s")).select("s.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
-    ).groupBy(*group, "x", "y").agg(F.count("*").alias("c"))
+    ).groupBy(*group, "x", "y").agg(F.count("*").alias("c")))
     weight = {"n": F.col("c")}
     middle = F.col("n_below") + (F.col("n") + 1) / 2
     rx = ranks.cumulate(cells, group, "x", weight).select(*group, "x", middle.alias("rx"), "n_total")
@@ -330,7 +334,7 @@ def validate_against_spearman(df: DataFrame, key: str, features: Sequence[str],
                               sample_size: int = 400, seed: int = 42) -> DataFrame:
     """Index next to squared rank correlation on one uniform sample."""
     sample = bootstrap_samples(df.na.drop(subset=[*features, *targets]), [], key, 1, sample_size, seed)
-    sample = freeze(sample)
+    sample = materialize(sample)
     sigmas = bandwidths(sample, [], list(dict.fromkeys([*features, *targets])))
     index = hsic_values(sample, sigmas, [], features, targets).select(
         "feature", "target", F.round("hsic", 4).alias("hsic"))
