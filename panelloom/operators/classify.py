@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelloom import spec as S
 from panelloom.functions import labels as L
 from panelloom.functions.nullsafe import is_below, last_row, last_value, share
-from panelloom.operators.ranks import cumulate
+from panelloom.operators.ranks import cumulate, unpivot
 from panelloom.spec import PanelSpec
 
 
@@ -142,8 +142,6 @@ def ks_two_sample(df: DataFrame, flag: str, parameters: Sequence[str], min_size:
     distinct values.  The p-value is the asymptotic series (an exact small-sample
     p is a deviation not followed).
     """
-    from panelloom.operators.ranks import unpivot
-
     long = unpivot(df.withColumn("_f", F.col(flag).cast("int")), ["_f"], parameters, "parameter")
     steps = cumulate(long, ["parameter"], "value", {"a": F.col("_f"), "b": 1 - F.col("_f")})
     gap = F.abs(
@@ -154,10 +152,12 @@ def ks_two_sample(df: DataFrame, flag: str, parameters: Sequence[str], min_size:
         F.max(gap).alias("ks_stat"), F.max("a_total").alias("n_flagged"), F.max("b_total").alias("n_rest")
     ).where((F.col("n_flagged") > min_size) & (F.col("n_rest") > min_size))
     effective = F.col("n_flagged") * F.col("n_rest") / (F.col("n_flagged") + F.col("n_rest"))
-    lam = F.sqrt(effective) * F.col("ks_stat")
-    series = sum(
-        ((-1.0) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(2, 101)),
-        F.exp(-2.0 * lam * lam),
-    )
-    p = F.when(lam < 0.1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
-    return out.withColumn("p_value", p).orderBy(F.desc("ks_stat"), "parameter")
+    out = out.withColumn("_lam", F.sqrt(effective) * F.col("ks_stat"))
+
+    def term(total, k):
+        sign = F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+        return total + sign * F.exp(-2.0 * k * k * F.col("_lam") * F.col("_lam"))
+
+    series = 2.0 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
+    p = F.when(F.col("_lam") < 0.1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    return out.withColumn("p_value", p).drop("_lam").orderBy(F.desc("ks_stat"), "parameter")
