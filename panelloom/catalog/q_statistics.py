@@ -269,3 +269,19 @@ def top_importance(spark, sf):
     table = read_table(spark, sf, "lineitem").groupBy(
         F.col("l_returnflag").alias("target"), F.year("l_shipdate").alias("feature")).agg(F.avg("l_extendedprice").alias("importance"))
     return M.top_per_group(table, ["target"], "importance", 3, "feature")
+
+
+def _gap_pair(f, t):
+    return f"select '{f}' as feature, '{t}' as target, {f}::double as x, {t}::double as y from panel where {f} is not null and {t} is not null"
+
+
+SPEAR_GAPS = SPEAR[SPEAR.index("),\nrk as"):]
+
+
+@query("sen_spearman_gaps", sql([EVENTS, "cells as (" + " union all ".join(
+    _gap_pair(f, t) for f in ("clim_mean", "clim_n") for t in ("crop_af", "tree_af")) + SPEAR_GAPS],
+    """select feature, target, count(*) as n, round(corr(rx, ry), 4) as spearman_r, round(corr(rx, ry) * corr(rx, ry), 4) as spearman_r2
+    from rk group by 1, 2""", "feature target n", "spearman_r spearman_r2"))
+def sen_spearman_gaps(spark, sf):
+    """Pairs with missing values are ranked over their own complete rows."""
+    return N.spearman(presets.events_panel(spark, sf), ["clim_mean", "clim_n"], ["crop_af", "tree_af"])

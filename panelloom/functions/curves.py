@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.nullsafe import clip
 from panelloom.spec import N_YEARS
 
 
@@ -62,23 +61,27 @@ def yearly_curve(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years:
         .when(c("_rn") < c("_n"), interior)
     ).withColumns({"_mp": F.lag("_m").over(order), "_mn": F.lead("_m").over(order)})
 
+    # Each knot carries the cubic of the segment it starts (the last knot: of the one it ends),
+    # so only four coefficients travel through the explode.
     first, last = c("_rn") == 1, c("_rn") >= c("_n")
+    ay, am = F.when(last, c("_yp")).otherwise(c("_y")), F.when(last, c("_mp")).otherwise(c("_m"))
+    bm = F.when(last, c("_m")).otherwise(c("_mn"))
+    h, d = F.when(last, hp).otherwise(hn), F.when(last, dp).otherwise(dn)
+    df = df.select(
+        *keys, "_rn", "_n", "_x", "_y", "_xn", F.when(last, c("_xp")).otherwise(c("_x")).alias("_a"),
+        ay.alias("_c0"), am.alias("_c1"), ((3 * d - 2 * am - bm) / h).alias("_c2"), ((am + bm - 2 * d) / (h * h)).alias("_c3"),
+    )
     start = F.when(first, F.lit(1)).otherwise(c("_x").cast("int"))
     stop = F.least(F.lit(n_years), F.when(last, F.lit(n_years)).otherwise(c("_xn").cast("int") - 1))
     emits = (first | (c("_rn") <= c("_n"))) & (start <= stop)
-    df = df.where(emits).withColumn("year", F.explode(F.sequence(start, stop)))
+    df = df.where(emits).withColumn("year", F.explode(F.sequence(start, stop))).withColumn("_t", c("year") - c("_a"))
 
-    ax, ay, am = (F.when(last, c(p)).otherwise(c(q)) for p, q in (("_xp", "_x"), ("_yp", "_y"), ("_mp", "_m")))
-    bx, by, bm = (F.when(last, c(q)).otherwise(c(n)) for q, n in (("_x", "_xn"), ("_y", "_yn"), ("_m", "_mn")))
-    h = bx - ax
-    s = (c("year") - ax) / h
-    cubic = (
-        (1 + 2 * s) * (1 - s) * (1 - s) * ay + s * (1 - s) * (1 - s) * h * am
-        + s * s * (3 - 2 * s) * by + s * s * (s - 1) * h * bm
-    )
+    cubic = c("_c0") + c("_t") * (c("_c1") + c("_t") * (c("_c2") + c("_t") * c("_c3")))
     outside = (first & (c("year") < c("_x"))) | (last & (c("year") > c("_x")))
     curve = cubic if extrapolate else F.when(outside, F.lit(0.0)).otherwise(cubic)
     none = F.lit(0.0 if lone_value is None else float(lone_value))
     one = c("_y") if lone_value is None else F.lit(float(lone_value))
-    value = F.when(c("_n") == 0, none).when(c("_n") == 1, one).otherwise(curve)
-    return df.select(*keys, c("year").cast("bigint").alias("year"), clip(value, 0, hi).alias("value"))
+    value = F.greatest(F.lit(0.0), F.when(c("_n") == 0, none).when(c("_n") == 1, one).otherwise(curve))
+    if hi is not None:
+        value = F.least(F.lit(float(hi)), value)
+    return df.select(*keys, c("year").cast("bigint").alias("year"), value.alias("value"))

@@ -125,11 +125,12 @@ def boot_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def order_by_best(summary: DataFrame, slices: Sequence[str] = ()) -> DataFrame:
-    """Features ranked by their largest index over targets."""
-    keys = [*slices, "feature"]
-    best = summary.groupBy(*keys).agg(F.max("hsic_mean").alias("best"))
-    ranked = best.withColumn(
-        "feature_rank",
-        F.row_number().over(Window.partitionBy(*slices, F.lit(0)).orderBy(F.desc("best"), "feature")).cast("bigint"),
-    )
-    return summary.join(ranked.drop("best"), keys)
+    """Features ranked by their largest index over targets.
+
+    Windows over features x targets of one slice, not a join with itself, which
+    would compute the indices twice.
+    """
+    best = F.max("hsic_mean").over(Window.partitionBy(*slices, "feature"))
+    order = Window.partitionBy(*slices, F.lit(0)).orderBy(F.desc("_best"), "feature")
+    return summary.withColumn("_best", best).withColumn(
+        "feature_rank", F.dense_rank().over(order).cast("bigint")).drop("_best")

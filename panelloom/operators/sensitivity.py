@@ -219,10 +219,14 @@ def hsic_values(samples: DataFrame, sigmas: DataFrame, slices: Sequence[str], fe
 
 
 def hsic_indices(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str],
-                 slices: Sequence[str] = (), n_boot: int = 100, boot_size: int = 500, seed: int = 42) -> DataFrame:
-    """Bootstrap summary per (slice, feature, target); all slices are one grouped job."""
+                 slices: Sequence[str] = (), n_boot: int = 100, boot_size: int = 500, seed: int = 42,
+                 written: bool = False) -> DataFrame:
+    """Bootstrap summary per (slice, feature, target); all slices are one grouped job.
+
+    ``written`` says that ``df`` is already a stored table of complete rows.
+    """
     columns = list(dict.fromkeys([*features, *targets]))
-    rows = materialize(df.select(*slices, key, *columns).na.drop(subset=columns))
+    rows = df if written else materialize(df.select(*slices, key, *columns).na.drop(subset=columns))
     sigmas = bandwidths(rows, slices, columns)
     samples = bootstrap_samples(rows, slices, key, n_boot, boot_size, seed)
     values = hsic_values(samples, sigmas, slices, features, targets)
@@ -254,7 +258,7 @@ def hsic_by_period(df: DataFrame, entity: str, period: str, category: str, featu
     one = materialize(one)
     enough = one.groupBy(*slices).agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
     kept = one.join(enough.drop("n_obs"), slices, "left_semi")
-    return hsic_indices(kept, entity, features, targets, slices, n_boot, boot_size, seed).join(enough, slices)
+    return hsic_indices(kept, entity, features, targets, slices, n_boot, boot_size, seed, written=True).join(enough, slices)
 
 
 def top_features(indices: DataFrame, n: int) -> DataFrame:
@@ -284,34 +288,64 @@ def warm_start(df: DataFrame, entity: str, period: str, category: str, numeric:
 def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str], min_pairs: int = 10) -> DataFrame:
     """Spearman rho and its square per (feature, target) over all complete pairs.
 
-    Rows collapse to distinct (x, y) with counts before ranks are joined, and a
-    join key carries its pair, so a frequent value is not a hot key on its own.
+    Where no column has a missing value each variable is ranked once for all its
+    pairs; otherwise every pair is ranked over its own complete rows.
     """
+    columns = list(dict.fromkeys([*features, *targets]))
+    rows = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    ranked = _spearman_complete if not any(missing) else _spearman_pairwise
+    out = ranked(rows, features, targets).where(F.col("n") >= min_pairs)
+    return out.select(
+        "feature", "target", "n", F.round("rho", 4).alias("spearman_r"), F.round(F.col("rho") * F.col("rho"), 4).alias("spearman_r2"))
+
+
+def _spearman_complete(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """One rank table per variable (value -> centred rank), then all correlations in one aggregate."""
+    columns = list(dict.fromkeys([*features, *targets]))
+    steps = ranks.cumulate(unpivot(rows, [], columns), ["variable"], "value")
+    # The rank minus its mean, so large tables lose no precision in the products.
+    centred = materialize(steps.select(
+        "variable", "value", (F.col("n_below") + (F.col("n") + 1) / 2 - (F.col("n_total") + 1) / 2).alias("r")))
+    for c in columns:
+        one = centred.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("r").alias(f"_r_{c}"))
+        rows = rows.join(one, c)
+    pairs = [(f, t) for f in features for t in targets]
+    products = {tuple(sorted((a, b))) for f, t in pairs for a, b in ((f, t), (f, f), (t, t))}
+    names = {p: f"_p{i}" for i, p in enumerate(sorted(products))}
+    sums = rows.agg(F.count("*").alias("n"), *[
+        F.sum(F.col(f"_r_{a}") * F.col(f"_r_{b}")).alias(n) for (a, b), n in names.items()])
+
+    def total(a: str, b: str):
+        return F.col(names[tuple(sorted((a, b)))])
+
+    return sums.select(F.explode(F.array(*[
+        F.struct(
+            F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col("n"),
+            F.when((total(f, f) > 0) & (total(t, t) > 0), total(f, t) / F.sqrt(total(f, f) * total(t, t))).alias("rho"))
+        for f, t in pairs])).alias("s")).select("s.*")
+
+
+def _spearman_pairwise(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Rows collapse to distinct (x, y) per pair with counts before the two ranks are joined."""
     pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).cast("double").alias("x"),
-                 F.col(t).cast("double").alias("y"))
+        F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).alias("x"), F.col(t).alias("y"))
         for f in features for t in targets
     ])
     group = ["feature", "target"]
-    cells = materialize(df.select(F.explode(pairs).alias("s")).select("s.*").where(
+    cells = materialize(rows.select(F.explode(pairs).alias("s")).select("s.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
     ).groupBy(*group, "x", "y").agg(F.count("*").alias("c")))
     weight = {"n": F.col("c")}
-    middle = F.col("n_below") + (F.col("n") + 1) / 2
-    rx = ranks.cumulate(cells, group, "x", weight).select(*group, "x", middle.alias("rx"), "n_total")
-    ry = ranks.cumulate(cells, group, "y", weight).select(*group, "y", middle.alias("ry"))
+    centred = F.col("n_below") + (F.col("n") + 1) / 2 - (F.col("n_total") + 1) / 2
+    rx = ranks.cumulate(cells, group, "x", weight).select(*group, "x", centred.alias("rx"))
+    ry = ranks.cumulate(cells, group, "y", weight).select(*group, "y", centred.alias("ry"))
     joined = cells.join(rx, [*group, "x"]).join(ry, [*group, "y"])
-    # Ranks are centred before squaring so large counts lose no precision.
-    centre = (F.col("n_total") + 1) / 2
-    dx, dy, c = F.col("rx") - centre, F.col("ry") - centre, F.col("c")
+    dx, dy, c = F.col("rx"), F.col("ry"), F.col("c")
     sums = joined.groupBy(*group).agg(
-        F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"),
-        F.sum("c").alias("n"),
-    ).where(F.col("n") >= min_pairs)
+        F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"), F.sum("c").alias("n"))
     rho = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    return sums.select(*group, "n", rho.alias("rho")).select(
-        *group, "n", F.round("rho", 4).alias("spearman_r"), F.round(F.col("rho") * F.col("rho"), 4).alias("spearman_r2")
-    )
+    return sums.select(*group, "n", rho.alias("rho"))
 
 
 def rank_concordance(compared: DataFrame) -> DataFrame:
