@@ -155,8 +155,7 @@ def stage2(rows):
 
 def cascade(spark, sf):
     rows = routed(spark, sf).select(
-        "scenario_id", "population", "tree_failed", "yield_failed", "branch", "main_crop", "sand",
-        all_years().alias("year"))
+        "scenario_id", "population", "tree_failed", "yield_failed", "branch", "main_crop", "sand")
     medians, profile = fallback(spark, sf)
     return I.cascade(rows, knots(spark, sf), medians, profile, stage2)
 

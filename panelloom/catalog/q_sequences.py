@@ -126,8 +126,9 @@ HZ = "hz as (select p.*, h from panel p, (select unnest([5, 10, 20, 30]) as h) w
 
 
 def features(spark, sf, **options):
+    # The panel has one row per (user, day) and leaves its window partitioned by user.
     return H.horizon_features(presets.events_panel(spark, sf), EV, ["clim_n"], ["clim_mean", "clim_max"], [], ["tree_af"],
-                              horizons=HORIZONS, **options)
+                              horizons=HORIZONS, **({"prepared": True} | options))
 
 
 @query("agg_horizon_basic", sql([EVENTS, HZ], """select entity, h as horizon, sum(clim_n)::bigint as clim_n_cum, stddev_pop(clim_n) as clim_n_std,

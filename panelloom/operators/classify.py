@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom import spec as S
@@ -53,10 +53,11 @@ def population_distribution(labelled: DataFrame, labels: Sequence[str], column:
     """Count and percentage (1 dp) per label of a fixed list, zero-filled."""
     spark = labelled.sparkSession
     wanted = spark.createDataFrame([(x,) for x in labels], f"{column} string")
-    counts = labelled.groupBy(column).agg(F.count("*").alias("n"))
-    total = labelled.agg(F.count("*").alias("_total"))
+    # One row per label from here on.
+    counts = labelled.groupBy(column).agg(F.count("*").alias("n")).withColumn(
+        "_total", F.sum("n").over(Window.partitionBy(F.lit(0))))
     return (
-        wanted.join(counts, column, "left").join(total, F.lit(True))
+        wanted.join(counts, column, "left")
         .select(
             column,
             F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),

@@ -45,23 +45,32 @@ def horizon_features(df: DataFrame, spec: PanelSpec, sum_vars: Sequence[str], me
                      statics: Sequence[str] = (), targets: Sequence[str] = (),
                      horizons: Sequence[int] = tuple(S.HORIZONS), enrich_after: int = S.ENRICH_AFTER,
                      recent: int = S.RECENT_WINDOW, legacy_trend: bool = False,
-                     partitions: int | None = None) -> DataFrame:
+                     prepared: bool = False) -> DataFrame:
     """One row per (entity, horizon) with features over periods <= horizon.
 
     The per-period table is repartitioned by entity once; the horizon explode
     and the final aggregate then stay inside that partitioning.  Quantiles run
-    over at most ``max(horizons)`` periods of one entity.
+    over at most ``max(horizons)`` periods of one entity.  ``prepared`` says that
+    the rows are already one per (entity, period) and partitioned by entity; then
+    nothing is shuffled here.
     """
     variables = [*sum_vars, *mean_vars]
-    by_entity = [F.col(spec.entity)]
     p, h = F.col(spec.period), F.col("horizon")
-    reduced = per_period(df.where(p <= max(horizons)), spec, variables, statics, targets)
+    window = df.where(p <= max(horizons))
+    if prepared:
+        reduced = window.select(
+            spec.entity, spec.period, *dict.fromkeys([*variables, *statics, *targets]),
+            *[F.col(v).alias(f"_{v}_sum") for v in variables],
+            *[F.col(v).isNotNull().cast("int").alias(f"_{v}_cnt") for v in variables])
+    else:
+        reduced = per_period(window, spec, variables, statics, targets)
     if legacy_trend:
         positions = slice_positions(reduced, spec.period, variables).groupBy(spec.period).pivot(
             "variable", list(variables)
         ).agg(F.first("pos")).select(spec.period, *[F.col(v).alias(f"_{v}_pos") for v in variables])
         reduced = reduced.join(positions, spec.period, "left")
-    reduced = reduced.repartition(partitions, *by_entity) if partitions else reduced.repartition(*by_entity)
+    if not prepared:
+        reduced = reduced.repartition(spec.entity)
     long = reduced.withColumn(
         "horizon", F.explode(F.filter(F.array(*[F.lit(int(x)) for x in horizons]), lambda x: x >= p))
     )

@@ -17,6 +17,7 @@ from panelloom.operators.horizon import horizon_features
 from panelloom.spec import PanelSpec
 
 YEARLY = PanelSpec("scenario_id", "year")
+STOCKS = ["carbonStem_AF", "carbonStem_TF"]
 
 
 def invalid_reason(scenarios: DataFrame, statics: Sequence[str], climate: Sequence[str], n_years: int = S.N_YEARS) -> Column:
@@ -33,7 +34,10 @@ def invalid_reason(scenarios: DataFrame, statics: Sequence[str], climate: Sequen
 
 def yearly_rows(scenarios: DataFrame, climate: Sequence[str] = tuple(S.CLIMATE), n_years: int = S.N_YEARS,
                 strict: bool = True) -> DataFrame:
-    """One row per (scenario, year); scalars repeat, absent climate is 0, wrong lengths fail."""
+    """One row per (scenario, year); scalars repeat, absent climate is 0, wrong lengths fail.
+
+    Scenarios are partitioned by id before they grow to a row per year.
+    """
     arrays = []
     for c in climate:
         if c not in scenarios.columns:
@@ -43,7 +47,7 @@ def yearly_rows(scenarios: DataFrame, climate: Sequence[str] = tuple(S.CLIMATE),
         else:
             arrays.append(A.spread(c, n_years).alias(c))
     rest = [c for c in scenarios.columns if c not in climate]
-    exploded = scenarios.select(*rest, *arrays).select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in climate])).alias("_i", "_z"))
+    exploded = scenarios.repartition("scenario_id").select(*rest, *arrays).select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in climate])).alias("_i", "_z"))
     return exploded.select(*rest, (F.col("_i") + 1).cast("bigint").alias("year"),
                            *[F.col(f"_z.{c}").cast("double").alias(c) for c in climate])
 
@@ -51,8 +55,12 @@ def yearly_rows(scenarios: DataFrame, climate: Sequence[str] = tuple(S.CLIMATE),
 def inference_grid(yearly: DataFrame, statics: Sequence[str] = tuple(S.STATIC_FEATURES_B2),
                    sum_vars: Sequence[str] = tuple(S.CLIMATE_SUM), mean_vars: Sequence[str] = tuple(S.CLIMATE_MEAN),
                    horizons: Sequence[int] = tuple(S.HORIZONS), **options) -> DataFrame:
-    """Horizon features of scenarios by the same code as training, so both sides agree."""
-    return horizon_features(yearly, YEARLY, sum_vars, mean_vars, statics, horizons=horizons, **options)
+    """Horizon features of scenarios by the same code as training, so both sides agree.
+
+    ``yearly`` comes from ``yearly_rows``, whose scenarios were partitioned before the
+    explode: the yearly rows are unique and need no further shuffle.
+    """
+    return horizon_features(yearly, YEARLY, sum_vars, mean_vars, statics, horizons=horizons, prepared=True, **options)
 
 
 def route(scenarios: DataFrame, p_ok: str = "p_ok", p_fail: str | None = "p_fail",
@@ -90,29 +98,47 @@ def lookup_median(scenarios: DataFrame, medians: DataFrame, crop: str = "main_cr
     )
 
 
-def cascade(routed_yearly: DataFrame, knots: DataFrame, medians: DataFrame, profile: DataFrame,
-            stage2: Callable[[DataFrame], DataFrame], n_years: int = S.N_YEARS) -> DataFrame:
+def curve_arrays(knots: DataFrame, n_years: int = S.N_YEARS) -> DataFrame:
+    """Both carbon curves of a scenario as yearly arrays, one row per scenario."""
+    curves = yearly_curve(knots.repartition("scenario_id"), ["scenario_id", "target"], "horizon", "value", n_years)
+
+    def array(target: str) -> Column:
+        points = F.array_sort(F.collect_list(F.when(F.col("target") == target, F.struct("year", "value"))))
+        return F.transform(points, lambda p: p["value"])
+
+    return curves.groupBy("scenario_id").agg(*[array(t).alias(f"_{t}") for t in STOCKS])
+
+
+def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: DataFrame,
+            stage2: Callable[[DataFrame], DataFrame], climate: Sequence[str] = (), n_years: int = S.N_YEARS) -> DataFrame:
     """Yearly rows with all four targets.
 
-    ``routed_yearly``: one row per (scenario, year) with routing columns and features.
+    ``routed``: one row per scenario with routing columns, features and ``climate`` arrays.
     ``knots``: (scenario_id, target, horizon, value) of the stage-1 models.
     ``stage2`` adds ``yield_AF_raw`` and ``yield_TA_raw`` to rows that carry ``carbonStem_AF``.
-    The four branches are disjoint conditions over one table; every scenario
-    gets all four targets, also on full failure.
+    Curves join as arrays at scenario grain and the years are exploded last, so
+    yearly rows are never shuffled.  The four branches are disjoint conditions over
+    one table; every scenario gets all four targets, also on full failure.
     """
-    curves = yearly_curve(knots.repartition("scenario_id"), ["scenario_id", "target"], "horizon", "value", n_years)
-    wide = curves.groupBy("scenario_id", "year").agg(*[
-        F.max(F.when(F.col("target") == t, F.col("value"))).alias(f"_{t}") for t in ("carbonStem_AF", "carbonStem_TF")])
-    rows = lookup_median(routed_yearly, medians).join(wide, ["scenario_id", "year"], "left").join(
-        F.broadcast(stunted_curve(profile, n_years)), "year", "left")
+    zeros = F.array_repeat(F.lit(0.0), n_years)
+    ratios = stunted_curve(profile, n_years).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("year", "ratio"))), lambda p: p["ratio"]).alias("_ratios"))
+    # The curve table's size is underestimated after its explode, so the planner may not broadcast it.
+    rows = lookup_median(routed.repartition("scenario_id"), medians).join(
+        curve_arrays(knots, n_years).hint("merge"), "scenario_id", "left"
+    ).join(F.broadcast(ratios), F.lit(True))  # one row of n_years ratios
     model, stunted = F.col("branch") == "model", F.col("branch") == "stunted"
+    fallback = F.transform("_ratios", lambda r: F.greatest(F.lit(0.0), r * F.col("stunted_final")))
     rows = rows.withColumns({
-        "carbonStem_AF": F.when(model, F.coalesce("_carbonStem_AF", F.lit(0.0)))
-        .when(stunted, clip(F.coalesce("ratio", F.lit(1.0)) * F.col("stunted_final"), 0)).otherwise(0.0),
-        "carbonStem_TF": F.when(model, F.coalesce("_carbonStem_TF", F.lit(0.0))).otherwise(0.0),
-    }).drop("_carbonStem_AF", "_carbonStem_TF", "ratio", "stunted_final")
+        "carbonStem_AF": F.when(model, F.coalesce("_carbonStem_AF", zeros)).when(stunted, fallback).otherwise(zeros),
+        "carbonStem_TF": F.when(model, F.coalesce("_carbonStem_TF", zeros)).otherwise(zeros),
+    }).drop("_carbonStem_AF", "_carbonStem_TF", "_ratios", "stunted_final")
+    rest = [c for c in rows.columns if c not in (*climate, *STOCKS)]
+    series = [*climate, *STOCKS]
+    yearly = rows.select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in series])).alias("_i", "_z")).select(
+        *rest, (F.col("_i") + 1).cast("bigint").alias("year"), *[F.col(f"_z.{c}").alias(c) for c in series])
     failed = F.col("yield_failed") == 1
-    return stage2(rows).withColumns({
+    return stage2(yearly).withColumns({
         t: F.when(failed, 0.0).otherwise(clip(f"{t}_raw", 0)) for t in ("yield_AF", "yield_TA")})
 
 

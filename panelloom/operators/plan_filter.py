@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.labels import pair_label
@@ -88,8 +88,9 @@ def report(annotated: DataFrame) -> DataFrame:
     ).withColumn("n_rejected", F.col("n_total") - F.col("n_kept")).withColumn(
         "keep_rate_pct", F.round(F.try_divide(F.lit(100.0) * F.col("n_kept"), F.col("n_total")), 2))
     counts = totals.unpivot([], totals.columns, "name", "value").select(F.lit("counts").alias("section"), "name", "value")
-    labels = annotated.groupBy("predicted_population").agg(F.count("*").alias("n")).join(
-        F.broadcast(annotated.agg(F.count("*").alias("_t"))), F.lit(True))
+    # One row per label.
+    labels = annotated.groupBy("predicted_population").agg(F.count("*").alias("n")).withColumn(
+        "_t", F.sum("n").over(Window.partitionBy(F.lit(0))))
     shares = labels.select(F.lit("population_pct").alias("section"), F.col("predicted_population").alias("name"),
                            F.round(F.lit(100.0) * F.col("n") / F.col("_t"), 2).alias("value"))
     sizes = labels.select(F.lit("population_n").alias("section"), F.col("predicted_population").alias("name"),

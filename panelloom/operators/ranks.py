@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import broadcast_if_small, freeze, materialize
+from panelloom.session import broadcast_if_small, freeze, materialize_counted
 
 BUCKETS = 256
 HASH_DIGITS = 3
@@ -41,13 +41,15 @@ def count_below(cuts: str | Column, value: str | Column, size: int = BUCKETS) ->
     )
 
 
-def value_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column]) -> DataFrame:
-    """Distinct values with summed weights, written once: the passes below read this
-    reduced table instead of the input."""
-    return materialize(
+def value_totals(df: DataFrame, keys: Sequence[str], value: str,
+                 weights: Mapping[str, Column]) -> tuple[DataFrame, int]:
+    """Distinct values with summed weights and their number.  Written once: the passes
+    below read this reduced table instead of the input."""
+    table, seen = materialize_counted(
         df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*keys, value)
         .agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     )
+    return table, seen["n"]
 
 
 def bucket_values(totals: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str],
@@ -84,8 +86,8 @@ def cumulate(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping[
     """One row per distinct value: weight, weight strictly below, and group total."""
     weights = dict(weights or {"n": F.lit(1)})
     keys = [*groups, "_all"]
-    totals = value_totals(df, keys, value, weights)
-    if totals.count() <= small:
+    totals, n_values = value_totals(df, keys, value, weights)
+    if n_values <= small:
         # So few distinct values in all that one sort per group is bounded.
         ranked = totals.withColumns(
             {f"{n}_below": F.coalesce(F.sum(n).over(_before(keys, value)), F.lit(0)) for n in weights}
@@ -104,13 +106,13 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Map
                     buckets: int = BUCKETS, small: int = SMALL_TABLE) -> DataFrame:
     """Linearly interpolated quantiles per group; only buckets holding a wanted rank are sorted."""
     keys = [*groups, "_all"]
-    totals = value_totals(df, keys, value, {"n": F.lit(1)})
+    totals, n_values = value_totals(df, keys, value, {"n": F.lit(1)})
     position = {q: F.lit(float(p)) * (F.col("n_total") - 1) for q, p in probs.items()}
 
     def holds(lo: Column, width: Column, rank: Column) -> Column:
         return (rank >= lo) & (rank < lo + width)
 
-    if totals.count() <= small:
+    if n_values <= small:
         ranked = totals.withColumns({
             "_lo": F.coalesce(F.sum("n").over(_before(keys, value)), F.lit(0)),
             "n_total": F.sum("n").over(Window.partitionBy(*keys)),
@@ -168,9 +170,9 @@ def hash_rank(df: DataFrame, strata: Sequence[str], entity: str, seed: int | str
     per entity and is written once, as it is read twice.
     """
     keys = [*strata, "_all"]
-    rows = materialize(df.withColumn("_all", F.lit(0)).withColumn("_h", seeded_md5(seed, entity)))
+    rows, seen = materialize_counted(df.withColumn("_all", F.lit(0)).withColumn("_h", seeded_md5(seed, entity)))
     order = [*lead, "_h", entity]
-    if rows.count() <= small:
+    if seen["n"] <= small:
         return rows.withColumns({
             out: (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"),
             total: F.count("*").over(Window.partitionBy(*keys)),

@@ -15,7 +15,7 @@ from panelloom.operators import ranks
 from panelloom.operators.aggregate import boot_summary, dominant_category, order_by_best
 from panelloom.operators.ranks import unpivot
 from panelloom.operators.split import bootstrap_samples
-from panelloom.session import broadcast_if_small, freeze, materialize
+from panelloom.session import broadcast_if_small, freeze, materialize, materialize_counted
 
 # Distinct values of one (slice, variable) up to which one task finds the
 # bandwidth; larger groups take the distributed search.  Both are exact.
@@ -141,10 +141,10 @@ def bandwidths(df: DataFrame, slices: Sequence[str], columns: Sequence[str],
     Rows are first reduced to distinct values with counts.  1.0 if degenerate.
     """
     keys = [*slices, "variable"]
-    totals = materialize(
+    totals, seen = materialize_counted(
         unpivot(df, slices, columns).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"))
     )
-    if totals.count() <= small_group:
+    if seen["n"] <= small_group:
         distances = _small_bandwidths(totals, keys)
     else:
         sizes = freeze(totals.groupBy(*keys).agg(F.count("*").alias("_distinct")))
@@ -292,9 +292,10 @@ def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str], min
     pairs; otherwise every pair is ranked over its own complete rows.
     """
     columns = list(dict.fromkeys([*features, *targets]))
-    rows = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    ranked = _spearman_complete if not any(missing) else _spearman_pairwise
+    rows, seen = materialize_counted(
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns]),
+        missing=F.count_if(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) > 0))
+    ranked = _spearman_pairwise if seen["missing"] else _spearman_complete
     out = ranked(rows, features, targets).where(F.col("n") >= min_pairs)
     return out.select(
         "feature", "target", "n", F.round("rho", 4).alias("spearman_r"), F.round(F.col("rho") * F.col("rho"), 4).alias("spearman_r2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -43,10 +43,16 @@ def materialize(df: DataFrame) -> DataFrame:
     Columnar, so later passes read only the columns they need, and with a known
     size, so the planner can decide on broadcasts itself.
     """
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The written table and its row count ``n`` (plus other aggregates), seen while writing."""
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
