@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,15 +19,9 @@ def _end_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
     )
 
 
-def yearly_curve(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years: int = N_YEARS,
-                 extrapolate: bool = False, hi: float | None = None, lone_value: float | None = None) -> DataFrame:
-    """One row per key and year 1..n_years from knots ``(x, y)``; a key has a few knots.
-
-    Without ``extrapolate`` years outside the knots are 0.  One knot gives a
-    constant curve, no knot zeros; ``lone_value`` replaces both.  Values are
-    clipped to ``[0, hi]``.  Each knot row emits its own years, so there is no
-    spine join.
-    """
+def _segments(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years: int, extrapolate: bool,
+              hi: float | None, lone_value: float | None) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """One row per knot with the years ``_from.._to`` it covers, and the value expression of a year."""
     # Knots without a value sort last and act as absent.
     df = knots.select(*keys, x, F.col(y).cast("double").alias("_y")).withColumn(
         "_x", F.when(F.col("_y").isNotNull(), F.col(x).cast("double"))
@@ -74,14 +68,36 @@ def yearly_curve(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years:
     start = F.when(first, F.lit(1)).otherwise(c("_x").cast("int"))
     stop = F.least(F.lit(n_years), F.when(last, F.lit(n_years)).otherwise(c("_xn").cast("int") - 1))
     emits = (first | (c("_rn") <= c("_n"))) & (start <= stop)
-    df = df.where(emits).withColumn("year", F.explode(F.sequence(start, stop))).withColumn("_t", c("year") - c("_a"))
-
-    cubic = c("_c0") + c("_t") * (c("_c1") + c("_t") * (c("_c2") + c("_t") * c("_c3")))
-    outside = (first & (c("year") < c("_x"))) | (last & (c("year") > c("_x")))
-    curve = cubic if extrapolate else F.when(outside, F.lit(0.0)).otherwise(cubic)
-    none = F.lit(0.0 if lone_value is None else float(lone_value))
-    one = c("_y") if lone_value is None else F.lit(float(lone_value))
-    value = F.greatest(F.lit(0.0), F.when(c("_n") == 0, none).when(c("_n") == 1, one).otherwise(curve))
-    if hi is not None:
-        value = F.least(F.lit(float(hi)), value)
-    return df.select(*keys, c("year").cast("bigint").alias("year"), value.alias("value"))
+    df = df.withColumns({"_from": start, "_to": stop}).where(emits)
+
+    def value(year: Column) -> Column:
+        t = year - c("_a")
+        cubic = c("_c0") + t * (c("_c1") + t * (c("_c2") + t * c("_c3")))
+        outside = (first & (year < c("_x"))) | (last & (year > c("_x")))
+        curve = cubic if extrapolate else F.when(outside, F.lit(0.0)).otherwise(cubic)
+        none = F.lit(0.0 if lone_value is None else float(lone_value))
+        one = c("_y") if lone_value is None else F.lit(float(lone_value))
+        out = F.greatest(F.lit(0.0), F.when(c("_n") == 0, none).when(c("_n") == 1, one).otherwise(curve))
+        return out if hi is None else F.least(F.lit(float(hi)), out)
+
+    return df, value
+
+
+def yearly_curve(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years: int = N_YEARS,
+                 extrapolate: bool = False, hi: float | None = None, lone_value: float | None = None) -> DataFrame:
+    """One row per key and year 1..n_years from knots ``(x, y)``; a key has a few knots.
+
+    Without ``extrapolate`` years outside the knots are 0.  One knot gives a
+    constant curve, no knot zeros; ``lone_value`` replaces both.  Values are
+    clipped to ``[0, hi]``.  Each knot row emits its own years, so there is no
+    spine join.
+    """
+    df, value = _segments(knots, keys, x, y, n_years, extrapolate, hi, lone_value)
+    years = df.withColumn("year", F.explode(F.sequence("_from", "_to")))
+    return years.select(*keys, F.col("year").cast("bigint").alias("year"), value(F.col("year")).alias("value"))
+
+
+def curve_pieces(knots: DataFrame, keys: Sequence[str], x: str, y: str, n_years: int = N_YEARS) -> DataFrame:
+    """The same curve as one array of yearly values per knot, to be joined in ``piece`` order."""
+    df, value = _segments(knots, keys, x, y, n_years, False, None, None)
+    return df.select(*keys, F.col("_rn").alias("piece"), F.transform(F.sequence("_from", "_to"), value).alias("values"))

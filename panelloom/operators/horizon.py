@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from panelloom import spec as S
 from panelloom.functions.nullsafe import first_value
+from panelloom.operators.ranks import unpivot
+from panelloom.session import spread
 from panelloom.spec import PanelSpec
 
 
@@ -32,8 +34,6 @@ def per_period(df: DataFrame, spec: PanelSpec, variables: Sequence[str], statics
 def slice_positions(reduced: DataFrame, period: str, variables: Sequence[str]) -> DataFrame:
     """Per variable: position of each period among those with any value (a table of
     periods x variables), used only by the legacy trend scaling."""
-    from panelloom.operators.ranks import unpivot
-
     seen = unpivot(reduced, [period], variables).where("value is not null").groupBy("variable", period).agg(
         F.count("*").alias("_c")
     )
@@ -70,7 +70,7 @@ def horizon_features(df: DataFrame, spec: PanelSpec, sum_vars: Sequence[str], me
         ).agg(F.first("pos")).select(spec.period, *[F.col(v).alias(f"_{v}_pos") for v in variables])
         reduced = reduced.join(positions, spec.period, "left")
     if not prepared:
-        reduced = reduced.repartition(spec.entity)
+        reduced = spread(reduced, spec.entity)
     long = reduced.withColumn(
         "horizon", F.explode(F.filter(F.array(*[F.lit(int(x)) for x in horizons]), lambda x: x >= p))
     )

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from panelloom import spec as S
 from panelloom.functions import arrays as A
-from panelloom.functions.curves import yearly_curve
+from panelloom.functions.curves import curve_pieces, yearly_curve
 from panelloom.functions.labels import pair_label
 from panelloom.functions.nullsafe import clip
 from panelloom.operators.horizon import horizon_features
+from panelloom.session import spread
 from panelloom.spec import PanelSpec
 
 YEARLY = PanelSpec("scenario_id", "year")
@@ -47,7 +48,7 @@ def yearly_rows(scenarios: DataFrame, climate: Sequence[str] = tuple(S.CLIMATE),
         else:
             arrays.append(A.spread(c, n_years).alias(c))
     rest = [c for c in scenarios.columns if c not in climate]
-    exploded = scenarios.repartition("scenario_id").select(*rest, *arrays).select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in climate])).alias("_i", "_z"))
+    exploded = spread(scenarios, "scenario_id").select(*rest, *arrays).select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in climate])).alias("_i", "_z"))
     return exploded.select(*rest, (F.col("_i") + 1).cast("bigint").alias("year"),
                            *[F.col(f"_z.{c}").cast("double").alias(c) for c in climate])
 
@@ -100,13 +101,13 @@ def lookup_median(scenarios: DataFrame, medians: DataFrame, crop: str = "main_cr
 
 def curve_arrays(knots: DataFrame, n_years: int = S.N_YEARS) -> DataFrame:
     """Both carbon curves of a scenario as yearly arrays, one row per scenario."""
-    curves = yearly_curve(knots.repartition("scenario_id"), ["scenario_id", "target"], "horizon", "value", n_years)
+    pieces = curve_pieces(spread(knots, "scenario_id"), ["scenario_id", "target"], "horizon", "value", n_years)
 
     def array(target: str) -> Column:
-        points = F.array_sort(F.collect_list(F.when(F.col("target") == target, F.struct("year", "value"))))
-        return F.transform(points, lambda p: p["value"])
+        own = F.array_sort(F.collect_list(F.when(F.col("target") == target, F.struct("piece", "values"))))
+        return F.flatten(F.transform(own, lambda p: p["values"]))
 
-    return curves.groupBy("scenario_id").agg(*[array(t).alias(f"_{t}") for t in STOCKS])
+    return pieces.groupBy("scenario_id").agg(*[array(t).alias(f"_{t}") for t in STOCKS])
 
 
 def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: DataFrame,
@@ -124,14 +125,14 @@ def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: Da
     ratios = stunted_curve(profile, n_years).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("year", "ratio"))), lambda p: p["ratio"]).alias("_ratios"))
     # The curve table's size is underestimated after its explode, so the planner may not broadcast it.
-    rows = lookup_median(routed.repartition("scenario_id"), medians).join(
+    rows = lookup_median(spread(routed, "scenario_id"), medians).join(
         curve_arrays(knots, n_years).hint("merge"), "scenario_id", "left"
     ).join(F.broadcast(ratios), F.lit(True))  # one row of n_years ratios
     model, stunted = F.col("branch") == "model", F.col("branch") == "stunted"
     fallback = F.transform("_ratios", lambda r: F.greatest(F.lit(0.0), r * F.col("stunted_final")))
     rows = rows.withColumns({
-        "carbonStem_AF": F.when(model, F.coalesce("_carbonStem_AF", zeros)).when(stunted, fallback).otherwise(zeros),
-        "carbonStem_TF": F.when(model, F.coalesce("_carbonStem_TF", zeros)).otherwise(zeros),
+        "carbonStem_AF": F.when(model & (F.size("_carbonStem_AF") > 0), F.col("_carbonStem_AF")).when(stunted, fallback).otherwise(zeros),
+        "carbonStem_TF": F.when(model & (F.size("_carbonStem_TF") > 0), F.col("_carbonStem_TF")).otherwise(zeros),
     }).drop("_carbonStem_AF", "_carbonStem_TF", "_ratios", "stunted_final")
     rest = [c for c in rows.columns if c not in (*climate, *STOCKS)]
     series = [*climate, *STOCKS]

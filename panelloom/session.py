@@ -55,6 +55,15 @@ def materialize_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, di
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitioning ahead of an explode.
+
+    The number of partitions is given, because adaptive coalescing would size
+    them by the bytes before the rows multiply.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
