@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelloom import spec as S
 from panelloom.functions.nullsafe import first_value
 from panelloom.operators.ranks import unpivot
-from panelloom.session import spread
+from panelloom.session import materialize, spread
 from panelloom.spec import PanelSpec
 
 
@@ -65,11 +65,13 @@ def horizon_features(df: DataFrame, spec: PanelSpec, sum_vars: Sequence[str], me
     else:
         reduced = per_period(window, spec, variables, statics, targets)
     if legacy_trend:
+        # Read three times below.
+        reduced = materialize(reduced)
         positions = slice_positions(reduced, spec.period, variables).groupBy(spec.period).pivot(
             "variable", list(variables)
         ).agg(F.first("pos")).select(spec.period, *[F.col(v).alias(f"_{v}_pos") for v in variables])
         reduced = reduced.join(positions, spec.period, "left")
-    if not prepared:
+    if legacy_trend or not prepared:
         reduced = spread(reduced, spec.entity)
     long = reduced.withColumn(
         "horizon", F.explode(F.filter(F.array(*[F.lit(int(x)) for x in horizons]), lambda x: x >= p))
