@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, ngram_join, packing, pii, quality
+from panelloom.llm import bloom_lm, decontaminate, lattice_dedup, ngram_join, packing, phrase_dedup, pii, quality, sentence_dedup, warc
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+@query()
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from six folds of seven."""
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response, metadata and conversion record of every page."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 @query()
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a 10-word benchmark window."""
@@ -46,6 +58,24 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query()
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left after removing repeated 200-byte strings."""
+    return phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200)
+
+
+@query()
+def op7_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of embeddings of one label at cosine 0.98 or more."""
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query()
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document that lie in a repeated span, and the text without them."""
+    return sentence_dedup.repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "kept_text")
+
+
 @query()
 def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
