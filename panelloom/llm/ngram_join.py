@@ -8,7 +8,8 @@ overlap as much as the threshold demands under every order.
 
 Equal sets are one class before the join. Postings held by one class only are dropped. Then two star rounds compare the members of
 each posting with its smallest member and contract what they link, so that large groups of near copies become one component
-without their pairs being formed; at last all pairs of one posting that still lie in different components are verified. Links inside a
+without their pairs being formed; the members of postings that still hold several components then meet under a last order, by exact
+shingle counts, and their pairs of different components are verified. Links inside a
 component are therefore not all listed, but no two components that a link joins stay apart.
 """
 
@@ -160,8 +161,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     held = _labelled(postings, labels)
     mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     held = materialize(held.join(mixed, "token"))
-    other = held.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    pairs = held.select("token", F.col("node").alias("a"), "component", F.col("n_shingles").alias("na")).join(other, "token").where("component <> cb and a < b")
+    pairs = _rarest_first(held, sets, threshold)
     links.append(_verified(_sized(pairs, threshold), classes, sets, threshold, orders))
     labels = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
 
@@ -173,6 +173,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     return joined.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), kept.alias("kept"), "text_md5")
 
 
+def _rarest_first(held: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components that share a prefix shingle when shingles are ordered by their exact count.
+
+    ``held`` are the postings left open; counts are taken over the whole sets of their nodes. The smaller set of a pair needs
+    the shorter prefix only, as it shares 2t / (1 + t) of its size. Two sets that differ in more shingles of their own than the
+    threshold allows spend that prefix on those, so a crowd of sets that are alike but not alike enough forms no pairs.
+    """
+    nodes = materialize(held.groupBy("node").agg(F.first("component").alias("component"), F.first("n_shingles").alias("n")))
+    full = nodes.select("node").join(sets, "node").select("node", F.explode("hashes").alias("token"))
+    common = full.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    ordered = full.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("s"))
+    long, short = F.expr(f"n - ceil({threshold} * n / 100.0 - 1e-9) + 1"), F.expr(f"n - ceil({2 * threshold} * n / {100.0 + threshold} - 1e-9) + 1")
+    placed = ordered.join(nodes, "node").select("node", "component", "n", short.alias("short"), long.alias("long"), (F.col("n") - F.size("s")).alias("alone"), F.posexplode("s").alias("at", "s"))
+    place = F.col("alone") + F.col("at")
+    kept = materialize(placed.where(place < F.col("long")).select(F.col("s.token").alias("token"), "node", "component", "n", (place < F.col("short")).alias("small")))
+    small = kept.where("small").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("na"))
+    large = kept.select("token", F.col("node").alias("y"), "component", F.col("n").alias("nb"))
+    met = small.join(large, "token").where("cx <> component and na <= nb")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "na", "nb")
+
+
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("component", F.col("node"))
