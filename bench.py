@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINES = [
-    "pop_classify6", "prep_panel", "diag_flags", "diag_ks", "win_delta", "win_interpolate", "win_rank_average", "wins_apply",
+    "pop_classify6", "prep_pipeline", "diag_flags", "diag_ks", "win_delta", "win_interpolate", "win_rank_average", "wins_apply",
     "hzn_dataset", "agg_signature_summary", "spl_stratified", "spl_group_kfold", "pchip_curve", "inf_grid", "inf_cascade",
     "pre_report", "met_regression", "met_binary", "sen_spearman", "sen_sigma", "sen_hsic_by_year", "scn_hybrid",
     "scn_percentile", "rsh_wider_longer",

@@ -81,11 +81,11 @@ def agg_static_first(spark, sf):
 
 
 SIG = """sigs as (select entity, string_agg(category, '-' order by category) as signature
-  from (select distinct entity, category from opanel where year <= 1997) group by 1)"""
+  from (select distinct entity, category from opanel) group by 1)"""
 
 
 def signatures(spark, sf):
-    return G.signatures(presets.orders_panel(spark, sf).where("year <= 1997"), "entity", "category")
+    return G.signatures(presets.orders_panel(spark, sf), "entity", "category")
 
 
 @query("agg_signature", sql([ORDERS, SIG], "select * from sigs", "entity signature"))
@@ -204,10 +204,10 @@ def diag_ks(spark, sf):
 
 @query("top_ks", sql([EVENTS, FLAG_SQL, KS], """select parameter, ks_stat, case when lam < 0.1 then 1.0 else least(1.0, greatest(0.0,
     2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1.0 else -1.0 end) * exp(-2.0 * k * k * lam * lam))))) end as p_value
-    from (select *, sqrt(n_flagged * n_rest / (n_flagged + n_rest)::double) * ks_stat as lam from ks) order by ks_stat desc, parameter limit 2""",
+    from (select *, sqrt(n_flagged * n_rest / (n_flagged + n_rest)::double) * ks_stat as lam from ks) order by ks_stat desc, parameter""",
     "parameter", "ks_stat p_value"))
 def top_ks(spark, sf):
-    return ks(spark, sf).select("parameter", "ks_stat", "p_value").limit(2)
+    return ks(spark, sf).select("parameter", "ks_stat", "p_value")
 
 
 STUNTED = """ids as (select entity, row_number() over (order by md5('42:' || entity)) as rn, count(*) over () as n from (select distinct entity from panel)),

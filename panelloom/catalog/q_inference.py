@@ -85,14 +85,14 @@ def inf_route_geo(spark, sf):
     return I.route(plan, p_fail=None).select("scenario_id", "yield_failed")
 
 
-MEDIANS = """med as (select main_crop as crop, median(clay) as median from plan where main_crop = 'wheat' group by 1
-  union all select null, median(clay) from plan where main_crop = 'wheat'),
+MEDIANS = """med as (select main_crop as crop, median(clay) as median from plan where main_crop is not null group by 1
+  union all select null, median(clay) from plan),
 prof as (select period, least(1.0, sum(n) over (order by period) / (sum(n) over () * 1.05)) as profile from (select period, count(*)::double as n from panel group by 1))"""
 
 
 def fallback(spark, sf):
-    """Medians of one crop only, so the other crop uses the overall one; profile from event counts."""
-    wheat = presets.scored_plan(spark, sf).where("main_crop = 'wheat'").select(
+    """Medians of every crop and overall; profile from event counts."""
+    stocks = presets.scored_plan(spark, sf).select(
         F.col("clay").alias("final_stock"), F.col("main_crop").alias("crop"))
     counts = presets.events_panel(spark, sf).groupBy("period").agg(F.count("*").alias("n"))
     from panelloom.operators.ranks import cumulate
@@ -101,7 +101,7 @@ def fallback(spark, sf):
     steps = cumulate(counts.withColumn("p", F.col("period").cast("double")), [], "p", {"n": F.col("n")})
     profile = steps.select(F.col("p").cast("bigint").alias("period"), F.least(
         F.lit(1.0), (F.col("n_below") + F.col("n")) / (F.col("n_total") * 1.05)).alias("profile"))
-    return stunted_medians(wheat).select("crop", "median"), profile
+    return stunted_medians(stocks).select("crop", "median"), profile
 
 
 @query("inf_subroute", sql([PLAN, EVENTS, ROUTE, MEDIANS, "pk as (select 1 as g, period as x, profile as y from prof)",

@@ -360,9 +360,9 @@ prepped as (
   from prep where "yield_AF" is not null and "yield_TA" is not null)"""
 
 
-@query("prep_panel", sql([FIELD, PREP], "select * from prepped", "SimID Harvest_Year_Absolute Rotation rot_id main_crop",
+@query("prep_pipeline", sql([FIELD, PREP], "select * from prepped", "SimID Harvest_Year_Absolute Rotation rot_id main_crop",
                          "yield_AF yield_TA waterStress_AF yield_eff_AF carbonStem_eff_AF"))
-def prep_panel(spark, sf):
+def prep_pipeline(spark, sf):
     """The whole preparation step on the field panel."""
     return P.prepare_panel(presets.field_panel(spark, sf), ["error"]).select(
         "SimID", "Harvest_Year_Absolute", "Rotation", "rot_id", "main_crop", "yield_AF", "yield_TA", "waterStress_AF",

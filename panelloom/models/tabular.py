@@ -146,13 +146,14 @@ def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFra
 
 
 def permutation_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, key: str,
-                            cap: int = 2000, seed: int = 42, log_target: bool = False) -> DataFrame:
-    """Rise in RMSE when one column is shuffled between the rows of a capped sample.
+                            cap: int | None = None, seed: int = 42, log_target: bool = False) -> DataFrame:
+    """Rise in RMSE when one column is shuffled between the rows.
 
-    The explanation sample is the feature of this operator.  All shuffled
+    Every row with a target is scored unless a ``cap`` asks for a sample.  All shuffled
     columns are scored as one long table, not one job per feature.
     """
-    sample = freeze(sample_rows(df.where(F.col(target).isNotNull()).select(key, target, *features), key, cap, seed))
+    given = df.where(F.col(target).isNotNull()).select(key, target, *features)
+    sample = freeze(given if cap is None else sample_rows(given, key, cap, seed))
     by_row = hash_rank(sample, [], key, seed, out="_i", total="_n").drop("_n")
     donor = hash_rank(sample, [], key, seed + 1, out="_i", total="_n").select(
         "_i", F.struct(*features).alias("_donor"))

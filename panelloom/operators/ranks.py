@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from panelloom.session import broadcast_if_small, freeze, materialize_counted
 
-BUCKETS = 256
-HASH_DIGITS = 3
-# Rows up to which a whole table may be sorted in one task.
-SMALL_TABLE = 200_000
+#: Rows that one bucket holds on average; the number of buckets follows from the counted rows.
+BUCKET_ROWS = 50_000
+MAX_BUCKETS = 1 << 16
+
+
+def bucket_number(rows: int) -> int:
+    return min(MAX_BUCKETS, max(4, -(-rows // BUCKET_ROWS)))
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -29,7 +32,7 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     )
 
 
-def count_below(cuts: str | Column, value: str | Column, size: int = BUCKETS) -> Column:
+def count_below(cuts: str | Column, value: str | Column, size: int) -> Column:
     """Number of entries of a sorted array (shorter than ``size``) that are below a value: a
     binary search in log2(size) lambda steps."""
     cuts = F.col(cuts) if isinstance(cuts, str) else cuts
@@ -53,7 +56,7 @@ def value_totals(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def bucket_values(totals: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str],
-                  buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+                  buckets: int) -> tuple[DataFrame, DataFrame]:
     """(totals with a bucket number in value order, bucket weights with offsets and group totals)."""
     probabilities = F.lit([i / buckets for i in range(1, buckets)])
     # Approximate cut points only steer the load; they are frozen because both
@@ -82,28 +85,21 @@ def _before(keys: Sequence[str], value: str):
 
 
 def cumulate(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping[str, Column] | None = None,
-             buckets: int = BUCKETS, small: int = SMALL_TABLE) -> DataFrame:
+             buckets: int | None = None) -> DataFrame:
     """One row per distinct value: weight, weight strictly below, and group total."""
     weights = dict(weights or {"n": F.lit(1)})
     keys = [*groups, "_all"]
     totals, n_values = value_totals(df, keys, value, weights)
-    if n_values <= small:
-        # So few distinct values in all that one sort per group is bounded.
-        ranked = totals.withColumns(
-            {f"{n}_below": F.coalesce(F.sum(n).over(_before(keys, value)), F.lit(0)) for n in weights}
-            | {f"{n}_total": F.sum(n).over(Window.partitionBy(*keys)) for n in weights}
-        )
-    else:
-        bucketed, offsets = bucket_values(totals, keys, value, list(weights), buckets)
-        ranked = bucketed.join(offsets, [*keys, "_b"]).withColumns({
-            f"{n}_below": F.col(f"{n}_off") + F.coalesce(F.sum(n).over(_before([*keys, "_b"], value)), F.lit(0))
-            for n in weights
-        })
+    bucketed, offsets = bucket_values(totals, keys, value, list(weights), buckets or bucket_number(n_values))
+    ranked = bucketed.join(offsets, [*keys, "_b"]).withColumns({
+        f"{n}_below": F.col(f"{n}_off") + F.coalesce(F.sum(n).over(_before([*keys, "_b"], value)), F.lit(0))
+        for n in weights
+    })
     return ranked.select(*groups, value, *[c for n in weights for c in (n, f"{n}_below", f"{n}_total")])
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],
-                    buckets: int = BUCKETS, small: int = SMALL_TABLE) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group; only buckets holding a wanted rank are sorted."""
     keys = [*groups, "_all"]
     totals, n_values = value_totals(df, keys, value, {"n": F.lit(1)})
@@ -112,20 +108,14 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Map
     def holds(lo: Column, width: Column, rank: Column) -> Column:
         return (rank >= lo) & (rank < lo + width)
 
-    if n_values <= small:
-        ranked = totals.withColumns({
-            "_lo": F.coalesce(F.sum("n").over(_before(keys, value)), F.lit(0)),
-            "n_total": F.sum("n").over(Window.partitionBy(*keys)),
-        })
-    else:
-        bucketed, offsets = bucket_values(totals, keys, value, ["n"], buckets)
-        wanted = F.lit(False)
-        for pos in position.values():
-            for rank in (F.floor(pos), F.ceil(pos)):
-                wanted = wanted | holds(F.col("n_off"), F.col("n_in"), rank)
-        ranked = bucketed.join(offsets.where(wanted), [*keys, "_b"]).withColumn(
-            "_lo", F.col("n_off") + F.coalesce(F.sum("n").over(_before([*keys, "_b"], value)), F.lit(0))
-        )
+    bucketed, offsets = bucket_values(totals, keys, value, ["n"], buckets or bucket_number(n_values))
+    wanted = F.lit(False)
+    for pos in position.values():
+        for rank in (F.floor(pos), F.ceil(pos)):
+            wanted = wanted | holds(F.col("n_off"), F.col("n_in"), rank)
+    ranked = bucketed.join(offsets.where(wanted), [*keys, "_b"]).withColumn(
+        "_lo", F.col("n_off") + F.coalesce(F.sum("n").over(_before([*keys, "_b"], value)), F.lit(0))
+    )
     picks = []
     for q, pos in position.items():
         for suffix, rank in (("0", F.floor(pos)), ("1", F.ceil(pos))):
@@ -162,22 +152,17 @@ def seeded_md5(seed: int | str, *ids: str | Column) -> Column:
 
 
 def hash_rank(df: DataFrame, strata: Sequence[str], entity: str, seed: int | str, out: str = "rank",
-              total: str = "n_stratum", lead: Sequence[str] = (), small: int = SMALL_TABLE) -> DataFrame:
+              total: str = "n_stratum", lead: Sequence[str] = ()) -> DataFrame:
     """Exact 0-based rank by ``(lead..., md5(seed:entity))`` within each stratum.
 
     Buckets are leading hash digits, so even one stratum with most entities
-    spreads evenly over ``16**HASH_DIGITS`` sort groups.  The input is one row
+    spreads evenly over sort groups, whose number follows from the row count.  The input is one row
     per entity and is written once, as it is read twice.
     """
     keys = [*strata, "_all"]
     rows, seen = materialize_counted(df.withColumn("_all", F.lit(0)).withColumn("_h", seeded_md5(seed, entity)))
-    order = [*lead, "_h", entity]
-    if seen["n"] <= small:
-        return rows.withColumns({
-            out: (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"),
-            total: F.count("*").over(Window.partitionBy(*keys)),
-        }).drop("_h", "_all")
-    tagged = rows.withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
+    digits = max(1, (bucket_number(seen["n"]) - 1).bit_length() // 4 + 1)
+    tagged = rows.withColumn("_b", F.substring("_h", 1, digits))
     per_bucket = tagged.groupBy(*keys, *lead, "_b").agg(F.count("*").alias("_in"))
     offsets = per_bucket.withColumn(
         "_off", F.coalesce(F.sum("_in").over(_before([*keys, *lead], "_b")), F.lit(0)))

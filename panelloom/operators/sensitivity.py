@@ -20,6 +20,8 @@ from panelloom.session import broadcast_if_small, freeze, materialize, materiali
 # Distinct values of one (slice, variable) up to which one task finds the
 # bandwidth; larger groups take the distributed search.  Both are exact.
 SMALL_GROUP = 50_000
+#: Value buckets of one group in the distributed search.
+BUCKETS = 256
 CONSTANT = 1e-10
 
 
@@ -79,7 +81,7 @@ def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan:
     count gives every shifted value its rank.  Rows are values x fan, never pairs.
     """
     # Every group is whole here, so the reduced table is bucketed as it stands.
-    bucketed, offsets = ranks.bucket_values(totals, keys, "value", ["n"])
+    bucketed, offsets = ranks.bucket_values(totals, keys, "value", ["n"], BUCKETS)
     before = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     points = materialize(
         bucketed.join(offsets, [*keys, "_b"]).select(
@@ -109,7 +111,7 @@ def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan:
             broadcast_if_small(candidates.select(*keys, "which", "j", "d", "_edges", "_ids", "total"), 5_000), keys
         ).withColumn("value", F.col("value") + F.col("d")).drop("d")
         # A shifted value falls into the first bucket whose edge reaches it.
-        asked = asked.withColumn("_b", F.get("_ids", ranks.count_below("_edges", "value", 2 * ranks.BUCKETS))).drop("_edges", "_ids")
+        asked = asked.withColumn("_b", F.get("_ids", ranks.count_below("_edges", "value", 2 * BUCKETS))).drop("_edges", "_ids")
         beyond = asked.where("_b is null").select(*keys, "which", "j", (F.col("n") * F.col("total")).alias("reach"))
         inside = asked.where("_b is not null").select(
             *keys, "which", "j", "value", "n", "_b", F.lit(1).alias("q"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.ranks import hash_rank, seeded_md5
-from panelloom.session import broadcast_if_small, freeze
+from panelloom.session import broadcast_if_small, freeze, materialize
 
 
 def entity_split(entities: DataFrame, entity: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -94,20 +94,16 @@ def bootstrap_samples(df: DataFrame, slices: Sequence[str], key: str, n_boot: in
     boots = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     draws = rows.withColumn("boot", boots).withColumn("_h", seeded_md5(seed, F.col("boot"), key))
     goal = float(size + 10 * size**0.5 + 50)
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    if largest <= goal:
-        candidates = draws
-    else:
-        unit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(2**32)
-        near = draws.where(unit <= F.lit(goal) / F.col("_n"))
-        short = freeze(
-            counts.withColumn("boot", boots)
-            .join(near.groupBy(*keys).agg(F.count("*").alias("_got")), keys, "left")
-            .where(F.coalesce("_got", F.lit(0)) < F.least(F.lit(size), F.col("_n"))).select(*keys)
-        )
-        candidates = near
-        if not short.isEmpty():
-            candidates = near.join(short, keys, "left_anti").unionByName(draws.join(short, keys, "left_semi"))
+    unit = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(2**32)
+    near = materialize(draws.where(unit <= F.lit(goal) / F.col("_n")))
+    short = freeze(
+        counts.withColumn("boot", boots)
+        .join(near.groupBy(*keys).agg(F.count("*").alias("_got")), keys, "left")
+        .where(F.coalesce("_got", F.lit(0)) < F.least(F.lit(size), F.col("_n"))).select(*keys)
+    )
+    candidates = near
+    if not short.isEmpty():
+        candidates = near.join(short, keys, "left_anti").unionByName(draws.join(short, keys, "left_semi"))
     w = Window.partitionBy(*keys).orderBy("_h", key)
     # The rank limit is pushed below the shuffle by the optimizer.
     return candidates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop(

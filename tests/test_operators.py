@@ -148,7 +148,7 @@ def skewed(spark):
 def test_bucketed_ranks_equal_brute_force(spark, skewed):
     data, df = skewed
     out = {(r["g"], r["v"]): (r["n"], r["n_below"], r["n_total"]) for r in
-           ranks.cumulate(df, ["g"], "v", buckets=16, small=0).collect()}
+           ranks.cumulate(df, ["g"], "v", buckets=16).collect()}
     for g in {g for g, _ in data}:
         values = [v for h, v in data if h == g]
         for v in set(values):
@@ -157,8 +157,8 @@ def test_bucketed_ranks_equal_brute_force(spark, skewed):
 
 def test_bucketed_quantiles_equal_numpy(spark, skewed):
     data, df = skewed
-    for small in (0, 10**9):
-        for r in ranks.exact_quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}, small=small).collect():
+    for buckets in (None, 16, 256):
+        for r in ranks.exact_quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}, buckets=buckets).collect():
             values = [v for h, v in data if h == r["g"]]
             assert [r["a"], r["b"], r["c"]] == pytest.approx(list(np.percentile(values, [1, 50, 99])))
 
@@ -169,13 +169,17 @@ def test_bucket_search(spark):
     assert [r[0] for r in df.select(ranks.count_below("c", "v", 8)).collect()] == [0, 0, 1, 2, 3]
 
 
-def test_hash_rank_paths_agree(spark):
+def test_hash_rank_equals_brute_force(spark, monkeypatch):
     df = spark.range(500).withColumn("s", F.when(F.col("id") % 3 == 0, "hot").otherwise("cold")).withColumn("k", F.col("id") % 4)
-    small = rows(ranks.hash_rank(df, ["s"], "id", 1), "id", "rank", "n_stratum")
-    large = rows(ranks.hash_rank(df.repartition(7), ["s"], "id", 1, small=0), "id", "rank", "n_stratum")
-    assert small == large
-    a = rows(ranks.hash_rank(df, [], "id", 1, lead=["k"]), "id", "rank")
-    assert a == rows(ranks.hash_rank(df.repartition(3), [], "id", 1, lead=["k"], small=0), "id", "rank")
+    order = sorted(range(500), key=lambda i: (hashlib.md5(f"1:{i}".encode()).hexdigest(), i))
+    strata = {True: [i for i in order if i % 3 == 0], False: [i for i in order if i % 3]}
+    wanted = sorted((i, own.index(i), len(own)) for own in strata.values() for i in own)
+    led = sorted(order, key=lambda i: i % 4)
+    for held in (50_000, 5):  # one hex digit, and two
+        monkeypatch.setattr(ranks, "BUCKET_ROWS", held)
+        assert sorted(rows(ranks.hash_rank(df.repartition(7), ["s"], "id", 1), "id", "rank", "n_stratum")) == wanted
+        assert sorted(rows(ranks.hash_rank(df, [], "id", 1, lead=["k"]), "id", "rank")) == sorted((i, led.index(i)) for i in order)
+
 
 
 # --- splits and samples ----------------------------------------------------
