@@ -79,56 +79,58 @@ def _sets(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray,
             yield *np.unique(runs, return_index=True), own
 
 
-def signatures(docs: DataFrame, n: int, threshold: int, sketches: list[np.ndarray]) -> DataFrame:
-    """Per row: doc_id, text_md5, size of its set, digest of the set, and its prefix under every order."""
-    orders = len(sketches)
+def _prefix(found: np.ndarray, first: np.ndarray, words: np.ndarray, n: int, threshold: int, sketch: np.ndarray, k: int) -> np.ndarray:
+    """The shingles of one set that come first under order ``k``."""
+    count = len(found)
+    if not count:
+        return np.empty(0, np.int64)
+    keep = count - -(-threshold * count // 100) + 1
+    rare = sketch[(mix(words ^ _seed(k)) % U(len(sketch))).astype(np.int64)]
+    width = min(n, len(words))
+    least = rare[: len(words) - width + 1]
+    for s in range(1, width):
+        least = np.minimum(least, rare[s : len(words) - width + 1 + s])
+    key = (least[first].astype(U) << U(56)) | (mix(found ^ _seed(k + 17)) >> U(8))
+    return found[np.argpartition(key, keep - 1)[:keep]].view(np.int64)
+
+
+def signatures(docs: DataFrame, n: int, threshold: int, sketch: np.ndarray) -> DataFrame:
+    """Per row: doc_id, text_md5, size of its set, digest of the set, and its prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("text"))
-            size, digest, prefixes = [], [], [[] for _ in range(orders)]
+            size, digest, prefix = [], [], []
             for found, first, words in _sets(texts, n):
-                count = len(found)
-                size.append(count)
-                digest.append(hashlib.md5(found.tobytes()).digest() if count else None)
-                keep = count - -(-threshold * count // 100) + 1 if count else 0
-                for k in range(orders):
-                    if not count:
-                        prefixes[k].append(np.empty(0, np.int64))
-                        continue
-                    rare = sketches[k][(mix(words ^ _seed(k)) % U(len(sketches[k]))).astype(np.int64)]
-                    m = len(words)
-                    width = min(n, m)
-                    least = rare[: m - width + 1]
-                    for s in range(1, width):
-                        least = np.minimum(least, rare[s : m - width + 1 + s])
-                    key = (least[first].astype(U) << U(56)) | (mix(found ^ _seed(k + 17)) >> U(8))
-                    prefixes[k].append(found[np.argpartition(key, keep - 1)[:keep]].view(np.int64))
+                size.append(len(found))
+                digest.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
+                prefix.append(_prefix(found, first, words, n, threshold, sketch, 0))
             md5 = [hashlib.md5(t).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(md5, pa.binary()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *(list_array(p, pa.int64()) for p in prefixes)],
-                ["doc_id", "text_md5", "n_shingles", "digest", *(f"p{k}" for k in range(orders))],
+                [batch.column("doc_id"), pa.array(md5, pa.binary()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), list_array(prefix, pa.int64())],
+                ["doc_id", "text_md5", "n_shingles", "digest", "p0"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = ", ".join(f"p{k} array<long>" for k in range(orders))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_md5 binary, n_shingles long, digest binary, {fields}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_md5 binary, n_shingles long, digest binary, p0 array<long>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, orders: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: prefix overlap under every order first, whole sets after it."""
-    left = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), *[F.col(f"p{k}").alias(f"a{k}") for k in range(orders)])
-    right = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), *[F.col(f"p{k}").alias(f"b{k}") for k in range(orders)])
+    left = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("p0").alias("a0"))
+    right = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("p0").alias("b0"))
     # Sets that reach t share at least t / (1 + t) of their sizes' sum, and outside the prefixes lie at most ceil(t * size) - 1 of the larger set.
     need = F.ceil((F.col("na") + F.col("nb")) * threshold / (100.0 + threshold) - 1e-6)
     beyond = F.ceil(F.greatest("na", "nb") * threshold / 100.0 - 1e-9) - 1
-    near = pairs.join(left, "a").join(right, "b")
-    for k in range(orders):
-        near = near.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= F.greatest(F.lit(1), need - beyond))
+    least = F.greatest(F.lit(1), need - beyond)
+    near = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("a0", "b0")) >= least)
     near = materialize(near.select("a", "b", "na", "nb"))
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    sides = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), *[F.col(f"p{k}").alias(f"{x}{k}") for k in range(1, orders)]) for x in "ab"]
     both = F.size(F.array_intersect("ha", "hb"))
-    return materialize(near.join(sa, "a").join(sb, "b").where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+    met = near.join(sides[0], "a").join(sides[1], "b")
+    for k in range(1, orders):
+        met = met.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= least)
+    return materialize(met.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders: int = ORDERS) -> DataFrame:
@@ -137,7 +139,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     ``threshold`` is in percent. Texts without words have an empty set and a component of their own; rows that repeat an id and a
     text share one. ``kept`` marks the rows that carry the smallest (doc_id, text_md5) of their component; equal rows are all marked.
     """
-    parsed = materialize(signatures(docs, n, threshold, word_sketches(docs, orders)).withColumn("row", F.monotonically_increasing_id()))
+    sketches = word_sketches(docs, orders)
+    parsed = materialize(signatures(docs, n, threshold, sketches[0]).withColumn("row", F.monotonically_increasing_id()))
     with_set = parsed.where("digest is not null")
     classes = materialize(
         with_set.groupBy("digest").agg(F.min("row").alias("node")).join(with_set, "digest").where("row = node").drop("row")
@@ -146,9 +149,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     postings = materialize(postings.join(shared, "token"))
 
-    # The whole sets of classes that share a posting, fetched once.
+    # Whole sets and prefixes under the other orders, only for classes that share a posting.
     asked = postings.select("node").distinct().join(classes.select("node", "digest", "doc_id", "text_md5"), "node")
-    sets = materialize(_fetch(docs, asked, n))
+    sets = materialize(_fetch(docs, asked, n, threshold, sketches))
 
     labels, links = None, []
     for _ in range(STAR_ROUNDS):
@@ -183,17 +186,23 @@ def _sized(pairs: DataFrame, threshold: int) -> DataFrame:
     return materialize(pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct())
 
 
-def _fetch(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """(node, hashes) of the asked classes, recomputed from the texts."""
+def _fetch(docs: DataFrame, asked: DataFrame, n: int, threshold: int, sketches: list[np.ndarray]) -> DataFrame:
+    """(node, hashes, p1, ...) of the asked classes, recomputed from the texts."""
+    names = ["node", "hashes", *(f"p{k}" for k in range(1, len(sketches)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [found.view(np.int64) for found, _, _ in _sets(utf8(batch.column("text")), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(hashes, pa.int64())], ["node", "hashes"])
+            lists: list[list[np.ndarray]] = [[] for _ in names[1:]]
+            for found, first, words in _sets(utf8(batch.column("text")), n):
+                lists[0].append(found.view(np.int64))
+                for k in range(1, len(sketches)):
+                    lists[k].append(_prefix(found, first, words, n, threshold, sketches[k], k))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(list_array(x, pa.int64()) for x in lists)], names)
 
     a, b = docs.select("doc_id", "text").withColumn("md5", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))), asked.select("node", F.col("doc_id").alias("asked_id"), F.col("text_md5").alias("asked_md5"))
     met = a.join(b, a["doc_id"].eqNullSafe(b["asked_id"]) & (a["md5"] == b["asked_md5"])).select("node", "text")
-    return met.mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    schema = "node long, " + ", ".join(f"{c} array<long>" for c in names[1:])
+    return met.dropDuplicates(["node"]).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
