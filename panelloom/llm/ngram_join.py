@@ -7,9 +7,13 @@ and breaks ties by its own hash. A pair is a candidate if it shares a posting un
 overlap as much as the threshold demands under every order.
 
 Equal sets are one class before the join. Postings held by one class only are dropped. Then two star rounds compare the members of
-each posting with its smallest member and contract what they link, so that large groups of near copies become one component
-without their pairs being formed; at last all pairs of one posting that still lie in different components are verified. Links inside a
-component are therefore not all listed, but no two components that a link joins stay apart.
+each posting with its hub (first its smallest member, then one of another component) and contract what they link, so that large groups
+of near copies become one component without their pairs being formed. The pairs of one posting that still lie in different components
+are then found by what sets them apart from the first hub c: x and y of sizes a and b reach t only if x ^ y, which is
+(x ^ c) ^ (y ^ c), holds at most (1 - t) / (1 + t) * (a + b) shingles. As c was compared with both, the differences x ^ c and y ^ c must then
+overlap, and a crowd of texts that are alike but below the threshold shares few of them: no pairs are formed on what the whole crowd has in
+common. Members unlike their hub are paired by the posting itself. Links inside a component are therefore not all listed, but no two
+components that a link joins stay apart.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import in_blocks, list_array, utf8
@@ -31,7 +35,6 @@ from panelloom.session import materialize, materialize_counted
 #: Counters in each word sketch: the most that is broadcast, whatever the corpus.
 SKETCH = 1 << 20
 ORDERS = 2
-STAR_ROUNDS = 2
 
 
 def _seed(k: int) -> np.uint64:
@@ -154,18 +157,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     sets = materialize(_fetch(docs, asked, n, threshold, sketches))
 
     labels, links = None, []
-    for _ in range(STAR_ROUNDS):
+    for pick in (F.min, F.max):
         held = _labelled(postings, labels)
-        hub = held.groupBy("token").agg(F.min(F.struct("component", "node", "n_shingles")).alias("hub"), F.max("component").alias("top")).where("hub.component <> top").drop("top")
+        hub = held.groupBy("token").agg(pick(F.struct("component", "node", "n_shingles")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
         pairs = held.join(hub, "token").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
         links.append(_verified(_sized(pairs, threshold), classes, sets, threshold, orders))
         labels = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
-    held = _labelled(postings, labels)
-    mixed = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    held = materialize(held.join(mixed, "token"))
-    other = held.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    pairs = held.select("token", F.col("node").alias("a"), "component", F.col("n_shingles").alias("na")).join(other, "token").where("component <> cb and a < b")
-    links.append(_verified(_sized(pairs, threshold), classes, sets, threshold, orders))
+    links.append(_verified(_open_pairs(_labelled(postings, labels), sets, threshold), classes, sets, threshold, orders))
     labels = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
 
     named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -182,6 +180,41 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _open_pairs(held: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) of one posting that lie in different components; its smallest member was compared with all others before."""
+    hub = held.groupBy("token").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    hub = hub.select("token", F.col("hub.node").alias("c"), F.col("hub.n_shingles").alias("nc"))
+    held = materialize(held.join(hub, "token").where("node <> c").select("token", "node", "component", "n_shingles", "c", "nc"))
+
+    # Differences to the hub, for members of which at least a third is shared with it.
+    around = held.where("2 * least(n_shingles, nc) >= greatest(n_shingles, nc)").select("c", "node", "component", "n_shingles").distinct()
+    both = materialize(around).join(sets.select(F.col("node").alias("c"), F.col("hashes").alias("hc")), "c").join(sets.select("node", F.col("hashes").alias("hx")), "node")
+    apart = F.array_union(F.array_except("hx", "hc"), F.array_except("hc", "hx"))
+    near = materialize(both.select("c", "node", "component", "n_shingles", F.size("hc").alias("nc"), apart.alias("apart")).where("2 * size(apart) <= n_shingles + nc").drop("nc"))
+
+    words = near.select("c", F.explode("apart").alias("token"), "node", "component", "n_shingles", F.size("apart").alias("d"))
+    df = words.groupBy("c", "token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    own = Window.partitionBy("c", "node")
+    # "left": shared tokens of the difference from this one on, rarest first; a pair's first common token leaves room for its whole overlap.
+    placed = words.join(df, ["c", "token"]).withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "token")) + 1)
+    t = threshold
+    placed = materialize(placed.where(t * F.col("left") >= t * F.col("d") - F.col("n_shingles") * (100 - t)).select("c", "token", "node", "component", "n_shingles", "d", "left"))
+    x, y = _renamed(placed, ["node", "component", "n_shingles", "d", "left"], "c", "token")
+    room = 2 * (100 + t) * F.least("left_a", "left_b") >= (100 + t) * (F.col("d_a") + F.col("d_b")) - (100 - t) * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    alike = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= t * F.greatest("n_shingles_a", "n_shingles_b"))
+    met = x.join(y, (F.col("c_a") == F.col("c_b")) & (F.col("token_a") == F.col("token_b")) & alike & room)
+    crowd = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    marked = held.join(near.select("c", "node", F.lit(True).alias("near")), ["c", "node"], "left").select("token", "node", "component", "n_shingles", F.coalesce("near", F.lit(False)).alias("near"))
+    x, y = _renamed(materialize(marked), ["node", "component", "n_shingles", "near"], "token")
+    rest = x.join(y, (F.col("token_a") == F.col("token_b")) & alike & ~(F.col("near_a") & F.col("near_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return materialize(crowd.distinct().unionByName(rest.distinct()).distinct())
+
+
+def _renamed(df: DataFrame, columns: list[str], *keys: str) -> list[DataFrame]:
+    return [df.select(*[F.col(c).alias(f"{c}_{side}") for c in (*keys, *columns)]) for side in "ab"]
+
+
 def _sized(pairs: DataFrame, threshold: int) -> DataFrame:
     return materialize(pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct())
 

@@ -116,9 +116,23 @@ def shingles(text, n):
     return {tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, min(len(words), 1)))}
 
 
+def crowd() -> list[tuple]:
+    """Variants of two texts around the threshold, and variants of variants."""
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(4000)}" for _ in range(n)] for n in (150, 150)]
+    bases[1][:40] = bases[0][:40]
+    rows = []
+    for k in range(260):
+        words = list(bases[k % 2] if k < 220 else rows[rng.randrange(200)][1].split())
+        for _ in range(rng.randint(1, 7)):
+            words[rng.randrange(len(words))] = rng.choice([f"e{rng.randrange(9)}", f"u{rng.random()}"])
+        rows.append((k, " ".join(words[: rng.choice([150, 150, 130])]), None, None, None, None))
+    return rows
+
+
 @pytest.mark.parametrize("n,threshold", [(4, 85), (5, 80), (2, 50)])
-def test_jaccard(docs, odd, empty, n, threshold):
-    for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"]), empty):
+def test_jaccard(spark, docs, odd, empty, n, threshold):
+    for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"]), empty, spark.createDataFrame(crowd(), SCHEMA)):
         sets = {d: shingles(t, n) for d, t in texts(df)}
         union, by = Union(), defaultdict(list)
         for d, s in sets.items():
