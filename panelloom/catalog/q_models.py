@@ -25,7 +25,7 @@ HORIZONS = (10, 20)
 def panel(spark, sf):
     """Prepared field panel with encoded categories, yields optional as for the classifiers."""
     p = prepare_panel(presets.field_panel(spark, sf), [], required=())
-    return materialize(apply_encoding(p, fit_encoding(p, S.CATEGORICAL_B2), S.CATEGORICAL_B2))
+    return materialize(apply_encoding(p, materialize(fit_encoding(p, S.CATEGORICAL_B2)), S.CATEGORICAL_B2))
 
 
 def table(spark, sf):
@@ -49,15 +49,7 @@ def ml_clf_tree(spark, sf):
 @query("ml_clf_yield", digits=None)
 def ml_clf_yield(spark, sf):
     """Classifier with enough minority entities, otherwise the latitude rule."""
-    from panelloom.operators.prepare import geographic_rule
-
-    t = table(spark, sf)
-    train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    if training.minority_count(t) >= S.MIN_MINORITY:
-        f = M.usable_features(train, S.YIELD_CLASSIFIER_FEATURES)
-        scored = M.classify(M.fit_classifier(train, f, "yield_failed", QUICK), test, f)
-    else:
-        scored = test.withColumn("predicted_class", geographic_rule())
+    scored = training.fit_yield_classifier(table(spark, sf), QUICK)[1]
     return E.multiclass_metrics(scored, "yield_failed", "predicted_class")
 
 
@@ -121,7 +113,7 @@ def attr_permutation(spark, sf):
 
 def climate_rows(spark, sf):
     p = prepare_panel(presets.field_panel(spark, sf), [], required=())
-    return materialize(K.training_rows(p, fit_encoding(p, ["main_crop"]), ["GDD_cycle_AF", "frost_events_cycle_AF"]))
+    return materialize(K.training_rows(p, materialize(fit_encoding(p, ["main_crop"])), ["GDD_cycle_AF", "frost_events_cycle_AF"]))
 
 
 @query("ml_climate", digits=None)
@@ -135,7 +127,7 @@ def ml_climate_predict(spark, sf):
     names = ["GDD_cycle_AF", "frost_events_cycle_AF"]
     models = K.fit(climate_rows(spark, sf), names, QUICK)
     p = presets.scored_plan(spark, sf).select("SimID", "latitude", "longitude", "main_crop")
-    sites = apply_encoding(p, fit_encoding(p, ["main_crop"]), ["main_crop"])
+    sites = apply_encoding(p, materialize(fit_encoding(p, ["main_crop"])), ["main_crop"])
     return K.predict_sites(sites, models)
 
 
@@ -164,5 +156,7 @@ def pre_train(spark, sf):
 
 @query("run_training", digits=None)
 def run_training(spark, sf):
-    """The full training run; returns its stage-1 report."""
-    return training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, QUICK)["stage2_report"]
+    """The full training run; returns the reports of both stages, models without enough rows marked."""
+    done = training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, QUICK)
+    columns = ["target", "horizon", "n", "r2", "rmse", "mae", "skipped"]
+    return done["stage1_report"].select(columns).unionByName(done["stage2_report"].withColumn("horizon", F.lit(None).cast("int")).select(columns))

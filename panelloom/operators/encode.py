@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelloom.session import broadcast_if_small
+
 
 def _as_text(df: DataFrame, c: str):
     # Booleans are encoded as 0/1, everything else by its text.
@@ -25,9 +27,10 @@ def fit_encoding(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def apply_encoding(df: DataFrame, encoding: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Codes in place of classes; few classes are broadcast after counting them, so the rows are not shuffled on a category."""
     for c in columns:
         codes = encoding.where(F.col("variable") == c).select(F.col("class").alias("_class"), F.col("code").alias("_code"))
-        df = df.join(codes, _as_text(df, c) == F.col("_class"), "left").withColumn(
+        df = df.join(broadcast_if_small(codes), _as_text(df, c) == F.col("_class"), "left").withColumn(
             c, F.coalesce("_code", F.lit(0))
         ).drop("_class", "_code")
     return df

@@ -20,9 +20,9 @@ YIELD_FEATURES = S.prefilter_features(S.YIELD_CLASSIFIER_FEATURES)
 def fit(panel: DataFrame, limits: Limits | None = None, o: M.TreeOptions | None = None) -> dict:
     """Two classifiers with longitude standing in for climate; the yield one only with
     enough minority entities in the training split."""
-    encoding = freeze(fit_encoding(panel, ["main_crop"]))
-    table = freeze(classifier_table(
-        apply_encoding(panel, encoding, ["main_crop"]), limits or Limits(), list(dict.fromkeys(TREE_FEATURES + YIELD_FEATURES))))
+    entities = freeze(classifier_table(panel, limits or Limits(), list(dict.fromkeys(TREE_FEATURES + YIELD_FEATURES))))
+    encoding = freeze(fit_encoding(entities.where("split = 'train'"), ["main_crop"]))
+    table = freeze(apply_encoding(entities, encoding, ["main_crop"]))
     train = table.where("split = 'train'")
     tree_features, yield_features = M.usable_features(train, TREE_FEATURES), M.usable_features(train, YIELD_FEATURES)
     models = {"encoding": encoding, "tree": M.fit_classifier(train, tree_features, "tree_ok", o),

@@ -75,6 +75,7 @@ def fit_stage1(panel: DataFrame, splits: DataFrame, horizons=tuple(S.HORIZONS),
                   data.groupBy("horizon", "split").agg(F.count("*").alias("n")).collect()}  # horizons x 2 rows
         for h in horizons:
             if counts.get((h, "train"), 0) < M.MIN_TRAIN or counts.get((h, "test"), 0) < M.MIN_TEST:
+                report = joined(report, skipped(data, counts.get((h, "test"), 0), target, h, rho=True))
                 continue
             train = data.where((F.col("horizon") == h) & (F.col("split") == "train"))
             test = data.where((F.col("horizon") == h) & (F.col("split") == "test"))
@@ -85,59 +86,99 @@ def fit_stage1(panel: DataFrame, splits: DataFrame, horizons=tuple(S.HORIZONS),
             row = E.regression_metrics(scored, target, "predicted").select(
                 F.lit(target).alias("target"), F.lit(h).alias("horizon"), "n", "r2", "rmse", "mae")
             rho = spearman(scored, ["predicted"], [target]).agg(F.max("spearman_r").alias("spearman_rho"))
-            row = row.join(rho, F.lit(True))
-            report = row if report is None else report.unionByName(row)
+            report = joined(report, row.join(rho, F.lit(True)).withColumn("skipped", F.lit(False)))
     return models, report
 
 
+def joined(report: DataFrame | None, row: DataFrame) -> DataFrame:
+    return row if report is None else report.unionByName(row, allowMissingColumns=True)
+
+
+def skipped(data: DataFrame, n_test: int, target: str, horizon: int | None = None, rho: bool = False) -> DataFrame:
+    """Report row of a model that has too few rows to be fitted."""
+    names = ["r2", "rmse", "mae", *(["spearman_rho"] if rho else [])]
+    kinds = "target string, " + ("horizon int, " if horizon is not None else "") + "n long, skipped boolean, " + ", ".join(f"{c} double" for c in names)
+    row = (target, *([horizon] if horizon is not None else []), n_test, True, *[None] * len(names))
+    return data.sparkSession.createDataFrame([row], kinds)
+
+
+def fit_yield_classifier(table: DataFrame, o: M.TreeOptions | None = None) -> tuple[tuple | None, DataFrame]:
+    """Yield classifier (None with too few minority entities: the location rule decides) and the scored test split."""
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    if minority_count(table) < S.MIN_MINORITY:
+        return None, test.withColumn("predicted_class", P.geographic_rule())
+    features = M.usable_features(train, S.YIELD_CLASSIFIER_FEATURES)
+    model = M.fit_classifier(train, features, "yield_failed", o)
+    return (model, features), M.classify(model, test, features)
+
+
 def fit_stage2(panel: DataFrame, splits: DataFrame, o: M.TreeOptions | None = None) -> tuple[dict[str, tuple], DataFrame]:
     """Row-level yield models: AF with the observed stem carbon, TA without any tree feature."""
     rows = panel.join(splits.select("SimID", "split"), "SimID")
     models, report = {}, None
     for target, wanted in (("yield_AF", S.STAGE2_AF_FEATURES), ("yield_TA", S.STAGE2_TA_FEATURES)):
-        train = rows.where(F.col("split") == "train")
+        known = rows.where(F.col(target).isNotNull())
+        train, test = known.where(F.col("split") == "train"), known.where(F.col("split") == "test")
+        counts = {r["split"]: r["n"] for r in known.groupBy("split").agg(F.count("*").alias("n")).collect()}  # two rows
+        if counts.get("train", 0) < M.MIN_TRAIN or counts.get("test", 0) < M.MIN_TEST:
+            report = joined(report, skipped(rows, counts.get("test", 0), target))
+            continue
         features = M.usable_features(train, wanted)
         model = M.fit_regressor(train, features, target, o)
         models[target] = (model, features)
-        scored = M.predict(model, rows.where((F.col("split") == "test") & F.col(target).isNotNull()), features, nonnegative=True)
-        row = E.regression_metrics(scored, target, "predicted").withColumn("target", F.lit(target))
-        report = row if report is None else report.unionByName(row)
+        scored = M.predict(model, test, features, nonnegative=True)
+        report = joined(report, E.regression_metrics(scored, target, "predicted").select(
+            F.lit(target).alias("target"), F.lit(False).alias("skipped"), "*"))
     return models, report
 
 
 def run(raw: DataFrame, excluded: tuple[str, ...] = (), limits: Limits | None = None,
         horizons=tuple(S.HORIZONS), o: M.TreeOptions | None = None) -> dict[str, object]:
-    """All steps; returns the tables and models by name."""
+    """All steps; returns the tables and models by name.
+
+    Regressors see nominal entities only; encodings are fitted on the training entities of each model family. The panel keeps its
+    category names for the stunted medians.
+    """
     limits = limits or Limits()
-    panel = P.prepare_panel(raw, excluded)
-    encoding = freeze(fit_encoding(panel, S.CATEGORICAL_B2))
-    panel = freeze(apply_encoding(panel, encoding, S.CATEGORICAL_B2))
+    panel = freeze(P.prepare_panel(raw, excluded))
     labelled = freeze(C.populations(health(panel, limits), limits.tree_fail, limits.tree_stunt, limits.yield_fail_rate))
-    ok = labelled.where(F.col("final_stock") >= limits.tree_stunt)
-    nominal = P.keep_ids(panel, ok, "SimID")
+    nominal = C.keep_population(panel, labelled, FIELD).drop("population", "population_binary")
     strata = G.signatures(nominal, "SimID", "Crop_Name")
     splits = freeze(X.stratified_split(strata, "SimID", "signature"))
     train = P.keep_ids(nominal, splits.where("split = 'train'"), "SimID")
+    encoding = freeze(fit_encoding(train, S.CATEGORICAL_B2))
     bounds = freeze(Q.winsor_fit(train, S.STOCK_TARGETS))
-    clipped = freeze(Q.winsor_apply(nominal, bounds))
-    table = freeze(classifier_table(panel, limits, list(dict.fromkeys(S.TREE_CLASSIFIER_FEATURES + S.YIELD_CLASSIFIER_FEATURES))))
+    clipped = freeze(Q.winsor_apply(apply_encoding(nominal, encoding, S.CATEGORICAL_B2), bounds))
+    grown = P.keep_ids(clipped, labelled.where(F.col("final_stock") >= limits.tree_stunt), "SimID")
+    entities = freeze(classifier_table(panel, limits, list(dict.fromkeys(S.TREE_CLASSIFIER_FEATURES + S.YIELD_CLASSIFIER_FEATURES))))
+    table, clf_encoding = encoded_on_train(entities)
     clf_train, clf_test = table.where("split = 'train'"), table.where("split = 'test'")
     tree_features = M.usable_features(clf_train, S.TREE_CLASSIFIER_FEATURES)
     tree_model = M.fit_classifier(clf_train, tree_features, "tree_ok", o)
     clf1 = E.binary_metrics(M.classify(tree_model, clf_test, tree_features), "tree_ok", "predicted_class", "p_1")
+    yield_model, yield_scored = fit_yield_classifier(table, o)
     stunted = freeze(G.stunted_entities(panel, FIELD, "carbonStem_AF", "main_crop", clf_train, limits.tree_fail, limits.tree_stunt))
-    stage1, stage1_report = fit_stage1(clipped, splits, horizons, o)
+    stage1, stage1_report = fit_stage1(grown, splits, horizons, o)
     stage2, stage2_report = fit_stage2(clipped, splits, o)
     return {
         "panel": clipped, "populations": labelled, "splits": splits, "bounds": bounds, "encoding": encoding,
-        "tree_classifier": (tree_model, tree_features), "clf1_metrics": clf1,
-        "yield_rule": "classifier" if minority_count(table) >= S.MIN_MINORITY else "location",
+        "classifier_encoding": clf_encoding, "tree_classifier": (tree_model, tree_features), "clf1_metrics": clf1,
+        "yield_rule": "location" if yield_model is None else "classifier", "yield_classifier": yield_model,
+        "clf2_metrics": E.multiclass_metrics(yield_scored, "yield_failed", "predicted_class"),
+        "routing_check": misrouted_share(M.classify(tree_model, table, tree_features), labelled),
         "stunted_medians": G.stunted_medians(stunted),
         "stunted_profile": G.stunted_profile(panel, FIELD, "carbonStem_AF", stunted),
         "stage1": stage1, "stage1_report": stage1_report, "stage2": stage2, "stage2_report": stage2_report,
     }
 
 
+def encoded_on_train(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classifier rows with the categories encoded by the classes of their training split, and that encoding."""
+    columns = [c for c in S.CATEGORICAL_B2 if c in entities.columns]
+    encoding = freeze(fit_encoding(entities.where("split = 'train'"), columns))
+    return freeze(apply_encoding(entities, encoding, columns)), encoding
+
+
 def minority_count(table: DataFrame, label: str = "yield_failed") -> int:
     r = table.agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b")).first()
     return min(r["a"], r["b"])

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +69,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if a frozen table really has at most ``max_rows`` rows."""
-    small = frozen.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(frozen) if small else frozen
+def broadcast_if_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only if a frozen table really has at most ``max_rows`` rows and ``max_bytes`` as text."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in frozen.columns])))
+    seen = frozen.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("size")).first()
+    return F.broadcast(frozen) if seen["n"] <= max_rows and seen["size"] <= max_bytes else frozen
