@@ -92,12 +92,12 @@ def select_dataset(df: DataFrame, features: Sequence[str], targets: Sequence[str
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Numeric columns with at most one distinct value: min equals max, one pass."""
+    """Numeric columns with at most one distinct value: min equals max in one aggregate row; none for an empty table."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    long = unpivot(df, [], numeric)
-    return long.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where(
-        F.col("lo").eqNullSafe(F.col("hi"))
-    ).select("variable")
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "variable string")
+    once = df.agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).eqNullSafe(F.max(c)).alias(c) for c in numeric]).where("_n > 0")
+    return once.unpivot([], numeric, "variable", "constant").where("constant").select("variable")
 
 
 def align_columns(df: DataFrame, schema: Sequence[tuple[str, str]]) -> DataFrame:

@@ -174,9 +174,18 @@ def _centred_kernel(x: np.ndarray, sigma: float) -> np.ndarray:
     return k
 
 
+def _own_bandwidth(values: np.ndarray) -> float:
+    apart = np.abs(values[:, None] - values[None, :])[np.triu_indices(len(values), 1)]
+    middle = float(np.median(apart**2)) if len(apart) else 0.0
+    return (middle / 2) ** 0.5 or 1.0
+
+
 def hsic_of_sample(sample: dict[str, np.ndarray], sigma: dict[str, float], features: Sequence[str],
                    targets: Sequence[str]) -> list[tuple[str, str, float]]:
-    """Normalised index in [0, 1] for every feature x target of one bounded sample."""
+    """Normalised index in [0, 1] for every feature x target of one bounded sample.
+
+    A pair with missing values is compared over its own complete rows, with their own bandwidths; 0 without any.
+    """
     kernels, norms = {}, {}
     for c in dict.fromkeys([*features, *targets]):
         if sample[c].std() > CONSTANT:
@@ -187,7 +196,12 @@ def hsic_of_sample(sample: dict[str, np.ndarray], sigma: dict[str, float], featu
     for f in features:
         for t in targets:
             value = 0.0
-            if f in kernels and t in kernels:
+            seen = np.isfinite(sample[f]) & np.isfinite(sample[t])
+            if not seen.all():
+                if seen.any():
+                    own = {c: sample[c][seen] for c in (f, t)}
+                    value = hsic_of_sample(own, {c: _own_bandwidth(v) for c, v in own.items()}, [f], [t])[0][2]
+            elif f in kernels and t in kernels:
                 cross = scale * float(np.vdot(kernels[f], kernels[t]))
                 floor = max(scale * norms[f] * scale * norms[t], 1e-24)
                 value = min(max(cross / floor**0.5, 0.0), 1.0)
@@ -369,8 +383,8 @@ def rank_concordance(compared: DataFrame) -> DataFrame:
 
 def validate_against_spearman(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str],
                               sample_size: int = 400, seed: int = 42) -> DataFrame:
-    """Index next to squared rank correlation on one uniform sample."""
-    sample = bootstrap_samples(df.na.drop(subset=[*features, *targets]), [], key, 1, sample_size, seed)
+    """Index next to squared rank correlation on one uniform sample; each pair over its own complete rows."""
+    sample = bootstrap_samples(df, [], key, 1, sample_size, seed)
     sample = materialize(sample)
     sigmas = bandwidths(sample, [], list(dict.fromkeys([*features, *targets])))
     index = hsic_values(sample, sigmas, [], features, targets).select(

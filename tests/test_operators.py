@@ -284,3 +284,27 @@ def test_unknown_population_raises(spark):
     df = spark.createDataFrame([(1, None, 0.0)], "id int, final_stock double, fail_rate double")
     with pytest.raises(ValueError):
         classify.keep_population(df, classify.populations(df), P, "nope")
+
+
+def test_kernel_index_uses_complete_rows_of_a_pair():
+    import numpy as np
+
+    from panelloom.operators.sensitivity import _own_bandwidth, hsic_of_sample
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    y += x
+    holes = np.where(np.arange(60) % 7 == 0, np.nan, x)
+    kept = ~np.isnan(holes)
+    own = {"x": x[kept], "y": y[kept]}
+    wanted = hsic_of_sample(own, {c: _own_bandwidth(v) for c, v in own.items()}, ["x"], ["y"])[0][2]
+    got = {f: v for f, _, v in hsic_of_sample({"x": holes, "z": x, "y": y}, {"x": 1.0, "z": 1.0, "y": 1.0}, ["x", "z"], ["y"])}
+    assert got["x"] == wanted > 0 and got["z"] > 0
+
+
+def test_constant_columns(spark):
+    from panelloom.operators.prepare import constant_columns
+
+    df = spark.createDataFrame([(1, 2.0, None, "a"), (1, 3.0, None, "a")], "a int, b double, c long, d string")
+    assert sorted(r["variable"] for r in constant_columns(df).collect()) == ["a", "c"]
+    assert constant_columns(df.limit(0)).count() == 0
