@@ -7,7 +7,7 @@ and breaks ties by its own hash. A pair is a candidate if it shares a posting un
 overlap as much as the threshold demands under every order.
 
 Equal sets are one class before the join. Postings held by one class only are dropped. Then two star rounds compare the members of
-each posting with its hub (first its smallest member, then one of another component) and contract what they link, so that large groups
+each posting with its hub (first the member with the least of its own, then another) and contract what they link, so that large groups
 of near copies become one component without their pairs being formed. The pairs of one posting that still lie in different components
 are then found by what sets them apart from the first hub c: x and y of sizes a and b reach t only if x ^ y, which is
 (x ^ c) ^ (y ^ c), holds at most (1 - t) / (1 + t) * (a + b) shingles. As c was compared with both, the differences x ^ c and y ^ c must then
@@ -148,18 +148,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     classes = materialize(
         with_set.groupBy("digest").agg(F.min("row").alias("node")).join(with_set, "digest").where("row = node").drop("row")
     )
-    postings = classes.select("node", "n_shingles", F.explode("p0").alias("token"))
+    postings = classes.select("node", "n_shingles", F.size("p0").alias("width"), F.explode("p0").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
-    postings = materialize(postings.join(shared, "token"))
+    # "away": share of the prefix that no other class holds; hubs are the members nearest to the rest of their posting.
+    away = 1 - F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("width")
+    postings = materialize(postings.join(shared, "token").withColumn("away", away).drop("width"))
 
     # Whole sets and prefixes under the other orders, only for classes that share a posting.
     asked = postings.select("node").distinct().join(classes.select("node", "digest", "doc_id", "text_md5"), "node")
     sets = materialize(_fetch(docs, asked, n, threshold, sketches))
 
     labels, links = None, []
-    for pick in (F.min, F.max):
+    for pick in (F.min(F.struct("away", "node", "n_shingles", "component")), F.max(F.struct("component", "node", "n_shingles"))):
         held = _labelled(postings, labels)
-        hub = held.groupBy("token").agg(pick(F.struct("component", "node", "n_shingles")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        hub = held.groupBy("token").agg(pick.alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
         pairs = held.join(hub, "token").where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
         links.append(_verified(_sized(pairs, threshold), classes, sets, threshold, orders))
         labels = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
@@ -181,8 +183,8 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_pairs(held: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs (a, b) of one posting that lie in different components; its smallest member was compared with all others before."""
-    hub = held.groupBy("token").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    """Candidate pairs (a, b) of one posting that lie in different components; its first hub was compared with all others before."""
+    hub = held.groupBy("token").agg(F.min(F.struct("away", "node", "n_shingles")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     hub = hub.select("token", F.col("hub.node").alias("c"), F.col("hub.n_shingles").alias("nc"))
     held = materialize(held.join(hub, "token").where("node <> c").select("token", "node", "component", "n_shingles", "c", "nc"))
 
