@@ -8,8 +8,10 @@ from panelloom import spec as S
 from panelloom.catalog.ctes import EVENTS, PLAN
 from panelloom.catalog.q_sequences import pchip_sql
 from panelloom.catalog.registry import query, sql
+from panelloom.models import tabular as M
 from panelloom.operators import inference as I
 from panelloom.operators.aggregate import stunted_medians
+from panelloom.plans import predict, training
 from panelloom.sources import presets
 
 # Scenarios: yearly arrays, a scalar and absent variables, all from the plan table.
@@ -191,3 +193,20 @@ def inf_single(spark, sf):
     """Per-scenario check of what a single run returns: a one-row table takes the same path."""
     return cascade(spark, sf).groupBy("scenario_id").agg(
         F.max("year").alias("years"), F.min("carbonStem_AF").alias("lowest"), F.max_by("carbonStem_AF", "year").alias("final_carbon"))
+
+
+# Limits under which enough entities of the small test tables are nominal for both stages to be fitted.
+FITTED_LIMITS = training.Limits(tree_fail=1, tree_stunt=2, yield_fail=0.05, yield_fail_rate=0.99)
+
+
+@query("inf_fitted", sql([PLAN], """select "SimID" as scenario_id, cast(160 as bigint) as n, cast(4 as bigint) as targets, cast(40 as bigint) as years,
+    cast(0 as bigint) as negative, cast(0 as bigint) as unlawful from plan"""))
+def inf_fitted(spark, sf):
+    """All scenarios predicted with the models of a training run: rows, and values that break the zero rules or the clips."""
+    trained = training.run(presets.field_panel(spark, sf), ("error",), FITTED_LIMITS, (10, 20), M.TreeOptions(max_iter=3, max_depth=3))
+    long = predict.predict(scenarios(spark, sf).drop("p_ok", "p_fail"), trained)[0]
+    moved = F.col("value") > 0
+    unlawful = moved & F.when(F.col("target").startswith("yield"), F.col("yield_failed") == 1).otherwise(F.col("tree_failed") == 1)
+    return long.groupBy("scenario_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("targets"), F.countDistinct("year").alias("years"),
+        F.count_if(~F.coalesce(F.col("value") >= 0, F.lit(False))).alias("negative"), F.count_if(unlawful).alias("unlawful"))
