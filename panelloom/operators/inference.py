@@ -124,6 +124,8 @@ def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: Da
     zeros = F.array_repeat(F.lit(0.0), n_years)
     ratios = stunted_curve(profile, n_years).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("year", "ratio"))), lambda p: p["ratio"]).alias("_ratios"))
+    # Without a stunted entity in training there is no profile: the ratio is 1, as with a single knot.
+    ratios = ratios.select(F.when(F.size("_ratios") > 0, F.col("_ratios")).otherwise(F.array_repeat(F.lit(1.0), n_years)).alias("_ratios"))
     # The curve table's size is underestimated after its explode, so the planner may not broadcast it.
     rows = lookup_median(spread(routed, "scenario_id"), medians).join(
         curve_arrays(knots, n_years).hint("merge"), "scenario_id", "left"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelloom import spec as S
 from panelloom.models import tabular as M
+from panelloom.operators import inference as I
 from panelloom.operators.encode import fit_encoding
 from panelloom.plans import predict
 
@@ -71,3 +72,12 @@ def test_one_row_takes_the_same_path(trained, scenarios):
 def test_sweep_returns_each_step(trained, scenarios):
     out = predict.sweep_values(scenarios.where("scenario_id in (1, 2)"), trained, "sand", 3, 40)
     assert out.groupBy("id", "step", "sand").count().where("count = 4").count() == 6
+
+
+def test_no_stunted_profile_means_ratio_one(spark):
+    routed = spark.createDataFrame([(1, "stunted", "maize", 0)], "scenario_id long, branch string, main_crop string, yield_failed int")
+    knots = spark.createDataFrame([], "scenario_id long, target string, horizon int, value double")
+    medians = spark.createDataFrame([("maize", 6.0)], "crop string, median double")
+    profile = spark.createDataFrame([], "period long, profile double")
+    out = I.cascade(routed, knots, medians, profile, lambda rows: rows.withColumns({"yield_AF_raw": F.lit(1.0), "yield_TA_raw": F.lit(1.0)}))
+    assert [r["carbonStem_AF"] for r in out.collect()] == [6.0] * S.N_YEARS
