@@ -2,11 +2,13 @@
 
 Word pairs of the training rows are counted on Spark: tasks count their own pairs and send them, packed by hash segment, to the task that
 adds them up and writes the segment's filter. A pair of count c is inserted under the levels 1 ... 1 + log2(c); a reader probes
-level after level until one is missing and takes the count of the last level found. Filters of all segments are broadcast to the
-workers; their total is bounded by folding (a filter of 2m bits folds to m by OR), which trades accuracy, never completeness.
+level after level until one is missing and takes the count of the last level found. A filter has 8 to 16 bits per inserted level
+whatever the input, so a probe of a missing level succeeds in at most 3.1 % of cases.
 
 The probability of a word after another is (c(h, w) + A * p(w)) / (c(h) + A), with exact single-word counts and add-one p(w) behind the pair
-counts. Single words are looked up in a broadcast table as long as it has at most ``VOCABULARY`` words, else by a shuffle join.
+counts. Single words are looked up in a broadcast table as long as it has at most ``VOCABULARY`` words, pairs in broadcast filters as long as
+all together have at most ``FILTER_BYTES``. What is larger stays where it is stored: blocks of rows send their distinct keys, packed by
+hash segment, to the segment's table or filter, and the counts come back per block.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import in_blocks, list_array, utf8
+from panelloom.llm.common import in_blocks, utf8
 from panelloom.llm.hashing import U, mix, word_hashes
 from panelloom.session import materialize
 
-#: Most bytes of all filters together, and most words in the broadcast table (12 bytes each).
+#: Most bytes of all filters together that are broadcast, and most words in the broadcast table (12 bytes each).
 FILTER_BYTES = 64 << 20
 VOCABULARY = 8_000_000
 #: Weight of the single-word model behind the pair counts.
@@ -49,18 +52,20 @@ def pairs(run: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(before * _FIXED + run)
 
 
+def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys >> U(64 - segments.bit_length() + 1)).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
+
+
 def _training(doc_id, fold: int = 7, held: int = 2):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % fold != held, F.lit(True))
 
 
 def counts(docs: DataFrame, segments: int) -> DataFrame:
     """Segments of word counts (kind w) and of pair filters (kind p): entries, total, keys or bits, counts."""
-    shift = U(64 - segments.bit_length() + 1)
 
     def packed(kind: str, keys: np.ndarray) -> Iterator[dict]:
         keys, n = np.unique(keys, return_counts=True)
-        part = (keys >> shift).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(part, np.arange(segments + 1))
+        cuts = np.searchsorted(_segment(keys, segments), np.arange(segments + 1))
         for s in range(segments):
             a, b = cuts[s], cuts[s + 1]
             if b > a:
@@ -115,11 +120,10 @@ def filter_bits(keys: np.ndarray, n: np.ndarray) -> bytes:
 
 
 class Filter:
-    """All segments side by side; ``count`` estimates the count of each key."""
+    """All segments side by side; ``count`` estimates the count of each key from its level."""
 
     def __init__(self, segments: int, parts: dict[int, bytes]) -> None:
-        self.shift = U(64 - segments.bit_length() + 1)
-        self.many = segments > 1
+        self.segments = segments
         empty = bytes(8)
         own = [parts.get(s, empty) for s in range(segments)]
         self.start = np.cumsum([0, *map(len, own)])[:-1].astype(np.int64) * 8
@@ -127,7 +131,10 @@ class Filter:
         self.bits = np.frombuffer(b"".join(own), np.uint8)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        segment = (keys >> self.shift).astype(np.int64) if self.many else np.zeros(len(keys), np.int64)
+        return estimate(self.level(keys))
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        segment = _segment(keys, self.segments)
         start, mask = self.start[segment], self.mask[segment]
         level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for step in range(1, 64):
@@ -137,7 +144,11 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = step
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)  # middle of the level's range
+        return level
+
+
+def estimate(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)  # middle of the level's range
 
 
 def fold(bits: bytes, times: int) -> bytes:
@@ -160,17 +171,10 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FIL
     facts = words.agg(F.sum("total"), F.sum("entries")).first()
     n_train, distinct = facts[0] or 0, facts[1] or 0
     size = stored.where("kind = 'p'").agg(F.sum(F.length("keys"))).first()[0] or 0
-    times = 0
-    while size >> times > filter_bytes:
-        times += 1
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(1, "keys", pa.array([fold(b, times) for b in batch.column("keys").to_pylist()], pa.binary()))
-
-    parts = stored.where("kind = 'p'").select("segment", "keys").mapInArrow(folded, "segment int, keys binary")
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast({r["segment"]: bytes(r["keys"]) for r in parts.toLocalIterator()})
+    sent = None
+    if size <= filter_bytes:
+        sent = context.broadcast({r["segment"]: bytes(r["keys"]) for r in stored.where("kind = 'p'").select("segment", "keys").toLocalIterator()})
     table = None
     if distinct <= vocabulary:
         listed = sorted((r["segment"], bytes(r["keys"]), bytes(r["n"])) for r in words.select("segment", "keys", "n").toLocalIterator())
@@ -180,65 +184,107 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FIL
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = "n_tokens long, n_known long, base_score double, score double"
 
-    def sums(run: np.ndarray, begins: np.ndarray, c: np.ndarray, model: Filter) -> tuple[np.ndarray, ...]:
-        near, back = np.unique(pairs(run, begins), return_inverse=True)
+    def sums(begins: np.ndarray, c: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """From the counts of every token and, as the filter has it, of the pair that ends there."""
         before = np.concatenate([[0], c[:-1]])
         before[begins[:-1]] = c[begins[1:] - 1]  # the end token's count
         base = (c + 1) / total
-        pair = np.minimum(model.count(near)[back], np.minimum(before, c))
+        pair = np.minimum(seen, np.minimum(before, c))
         full = (pair + PRIOR * base) / (before + PRIOR)
         at = begins[:-1]
         return np.diff(begins), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(np.log10(base), at), np.add.reduceat(np.log10(full), at)
 
-    if table is not None:
+    def listed_counts(near: np.ndarray) -> np.ndarray:
+        return _exact(near, *table.value).astype(float)
+
+    given = rows.withColumn("held_out", held_out)
+    if table is None or sent is None:
+        scored = _asked(given, stored, segments, None if table is None else listed_counts, sent, sums, kind, columns)
+    else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, (keys, n) = Filter(segments, sent.value), table.value
+            model = Filter(segments, sent.value)
             for batch in batches:
                 out = []
                 for own, begins in tokens(utf8(batch.column("text"))):
                     near, back = np.unique(own, return_inverse=True)
-                    at = np.searchsorted(keys, near)
-                    found = at < len(keys)
-                    found[found] = keys[at[found]] == near[found]
-                    c = np.where(found, n[np.minimum(at, len(n) - 1)] if len(n) else 0, 0)[back].astype(float)
-                    out.append(sums(own, begins, c, model))
+                    couples, place = np.unique(pairs(own, begins), return_inverse=True)
+                    out.append(sums(begins, listed_counts(near)[back], model.count(couples)[place]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-        scored = rows.withColumn("held_out", held_out).mapInArrow(run, f"doc_id {kind}, held_out boolean, {columns}")
-    else:
-        scored = _joined(rows.withColumn("held_out", held_out), words, sent, segments, sums, kind, columns)
+        scored = given.mapInArrow(run, f"doc_id {kind}, held_out boolean, {columns}")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _joined(rows: DataFrame, words: DataFrame, sent, segments: int, sums, kind: str, columns: str) -> DataFrame:
-    """The same scores with word counts fetched by a join: distinct words of every row meet the counts, and come back per row."""
+def _exact(near: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n of every key, 0 where it is not among the sorted ``keys``."""
+    at = np.searchsorted(keys, near)
+    found = at < len(keys)
+    found[found] = keys[at[found]] == near[found]
+    return np.where(found, n[np.minimum(at, len(n) - 1)] if len(n) else 0, 0)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(run[a:b]).view(np.int64) for run, begins in tokens(utf8(batch.column("text"))) for a, b in zip(begins, begins[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(own, pa.int64())], [*batch.schema.names, "words"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(n, "<i8"))], ["word", "n"])
+def _asked(rows: DataFrame, stored: DataFrame, segments: int, listed_counts, sent, sums, kind: str, columns: str) -> DataFrame:
+    """The same scores where words, pairs or both are not broadcast: blocks of rows ask the stored segments for their distinct keys."""
+    model: list[Filter] = []  # made once by a worker
+    asks = [k for k, held in (("w", listed_counts), ("p", sent)) if held is None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Filter(segments, sent.value)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
-            for text, found in zip(utf8(batch.column("text")), batch.column("found").to_pylist()):
-                own, begins = next(tokens([text]))
-                keys = np.array([f["word"] for f in found], np.int64).view(U)
-                n = np.array([f["n"] or 0 for f in found], float)
-                order = np.argsort(keys)
-                out.append(sums(own, begins, n[order][np.searchsorted(keys[order], own)], model))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    given = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    names = f"doc_id {kind}, text string, held_out boolean, row long"
-    listed = given.select("doc_id", "text", "held_out", "row").mapInArrow(split, f"{names}, words array<long>").select("row", F.explode("words").alias("word"))
-    table = words.select("keys", "n").mapInArrow(unpack, "word long, n long")
-    found = listed.join(table, "word", "left").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    return given.join(found, "row").select("doc_id", "held_out", "text", "found").mapInArrow(run, f"doc_id {kind}, held_out boolean, {columns}")
+            for i, j in in_blocks(utf8(batch.column("text"))):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(j - i, block))], [*part.schema.names, "block"])
+                block += 1
+
+    def distinct(parts: list[tuple[np.ndarray, np.ndarray]], what: str) -> np.ndarray:
+        return np.unique(np.concatenate([run if what == "w" else pairs(run, begins) for run, begins in parts]))
+
+    def ask(part: pa.Table) -> pa.Table:
+        block, runs, out = part.column("block")[0].as_py(), list(tokens(utf8(part.column("text")))), []
+        for what in asks:
+            keys = distinct(runs, what)
+            cuts = np.searchsorted(_segment(keys, segments), np.arange(segments + 1))
+            out += [{"kind": what, "segment": s, "block": block, "keys": keys[a:b].tobytes()} for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pa.Table.from_pylist(out, pa.schema([("kind", pa.string()), ("segment", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())]))
+
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        """Counts of words (8 bytes each) or levels of pairs (one byte each) for every message to a segment, in the order of its keys."""
+        what, sent_keys = key[0].as_py(), asked.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(sent_keys), U)
+        own, n = (held.column(c)[0].as_py() if held.num_rows else b"" for c in ("keys", "n"))
+        if what == "w":
+            found = _exact(keys, np.frombuffer(own, U), np.frombuffer(n, "<i8")).astype("<i8")
+        else:
+            found = Filter(1, {0: own} if own else {}).level(keys).astype(np.uint8)
+        cuts = np.cumsum([0, *(len(k) // 8 for k in sent_keys)])
+        return pa.table({"kind": pa.array([what] * asked.num_rows, pa.string()), "segment": asked.column("segment"), "block": asked.column("block"), "found": pa.array([found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        runs = list(tokens(utf8(part.column("text"))))
+        back = sorted(zip(answers.column("kind").to_pylist(), answers.column("segment").to_pylist(), answers.column("found").to_pylist()))
+        known = {}
+        for what in asks:
+            keys, found = distinct(runs, what), np.frombuffer(b"".join(f for k, _, f in back if k == what), "<i8" if what == "w" else np.uint8)
+            if len(keys) != len(found):
+                raise ValueError(f"{len(found)} answers for {len(keys)} keys")
+            known[what] = keys, found.astype(float) if what == "w" else estimate(found.astype(np.int64))
+        if sent is not None and not model:
+            model.append(Filter(segments, sent.value))
+        out = []
+        for own, begins in runs:
+            values = {}
+            for what, asked in (("w", own), ("p", pairs(own, begins))):
+                if what in known:
+                    values[what] = known[what][1][np.searchsorted(known[what][0], asked)]
+                else:
+                    near, place = np.unique(asked, return_inverse=True)
+                    values[what] = (listed_counts if what == "w" else model[0].count)(near)[place]
+            out.append(sums(begins, values["w"], values["p"]))
+        return pa.table([part.column("doc_id"), part.column("held_out"), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    dealt = rows.mapInArrow(deal, f"doc_id {kind}, text string, held_out boolean, block long")
+    given = materialize(dealt)
+    asked = given.groupBy("block").applyInArrow(ask, "kind string, segment int, block long, keys binary")
+    answers = asked.groupBy("kind", "segment").cogroup(stored.where(F.col("kind").isin(asks)).groupBy("kind", "segment")).applyInArrow(answer, "kind string, segment int, block long, found binary")
+    return given.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, {columns}")

@@ -183,6 +183,16 @@ def test_lm_prefers_seen_text(docs):
     assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["base_score"] for r in got if not r["held_out"])
 
 
+@pytest.mark.parametrize("vocabulary", [10**6, 0])
+def test_lm_asks_stored_filters_beyond_the_bound(docs, odd, empty, vocabulary):
+    """The same scores whether the filters are broadcast or too large for that."""
+    plain = lambda r: (r["doc_id"], r["held_out"], *r[2:5], round(r["base_score"], 7), round(r["score"], 7))
+    for df in (docs, odd):
+        asked, sent = (Counter(map(plain, bloom_lm.score(df, vocabulary, bound).collect())) for bound in (0, 1 << 30))
+        assert not asked - sent and not sent - asked
+    assert bloom_lm.score(empty, vocabulary, 0).count() == 0
+
+
 def test_filter_counts():
     rng = np.random.default_rng(3)
     keys, n = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
