@@ -40,6 +40,10 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"),
 }
+# What every loose e-mail contains.
+_AT = re.compile(r"\(at\)|\[at\]|\bat\b")
+# A plain "at" before the end of a sentence: "look at this. It".
+_PROSE = re.compile(r" at .*(?: \.|\. )")
 _ENDINGS = {"com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "us", "ca"}
 _NEAR = {
     "email": ("mail", "contact", "write", "reach", "correo", "courriel", "kontakt"),
@@ -97,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates, by start; those that touch a base span or an earlier candidate are left out."""
     found = []
-    if ("at)" in text or "at]" in text or " at " in text) and "dot" in text:
+    if _AT.search(text):
         found += [(m.start(), 0, m.end()) for m in _LOOSE["email"].finditer(text)]
     if _DIGIT.search(text):
         if "[" in text or "(" in text:
@@ -133,7 +137,8 @@ def votes(text: str, span: tuple[int, int, int], strict: bool) -> str:
         check, gazetteer = "+" if 10 <= len(digits) <= 15 else "-", "+" if s[:1] == "+" or digits[:1] not in "01" else "-"
     context = "-" if any(w in near for w in _AGAINST) else "+" if any(w in near for w in _NEAR[kind]) else "0"
     edge = text[a - 1 : a] + text[b : b + 1]
-    return f"{k}{'+' if strict else '0'}{check}{gazetteer}{context}{'-' if any(c.isalnum() or c in '=\"_/' for c in edge) else '0'}"
+    shape = "+" if strict else "-" if kind == "email" and _PROSE.search(s) else "0"
+    return f"{k}{shape}{check}{gazetteer}{context}{'-' if any(c.isalnum() or c in '=\"_/' for c in edge) else '0'}"
 
 
 def _candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -418,6 +418,23 @@ def test_weak_supervision_adds_and_redacts(spark):
     assert "<EMAIL>" in out[0] and "@" not in out[0] and out[70] is None and out[60] == texts[60]
 
 
+def test_loose_addresses_need_no_dot_word(spark):
+    forms = ["bob{} (at) site.com", "bob{}[at]site.org", "bob{} at site.com"]
+    for form in forms:
+        own = "write to " + form.format(1)
+        found = [(a, k, b) for a, k, b in pii.loose_spans(own, [])]
+        assert [own[a:b] for a, _, b in found] == [form.format(1)]
+    prose = "we met at home. It rained"
+    assert [pii.votes(prose, s, False)[:2] for s in pii.loose_spans(prose, [])] == ["0-"]
+    # Beside an unrelated "dot" or not, the same address is found and masked.
+    texts = [f"please mail {forms[i % 2].format(i)}" + (" with an anecdote" if i % 4 > 1 else "") for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = pii.vote_counts(df)
+    assert sum(counts.values()) == 80
+    out = [r["text"] for r in pii.redact(df, {k: 1.0 for k in counts}).orderBy("doc_id").collect()]
+    assert all(t.startswith("please mail <EMAIL>") for t in out)
+
+
 # -- 10: quality
 
 
