@@ -73,7 +73,7 @@ def op7_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document that lie in a repeated span, and the text without them."""
-    return sentence_dedup.repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "kept_text")
+    return sentence_dedup.repeated_sentences(table(spark, sf_dir, "documents"), both_ways=True).select("doc_id", "n_sentences", "n_removed", "kept_text")
 
 
 @query()

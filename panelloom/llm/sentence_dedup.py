@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at line ends and after . ! ? before white space. A span starts at every sentence and is the shortest run of at
-least ``MIN_SENTENCES`` sentences with ``MIN_WORDS`` words; spans are compared by a hash of their words with A-Z lowered. All spans
+A text is cut into sentences at line ends and after . ! ? before white space. A span is a run of at least ``MIN_SENTENCES`` sentences with
+``MIN_WORDS`` words: the shortest one from every sentence on and, with ``both_ways``, also the shortest one up to every sentence. The two
+together cover every longer repeated run (where its occurrences are cut into the same sentences); the first alone leaves the end of
+a passage whose last sentences are short. Spans are compared by a hash of their words with A-Z lowered. All spans
 are joined by hash over the whole table; of each repeated span the first occurrence (smallest doc_id, then text digest, then position) stays, and
 every sentence covered by any other occurrence is removed. Texts too short for a span are left alone.
 """
@@ -41,7 +43,7 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip([0, *cuts], cuts) if b > a]
 
 
-def spans(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def spans(texts: list[bytes], both_ways: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: number of sentences, then first sentence, end sentence and hash of every span."""
     for i, j in in_blocks(texts):
         words, begins = word_hashes(texts[i:j])
@@ -52,11 +54,16 @@ def spans(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
             first = np.arange(len(cut))
             end = np.maximum(np.searchsorted(at, at[:-1] + MIN_WORDS), first + MIN_SENTENCES)
             good = (end <= len(cut)) & (counts > 0)
-            first, end = first[good], end[good]
+            code = first[good] * (len(cut) + 1) + end[good]
+            if both_ways:
+                start = np.minimum(np.searchsorted(at, at[1:] - MIN_WORDS, "right") - 1, first + 1 - MIN_SENTENCES)
+                good = (start >= 0) & (counts[start] > 0)
+                code = np.unique(np.concatenate([code, start[good] * (len(cut) + 1) + first[good] + 1]))
+            first, end = np.divmod(code, len(cut) + 1)
             yield len(cut), first, end, span_hash(prefix_hash(mix(own)), at[first], at[end]).view(np.int64)
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
+def repeated_sentences(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_sentences, n_removed, removed (sentence numbers), kept_text.
 
     Null counts as empty. Rows that repeat an id and a text are occurrences of the same document: of such rows all stay as the first one does.
@@ -64,7 +71,7 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column("text"))
-        found = list(spans(texts))
+        found = list(spans(texts, both_ways))
         kinds = ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), *(list_array([f[k].astype(t.to_pandas_dtype()) for f in found], t) for k, t in kinds)],

@@ -376,6 +376,38 @@ def test_sentences(docs, odd, empty):
     assert sentence_dedup.repeated_sentences(empty).count() == 0
 
 
+def every_run_oracle(rows):
+    """As ``sentence_oracle``, but over all runs, however long."""
+    occurrences, cuts, gone = defaultdict(set), {}, defaultdict(set)
+    for key in set(rows):
+        text = key[1].encode()
+        cuts[key] = own = [text[a:b] for a, b in sentence_dedup.sentences(text)]
+        words = [s.lower().split() for s in own]
+        for i in range(len(own)):
+            run = list(words[i])
+            for j in range(i + 1, len(own)):
+                run += words[j]
+                if len(run) >= sentence_dedup.MIN_WORDS and words[i]:
+                    occurrences[hashlib.md5(b" ".join(run)).digest()].add((key, i, j + 1))
+    order = lambda o: (o[0][0] is None, o[0][0] or 0, hashlib.md5(o[0][1].encode()).digest(), o[1])
+    for own in occurrences.values():
+        for key, i, j in sorted(own, key=order)[1:]:
+            gone[key].update(range(i, j))
+    return Counter((d, len(cuts[d, t]), len(gone[d, t]), b"".join(s for k, s in enumerate(cuts[d, t]) if k not in gone[d, t]).decode()) for d, t in rows)
+
+
+def test_sentences_cover_every_repeated_run(spark, docs, odd, sf_dir):
+    copies = [(1, "A b c. D e f g h i. J k l. M."), (2, "A b c. D e f g h i. J k l. M."), (3, "Own. A b c. D e f g h i. J k l. M. Other.")]
+    small = spark.createDataFrame(copies, "doc_id long, text string")
+    names = ["doc_id", "n_sentences", "n_removed", "kept_text"]
+    got = {r["doc_id"]: r["kept_text"] for r in sentence_dedup.repeated_sentences(small, True).collect()}
+    assert got == {1: copies[0][1], 2: "", 3: "Own. Other."}
+    for df in (small, odd):
+        assert counted(sentence_dedup.repeated_sentences(df, True).select(names).collect()) == every_run_oracle(texts(df))
+    wanted, found = every_run_oracle(texts(docs)), counted(QUERIES["op8_sentence_spans"](spark, sf_dir).collect())
+    assert not wanted - found and not found - wanted
+
+
 # -- 9: personal data
 
 PATTERNS = {
