@@ -8,7 +8,6 @@ from panelloom import spec as S
 from panelloom.catalog.ctes import EVENTS, PLAN
 from panelloom.catalog.q_sequences import pchip_sql
 from panelloom.catalog.registry import query, sql
-from panelloom.models import tabular as M
 from panelloom.operators import inference as I
 from panelloom.operators.aggregate import stunted_medians
 from panelloom.plans import predict, training
@@ -203,7 +202,7 @@ FITTED_LIMITS = training.Limits(tree_fail=1, tree_stunt=2, yield_fail=0.05, yiel
     cast(0 as bigint) as negative, cast(0 as bigint) as unlawful from plan"""))
 def inf_fitted(spark, sf):
     """All scenarios predicted with the models of a training run: rows, and values that break the zero rules or the clips."""
-    trained = training.run(presets.field_panel(spark, sf), ("error",), FITTED_LIMITS, (10, 20), M.TreeOptions(max_iter=3, max_depth=3))
+    trained = training.run(presets.field_panel(spark, sf), ("error",), FITTED_LIMITS)
     long = predict.predict(scenarios(spark, sf).drop("p_ok", "p_fail"), trained)[0]
     moved = F.col("value") > 0
     unlawful = moved & F.when(F.col("target").startswith("yield"), F.col("yield_failed") == 1).otherwise(F.col("tree_failed") == 1)

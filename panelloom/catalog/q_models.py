@@ -16,10 +16,9 @@ from panelloom.plans import screening, training
 from panelloom.session import materialize
 from panelloom.sources import presets
 
-# Few and shallow trees keep the checks quick; they are arguments of every job.
-QUICK = M.TreeOptions(max_iter=3, max_depth=3)
+TREES = M.TreeOptions()
 LIMITS = training.Limits(tree_fail=30, tree_stunt=70, yield_fail=0.9, yield_fail_rate=0.25)
-HORIZONS = (10, 20)
+HORIZONS = tuple(S.HORIZONS)
 
 
 def panel(spark, sf):
@@ -42,14 +41,14 @@ def ml_clf_tree(spark, sf):
     t = table(spark, sf)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
     f = M.usable_features(train, S.TREE_CLASSIFIER_FEATURES)
-    scored = M.classify(M.fit_classifier(train, f, "tree_ok", QUICK), test, f)
+    scored = M.classify(M.fit_classifier(train, f, "tree_ok", TREES), test, f)
     return E.binary_metrics(scored, "tree_ok", "predicted_class", "p_1")
 
 
 @query("ml_clf_yield", digits=None)
 def ml_clf_yield(spark, sf):
     """Classifier with enough minority entities, otherwise the latitude rule."""
-    scored = training.fit_yield_classifier(table(spark, sf), QUICK)[1]
+    scored = training.fit_yield_classifier(table(spark, sf), TREES)[1]
     return E.multiclass_metrics(scored, "yield_failed", "predicted_class")
 
 
@@ -70,13 +69,13 @@ def ml_final(spark, sf):
 @query("ml_stage1", digits=None)
 def ml_stage1(spark, sf):
     p = panel(spark, sf)
-    return training.fit_stage1(p, splits(p), HORIZONS, QUICK, ("carbonStem_AF",))[1]
+    return training.fit_stage1(p, splits(p), HORIZONS, TREES)[1]
 
 
 @query("ml_stage2", digits=None)
 def ml_stage2(spark, sf):
     p = panel(spark, sf)
-    return training.fit_stage2(p, splits(p), QUICK)[1]
+    return training.fit_stage2(p, splits(p), TREES)[1]
 
 
 def folded(spark, sf, k=3):
@@ -89,7 +88,7 @@ STAGE2 = ["latitude", "sand", "clay", "GDD_cycle_AF", "precipitation_AF", "carbo
 
 @query("ml_cv", digits=None)
 def ml_cv(spark, sf):
-    return M.cross_validate(folded(spark, sf), STAGE2, "yield_AF", "fold", 3, QUICK)
+    return M.cross_validate(folded(spark, sf), STAGE2, "yield_AF", "fold", 3, TREES)
 
 
 @query("ml_tune", digits=None)
@@ -100,32 +99,31 @@ def ml_tune(spark, sf):
 
 @query("ml_importance", digits=None)
 def ml_importance(spark, sf):
-    model = M.fit_regressor(panel(spark, sf), STAGE2, "yield_AF", QUICK)
+    model = M.fit_regressor(panel(spark, sf), STAGE2, "yield_AF", TREES)
     return M.importances(model, STAGE2, spark)
 
 
 @query("attr_permutation", digits=None)
 def attr_permutation(spark, sf):
     p = panel(spark, sf).withColumn("row_key", F.concat_ws("-", "SimID", "Cycle_Nb"))
-    model = M.fit_regressor(p, STAGE2, "yield_AF", QUICK)
+    model = M.fit_regressor(p, STAGE2, "yield_AF", TREES)
     return M.permutation_attribution(model, p, STAGE2, "yield_AF", "row_key")
 
 
 def climate_rows(spark, sf):
     p = prepare_panel(presets.field_panel(spark, sf), [], required=())
-    return materialize(K.training_rows(p, materialize(fit_encoding(p, ["main_crop"])), ["GDD_cycle_AF", "frost_events_cycle_AF"]))
+    return materialize(K.training_rows(p, materialize(fit_encoding(p, ["main_crop"])), S.CLIMATE))
 
 
 @query("ml_climate", digits=None)
 def ml_climate(spark, sf):
-    return K.validate(climate_rows(spark, sf), ["GDD_cycle_AF", "frost_events_cycle_AF"], 2, QUICK)
+    return K.validate(climate_rows(spark, sf), S.CLIMATE, 2, TREES)
 
 
 @query("ml_climate_predict", digits=None)
 def ml_climate_predict(spark, sf):
     """Every candidate site over all years."""
-    names = ["GDD_cycle_AF", "frost_events_cycle_AF"]
-    models = K.fit(climate_rows(spark, sf), names, QUICK)
+    models = K.fit(climate_rows(spark, sf), S.CLIMATE, TREES)
     p = presets.scored_plan(spark, sf).select("SimID", "latitude", "longitude", "main_crop")
     sites = apply_encoding(p, materialize(fit_encoding(p, ["main_crop"])), ["main_crop"])
     return K.predict_sites(sites, models)
@@ -138,7 +136,7 @@ def ml_challenger(spark, sf):
     rows = materialize(p.join(splits(p), "SimID"))
     out = None
     for family in ("gbt", "forest"):
-        o = M.TreeOptions(family, 3, 3)
+        o = M.TreeOptions(family)
         model = M.fit_regressor(rows.where("split = 'train'"), STAGE2, "yield_AF", o)
         scored = M.predict(model, rows.where("split = 'test'"), STAGE2)
         m = E.regression_metrics(scored, "yield_AF", "predicted").withColumn("family", F.lit(family))
@@ -150,13 +148,13 @@ def ml_challenger(spark, sf):
 def pre_train(spark, sf):
     """Prefilter trained on the panel, applied to the whole plan."""
     p = prepare_panel(presets.field_panel(spark, sf), [], required=())
-    models = screening.fit(p, LIMITS, QUICK)
+    models = screening.fit(p, LIMITS, TREES)
     return screening.screen(presets.scored_plan(spark, sf), models)
 
 
 @query("run_training", digits=None)
 def run_training(spark, sf):
     """The full training run; returns the reports of both stages, models without enough rows marked."""
-    done = training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, QUICK)
+    done = training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, TREES)
     columns = ["target", "horizon", "n", "r2", "rmse", "mae", "skipped"]
     return done["stage1_report"].select(columns).unionByName(done["stage2_report"].withColumn("horizon", F.lit(None).cast("int")).select(columns))

@@ -39,3 +39,8 @@ def test_screening_covers_the_plan(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     assert out.count() == n
     assert out.where("keep is null or predicted_population is null").count() == 0
+
+
+def test_stage1_covers_all_horizons_and_stocks(spark, sf_dir):
+    rows = QUERIES["ml_stage1"](spark, sf_dir).collect()
+    assert {(r["target"], r["horizon"]) for r in rows} == {(t, h) for t in ("carbonStem_AF", "carbonStem_TF") for h in (5, 10, 20, 30, 40)}
