@@ -55,6 +55,20 @@ def materialize_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, di
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """``materialize`` to a path the caller drops with ``drop_written`` once nothing reads it any more."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Delete a table written below the shared folder; a path elsewhere is refused."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitioning ahead of an explode.
 
