@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bloom_lm, decontaminate, lattice_dedup, ngram_join, packing, phrase_dedup, pii, quality, sentence_dedup, warc
+from panelloom.llm import (
+    bloom_lm, centroid_clustering, decontaminate, lattice_dedup, ngram_join, packing, phrase_dedup, pii, quality, ranked_search, sentence_dedup, token_counts, warc,
+)
 from panelloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +94,24 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, forest).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query()
+def op11_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
+
+
+@query(centroid_clustering.clustering_sql())
+def op12_ns_bounds_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight exact clusters of the 64-component embeddings after ten rounds."""
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"), 8, 10, 64, 3)
+
+
+@query(ranked_search.search_sql())
+def op13_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over ``documents``, stage by stage."""
