@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom import spec as S
-from panelloom.catalog.registry import query
+from panelloom.catalog.ctes import FIELD
+from panelloom.catalog.registry import query, sql
+from panelloom.models import attribution
+from panelloom.models import boosting as B
 from panelloom.models import climate as K
 from panelloom.models import tabular as M
 from panelloom.operators import metrics as E
+from panelloom.operators import reshape
 from panelloom.operators import split as X
 from panelloom.operators.encode import apply_encoding, fit_encoding
 from panelloom.operators.prepare import prepare_panel
@@ -69,45 +73,80 @@ def ml_final(spark, sf):
 @query("ml_stage1", digits=None)
 def ml_stage1(spark, sf):
     p = panel(spark, sf)
-    return training.fit_stage1(p, splits(p), HORIZONS, TREES)[1]
+    return training.fit_stage1(p, splits(p), HORIZONS)[1]
 
 
 @query("ml_stage2", digits=None)
 def ml_stage2(spark, sf):
     p = panel(spark, sf)
-    return training.fit_stage2(p, splits(p), TREES)[1]
+    return training.fit_stage2(p, splits(p))[1]
 
 
-def folded(spark, sf, k=3):
+@query("ml_stage2_cv", digits=None)
+def ml_stage2_cv(spark, sf):
+    """Every fold of both stage-2 targets, whole entities apart."""
+    p = panel(spark, sf)
+    return training.fit_stage2(p, splits(p))[2]
+
+
+def folded(spark, sf, k=5):
     p = panel(spark, sf).where("yield_AF is not null")
-    return materialize(p.join(X.group_folds(p, "SimID", k).select("SimID", "fold"), "SimID"))
+    return materialize(p.join(X.group_folds(p, "SimID", k).select("SimID", F.col("fold").cast("int").alias("fold")), "SimID"))
 
 
-STAGE2 = ["latitude", "sand", "clay", "GDD_cycle_AF", "precipitation_AF", "carbonStem_AF"]
+def stage2_features(p):
+    return [f for f in S.STAGE2_AF_FEATURES if f in p.columns]
 
 
 @query("ml_cv", digits=None)
 def ml_cv(spark, sf):
-    return M.cross_validate(folded(spark, sf), STAGE2, "yield_AF", "fold", 3, TREES)
+    """Five grouped folds, fitted side by side."""
+    rows = folded(spark, sf)
+    return M.boosted_folds(rows, stage2_features(rows), "yield_AF", "fold", 5, {"stage2": training.ROWS}).drop("model")
 
 
 @query("ml_tune", digits=None)
 def ml_tune(spark, sf):
-    space = {"maxDepth": [2, 3, 4], "maxIter": [2, 3], "stepSize": [0.05, 0.1, 0.3]}
-    return M.random_search(folded(spark, sf, 2), STAGE2, "yield_AF", "fold", 2, 2, space)[1]
+    """80 trials on five grouped folds; poor ones stop early."""
+    rows = folded(spark, sf)
+    return M.halving_search(rows, stage2_features(rows), "yield_AF", "fold", 5)[1]
+
+
+def stage2_model(p):
+    return B.fit(p, [B.Job("yield_AF", "rows", stage2_features(p), training.ROWS)], "yield_AF")["yield_AF"]
 
 
 @query("ml_importance", digits=None)
 def ml_importance(spark, sf):
-    model = M.fit_regressor(panel(spark, sf), STAGE2, "yield_AF", TREES)
-    return M.importances(model, STAGE2, spark)
+    return B.importances({"yield_AF": stage2_model(panel(spark, sf))}, spark).drop("model").orderBy(F.desc("importance"), "feature")
 
 
 @query("attr_permutation", digits=None)
 def attr_permutation(spark, sf):
     p = panel(spark, sf).withColumn("row_key", F.concat_ws("-", "SimID", "Cycle_Nb"))
-    model = M.fit_regressor(p, STAGE2, "yield_AF", TREES)
-    return M.permutation_attribution(model, p, STAGE2, "yield_AF", "row_key")
+    return M.permutation_attribution(stage2_model(p), p, stage2_features(p), "yield_AF", "row_key")
+
+
+def attributed(spark, sf):
+    p = panel(spark, sf)
+    model = stage2_model(p)
+    return model, B.predict(model, attribution.attribute(model, p), "predicted")
+
+
+@query("attr_tree", digits=None)
+def attr_tree(spark, sf):
+    """Mean absolute attribution of every feature over all rows, exact for the boosted trees."""
+    model, rows = attributed(spark, sf)
+    long = reshape.attribution_long(rows.withColumn("target", F.lit("yield_AF")), ["SimID", "Cycle_Nb", "target"], model.features)
+    return reshape.attribution_summary(long)
+
+
+@query("attr_tree_sums", sql([FIELD], "select count(*) as n, cast(0 as bigint) as off from field"))
+def attr_tree_sums(spark, sf):
+    """Rows of the panel, and those whose attributions and base miss the prediction by more than 1e-6."""
+    model, rows = attributed(spark, sf)
+    total = sum((F.col(f"attr_{f}") for f in model.features), F.col("attr_base"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.abs(total - F.col("predicted")) <= 1e-6, F.lit(False))).alias("off"))
 
 
 def climate_rows(spark, sf):
@@ -131,17 +170,9 @@ def ml_climate_predict(spark, sf):
 
 @query("ml_challenger", digits=None)
 def ml_challenger(spark, sf):
-    """Boosting and forest side by side on one split."""
-    p = panel(spark, sf).where("yield_AF is not null")
-    rows = materialize(p.join(splits(p), "SimID"))
-    out = None
-    for family in ("gbt", "forest"):
-        o = M.TreeOptions(family)
-        model = M.fit_regressor(rows.where("split = 'train'"), STAGE2, "yield_AF", o)
-        scored = M.predict(model, rows.where("split = 'test'"), STAGE2)
-        m = E.regression_metrics(scored, "yield_AF", "predicted").withColumn("family", F.lit(family))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Boosting and bagged forest side by side on one split, for every stock target of the panel."""
+    p = panel(spark, sf)
+    return training.challenge(p, splits(p), S.STOCK_TARGETS)
 
 
 @query("pre_train", digits=None)
@@ -152,9 +183,19 @@ def pre_train(spark, sf):
     return screening.screen(presets.scored_plan(spark, sf), models)
 
 
+def full_run(spark, sf):
+    return training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, TREES)
+
+
+@query("run_quality", digits=None)
+def run_quality(spark, sf):
+    """Quality table of a full training run: every metric of both classifiers, stage 1 and stage 2 against its limit."""
+    return full_run(spark, sf)["quality"]
+
+
 @query("run_training", digits=None)
 def run_training(spark, sf):
     """The full training run; returns the reports of both stages, models without enough rows marked."""
-    done = training.run(presets.field_panel(spark, sf), ("error",), LIMITS, HORIZONS, TREES)
+    done = full_run(spark, sf)
     columns = ["target", "horizon", "n", "r2", "rmse", "mae", "skipped"]
     return done["stage1_report"].select(columns).unionByName(done["stage2_report"].withColumn("horizon", F.lit(None).cast("int")).select(columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -17,11 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.nullsafe import clip
+from panelloom.models import boosting as B
 from panelloom.operators.metrics import regression_metrics
 from panelloom.operators.ranks import hash_rank
 from panelloom.operators.split import sample_rows
 from panelloom.session import freeze
 
+#: Values that a search draws from.
+SEARCH_SPACE = {
+    "depth": [2, 3, 4, 5], "step": [0.05, 0.1, 0.2, 0.3], "least_rows": [5, 10, 20, 50], "subsample": [0.7, 0.85, 1.0], "columns": [0.6, 0.8, 1.0],
+    "ridge": [0.1, 0.5, 1.0, 5.0], "lasso": [0.0, 0.1, 0.5],
+}
 # Size below which a horizon model is not fitted.
 MIN_TRAIN, MIN_TEST = 30, 10
 
@@ -74,10 +81,10 @@ def fit_regressor(train: DataFrame, features: Sequence[str], target: str, o: Tre
     return regressor(features, "_label", o).fit(rows.select(*features, "_label"))
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "predicted",
+def predict(model: PipelineModel | B.Model, df: DataFrame, features: Sequence[str], out: str = "predicted",
             log_target: bool = False, nonnegative: bool = False) -> DataFrame:
     kept = df.columns
-    scored = model.transform(as_numbers(df, features))
+    scored = B.predict(model, df, "prediction") if isinstance(model, B.Model) else model.transform(as_numbers(df, features))
     value = F.expm1("prediction") if log_target else F.col("prediction")
     return scored.select(*kept, (clip(value, 0) if nonnegative or log_target else value).alias(out))
 
@@ -139,6 +146,48 @@ def random_search(df: DataFrame, features: Sequence[str], target: str, fold: str
     return fitted.bestModel, trials_df
 
 
+def boosted_folds(df: DataFrame, features: Sequence[str], target: str, fold: str, k: int, options: Mapping[str, B.Boost],
+                  train_scores: bool = True) -> DataFrame:
+    """(model, fold, n, r2_val, rmse, mae, and r2_train if asked for) of every set of options on every fold, all models fitted in one set of jobs."""
+    rows = df.where(F.col(target).isNotNull()).withColumn("_truth", F.col(target).cast("double"))
+    jobs = [B.Job(f"{name}|{i}", "rows", features, o, held=i) for name, o in options.items() for i in range(k)]
+    models = B.fit(rows, jobs, "_truth", fold=fold)
+    asked = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(i).alias("held")) for name in options for i in range(k)])
+    each = rows.withColumn("_asked", F.explode(asked if train_scores else F.filter(asked, lambda a: a["held"] == F.col(fold))))
+    each = each.withColumn("_key", F.concat_ws("|", "_asked.model", F.col("_asked.held").cast("string")))
+    scored = B.predict(models, each, "_predicted", "_key").select(
+        F.col("_asked.model").alias("model"), F.col("_asked.held").alias("fold"), (F.col(fold) == F.col("_asked.held")).alias("_val"), "_truth", "_predicted")
+    m = regression_metrics(scored, "_truth", "_predicted", ["model", "fold", "_val"])
+    val = m.where("_val").select("model", "fold", "n", F.col("r2").alias("r2_val"), "rmse", "mae")
+    if not train_scores:
+        return val
+    return val.join(m.where("not _val").select("model", "fold", F.col("r2").alias("r2_train")), ["model", "fold"])
+
+
+def halving_search(df: DataFrame, features: Sequence[str], target: str, fold: str, k: int, trials: int = 80, space: Mapping[str, Sequence] | None = None,
+                   first_trees: int = 2, keep: int = 3, seconds: float = 600.0, seed: int = 42) -> tuple[B.Boost, DataFrame]:
+    """Best options, and (trial, parameters, rung, trees, mean_r2, survived) of a search that stops poor trials early.
+
+    All trials are cross-validated with few trees, a ``keep``-th of them with twice as many, and so on down to one. The trials of a rung and
+    their folds are fitted side by side, as one set of jobs. No rung starts after ``seconds``; then the best trial of the last one wins.
+    """
+    space = space or SEARCH_SPACE
+    rng = random.Random(seed)
+    drawn = {i: {name: rng.choice(list(values)) for name, values in sorted(space.items())} for i in range(trials)}
+    alive, rung, trees, report, began = list(drawn), 0, first_trees, [], time.monotonic()
+    while True:
+        options = {str(i): B.Boost(**(drawn[i] | {"trees": trees, "seed": seed})) for i in alive}
+        folds = boosted_folds(df, features, target, fold, k, options, train_scores=False)
+        found = {int(r["model"]): r["r2"] for r in folds.groupBy("model").agg(F.avg("r2_val").alias("r2")).collect()}
+        order = sorted(alive, key=lambda i: (-(found.get(i) if found.get(i) is not None else float("-inf")), i))
+        last = len(alive) == 1 or time.monotonic() - began > seconds
+        kept = order[:1] if last else order[: max(1, -(-len(alive) // keep))]
+        report += [(i, str(drawn[i]), rung, trees, found.get(i), i in kept) for i in alive]
+        if last:
+            return options[str(kept[0])], df.sparkSession.createDataFrame(report, "trial int, parameters string, rung int, trees int, mean_r2 double, survived boolean")
+        alive, rung, trees = kept, rung + 1, 2 * trees
+
+
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)],

@@ -353,6 +353,11 @@ def _spearman_pairwise(rows: DataFrame, features: Sequence[str], targets: Sequen
     cells = materialize(rows.select(F.explode(pairs).alias("s")).select("s.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
     ).groupBy(*group, "x", "y").agg(F.count("*").alias("c")))
+    return _rank_correlation(cells, group)
+
+
+def _rank_correlation(cells: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n, rho) from distinct (x, y) with their counts c."""
     weight = {"n": F.col("c")}
     centred = F.col("n_below") + (F.col("n") + 1) / 2 - (F.col("n_total") + 1) / 2
     rx = ranks.cumulate(cells, group, "x", weight).select(*group, "x", centred.alias("rx"))
@@ -365,6 +370,13 @@ def _spearman_pairwise(rows: DataFrame, features: Sequence[str], targets: Sequen
     return sums.select(*group, "n", rho.alias("rho"))
 
 
+def spearman_by(df: DataFrame, groups: Sequence[str], x: str, y: str, min_pairs: int = 10) -> DataFrame:
+    """(groups, n, rho) of one pair of columns over the complete rows of each group."""
+    cells = materialize(df.select(*groups, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop(subset=["x", "y"])
+                        .groupBy(*groups, "x", "y").agg(F.count("*").alias("c")))
+    return _rank_correlation(cells, list(groups)).where(F.col("n") >= min_pairs)
+
+
 def rank_concordance(compared: DataFrame) -> DataFrame:
     """Per target: rank agreement over features of the index with the squared correlation.
 

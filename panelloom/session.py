@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,15 @@ def drop_written(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect garbage in the driver: Spark deletes the shuffle files of plans that nothing refers to any more.
+
+    Written tables stay; what a running or later plan needs is still referred to.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitioning ahead of an explode.
 
