@@ -161,10 +161,10 @@ def sen_sigma(spark, sf):
 
 
 @query("sen_sigma_table", sql([sigma_sql("(select c_custkey, c_acctbal, 1 as u from customer)", "u", "c_custkey", ["c_acctbal"])],
-                              "select 'c_acctbal' as variable, sigma from sig", "variable", "sigma", 3), digits=3)
+                              "select 'c_acctbal' as variable, sigma from sig", "variable", "sigma"))
 def sen_sigma_table(spark, sf):
-    """Whole-table bandwidth by the distributed search, as for groups too large for one task."""
-    return N.bandwidths(read_table(spark, sf, "customer"), [], ["c_acctbal"], small_group=0)
+    """Bandwidth of a whole table as one group."""
+    return N.bandwidths(read_table(spark, sf, "customer"), [], ["c_acctbal"])
 
 
 def hsic_sql(rows: str, features: list[str], targets: list[str], n_boot: int, size: int, slices: str = "period", key: str = "entity") -> str:

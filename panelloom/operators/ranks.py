@@ -32,15 +32,15 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     )
 
 
-def count_below(cuts: str | Column, value: str | Column, size: int) -> Column:
-    """Number of entries of a sorted array (shorter than ``size``) that are below a value: a
+def count_below(cuts: str | Column, value: str | Column, size: int, equal: bool = False) -> Column:
+    """Number of entries of a sorted array (shorter than ``size``) that are below a value (or equal to it): a
     binary search in log2(size) lambda steps."""
     cuts = F.col(cuts) if isinstance(cuts, str) else cuts
     value = F.col(value) if isinstance(value, str) else value
     steps = [2**k for k in reversed(range((size - 1).bit_length()))]
     return F.aggregate(
         F.lit(steps), F.lit(0),
-        lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0),
+        lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= value if equal else F.get(cuts, at + step - 1) < value, step).otherwise(0),
     )
 
 
@@ -90,12 +90,17 @@ def cumulate(df: DataFrame, groups: Sequence[str], value: str, weights: Mapping[
     weights = dict(weights or {"n": F.lit(1)})
     keys = [*groups, "_all"]
     totals, n_values = value_totals(df, keys, value, weights)
-    bucketed, offsets = bucket_values(totals, keys, value, list(weights), buckets or bucket_number(n_values))
-    ranked = bucketed.join(offsets, [*keys, "_b"]).withColumns({
+    ranked = cumulate_totals(totals, keys, value, list(weights), buckets or bucket_number(n_values))
+    return ranked.select(*groups, value, *[c for n in weights for c in (n, f"{n}_below", f"{n}_total")])
+
+
+def cumulate_totals(totals: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int) -> DataFrame:
+    """``totals`` (a written table, one row per group and value) with the weights strictly below and those of the group."""
+    bucketed, offsets = bucket_values(totals, keys, value, weights, buckets)
+    return bucketed.join(offsets, [*keys, "_b"]).withColumns({
         f"{n}_below": F.col(f"{n}_off") + F.coalesce(F.sum(n).over(_before([*keys, "_b"], value)), F.lit(0))
         for n in weights
     })
-    return ranked.select(*groups, value, *[c for n in weights for c in (n, f"{n}_below", f"{n}_total")])
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float],

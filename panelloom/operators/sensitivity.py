@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,145 +17,113 @@ from panelloom.operators.ranks import unpivot
 from panelloom.operators.split import bootstrap_samples
 from panelloom.session import broadcast_if_small, freeze, materialize, materialize_counted
 
-# Distinct values of one (slice, variable) up to which one task finds the
-# bandwidth; larger groups take the distributed search.  Both are exact.
-SMALL_GROUP = 50_000
-#: Value buckets of one group in the distributed search.
-BUCKETS = 256
+#: Value buckets of a group at the start, as a power of two, and how many bits finer each round makes them.
+FIRST_BITS, STEP_BITS = 6, 3
+#: Quantiles of the bucket pairs' distance bounds that a round tries as limits.
+TRIED = 31
 CONSTANT = 1e-10
 
 
 # --- bandwidth -------------------------------------------------------------
 
-def _count_pairs_within(values: np.ndarray, counts: np.ndarray, upto: np.ndarray, d: float) -> int:
-    """Pairs at distance <= d, by binary search in the sorted values; no pair is formed."""
-    at = np.searchsorted(values, values + d, side="right")
-    return int((counts * (upto[at] - upto[1:])).sum() + (counts * (counts - 1) // 2).sum())
-
-
-def _median_distances(values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
-    """The two middle pair distances of a small multiset."""
-    upto = np.concatenate([[0], np.cumsum(counts)])
-    n = int(upto[-1])
-    pairs = n * (n - 1) // 2
-    if pairs == 0:
-        return 0.0, 0.0
-    found = []
-    for k in sorted({(pairs - 1) // 2, pairs // 2}):
-        lo, hi = -1.0, float(values[-1] - values[0])
-        if _count_pairs_within(values, counts, upto, 0.0) > k:
-            found.append(0.0)
-            continue
-        lo = 0.0
-        for _ in range(64):
-            mid = (lo + hi) / 2
-            if mid in (lo, hi):
-                break
-            if _count_pairs_within(values, counts, upto, mid) > k:
-                hi = mid
-            else:
-                lo = mid
-        found.append(hi)
-    return found[0], found[-1]
-
-
-def _small_bandwidths(totals: DataFrame, keys: list[str]) -> DataFrame:
-    schema = T.StructType([totals.schema[k] for k in keys] + [
-        T.StructField("d0", T.DoubleType()), T.StructField("d1", T.DoubleType())])
+def _bucket_pairs(points: DataFrame, keys: list[str], state: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(keys, i, j, pairs, near, far): pairs of value buckets under the shift of ``state``, their number of row pairs and bounds of their distances.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        d0, d1 = _median_distances(pdf["value"].to_numpy(float), pdf["n"].to_numpy(np.int64))
-        out = pdf[keys].iloc[:1].copy()
-        out["d0"], out["d1"] = d0, d1
-        return out
-
-    return totals.groupBy(*keys).applyInPandas(solve, schema)
+    All pairs of the few buckets of the first round; later only the parts of the bucket pairs that ``before`` has kept.
+    """
+    at = F.floor(F.col("place") / F.pow(F.lit(2.0), F.col("shift"))).cast("long").alias("b")
+    buckets = points.join(state.select(*keys, "shift"), keys).select(*keys, at, "value", "n").groupBy(*keys, "b").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("rows"))
+    left, right = (buckets.select(*keys, F.col("b").alias(i), F.col("lo").alias(f"lo_{i}"), F.col("hi").alias(f"hi_{i}"), F.col("rows").alias(f"rows_{i}")) for i in "ij")
+    if before is None:
+        met = left.join(right, keys).where("i <= j")
+    else:
+        parts = F.pow(F.lit(2.0), F.col("finer")).cast("long")
+        children = [F.sequence(F.col(c) * parts, F.col(c) * parts + parts - 1) for c in "ij"]
+        asked = before.join(state.select(*keys, "finer", "low", "high"), keys).where("far >= low and near <= high")
+        asked = asked.select(*keys, F.explode(children[0]).alias("i"), children[1].alias("js")).select(*keys, "i", F.explode("js").alias("j")).where("i <= j")
+        met = asked.join(left, [*keys, "i"]).join(right, [*keys, "j"])
+    same = F.col("i") == F.col("j")
+    return met.select(
+        *keys, "i", "j", F.when(same, F.expr("rows_i * (rows_i - 1) div 2")).otherwise(F.col("rows_i") * F.col("rows_j")).alias("pairs"),
+        F.when(same, F.lit(0.0)).otherwise(F.col("lo_j") - F.col("hi_i")).alias("near"), (F.col("hi_j") - F.col("lo_i")).alias("far")).where("pairs > 0")
 
 
-def _large_bandwidths(totals: DataFrame, keys: list[str], rounds: int = 8, fan: int = 32) -> DataFrame:
-    """The same two distances by a distributed multi-way search.
+def _narrowed(pairs: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
+    """``state`` with limits between which the wanted distances still lie, and the number of row pairs surely below them.
 
-    Each round counts, for ``fan`` candidate distances at once, the pairs within
-    them: values and shifted values are merged in bucketed order and a running
-    count gives every shifted value its rank.  Rows are values x fan, never pairs.
+    Limits are tried at quantiles of the bounds; which of them hold follows from exact counts, so approximate quantiles do not matter.
     """
-    # Every group is whole here, so the reduced table is bucketed as it stands.
-    bucketed, offsets = ranks.bucket_values(totals, keys, "value", ["n"], BUCKETS)
-    before = Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    points = materialize(
-        bucketed.join(offsets, [*keys, "_b"]).select(
-            *keys, "value", "n", "_b", "n_off", "n_total", (F.col("n_off") + F.sum("n").over(before)).alias("upto")
-        )
-    )
-    # Bucket edges: the largest value of each bucket, at most BUCKETS per group.
-    edges = points.groupBy(*keys, "_b").agg(F.max("value").alias("edge"))
-    sorted_edges = F.array_sort(F.collect_list(F.struct("edge", "_b")))
-    cuts = edges.groupBy(*keys).agg(sorted_edges.alias("_e")).select(
-        *keys, F.col("_e.edge").alias("_edges"), F.col("_e._b").alias("_ids"))
-    base = points.groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("upto")).alias("own"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("ties"),
-        F.max("n_total").alias("total"), (F.max("value") - F.min("value")).alias("span"),
-    )
-    pairs = F.col("total") * (F.col("total") - 1) / 2
-    state = freeze(
-        base.join(cuts, keys).withColumn("which", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("k", F.when(F.col("which") == 0, F.floor((pairs - 1) / 2)).otherwise(F.floor(pairs / 2)))
-        .withColumns({"lo": F.lit(0.0), "hi": F.when(F.col("ties") > F.col("k"), F.lit(0.0)).otherwise(F.col("span"))})
-    )
-    for _ in range(rounds):
-        candidates = state.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(fan)))).withColumn(
-            "d", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("j") / (fan + 1)
-        )
-        asked = points.select(*keys, "value", "n").join(
-            broadcast_if_small(candidates.select(*keys, "which", "j", "d", "_edges", "_ids", "total"), 5_000), keys
-        ).withColumn("value", F.col("value") + F.col("d")).drop("d")
-        # A shifted value falls into the first bucket whose edge reaches it.
-        asked = asked.withColumn("_b", F.get("_ids", ranks.count_below("_edges", "value", 2 * BUCKETS))).drop("_edges", "_ids")
-        beyond = asked.where("_b is null").select(*keys, "which", "j", (F.col("n") * F.col("total")).alias("reach"))
-        inside = asked.where("_b is not null").select(
-            *keys, "which", "j", "value", "n", "_b", F.lit(1).alias("q"),
-            F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("n_off"))
-        merged = points.select(
-            *keys, F.lit(None).cast("int").alias("which"), F.lit(None).cast("int").alias("j"), "value",
-            F.lit(None).cast("bigint").alias("n"), "_b", F.lit(0).alias("q"), F.col("n").alias("c"), "n_off",
-        ).unionByName(inside)
-        run = Window.partitionBy(*keys, "_b").orderBy("value", "q").rowsBetween(Window.unboundedPreceding, 0)
-        group = Window.partitionBy(*keys, "_b")
-        reached = merged.withColumn("rank", F.sum("c").over(run) + F.max("n_off").over(group)).where("q = 1").select(
-            *keys, "which", "j", (F.col("n") * F.col("rank")).alias("reach"))
-        counted = reached.unionByName(beyond).groupBy(*keys, "which", "j").agg(F.sum("reach").alias("reach"))
-        judged = candidates.drop("_edges", "_ids").join(counted, [*keys, "which", "j"]).withColumn(
-            "enough", F.col("reach") - F.col("own") + F.col("ties") > F.col("k"))
-        step = judged.groupBy(*keys, "which").agg(
-            F.max(F.when(~F.col("enough"), F.col("d"))).alias("_lo"), F.min(F.when(F.col("enough"), F.col("d"))).alias("_hi"))
-        state = freeze(state.join(step, [*keys, "which"]).withColumns({
-            "lo": F.coalesce("_lo", "lo"), "hi": F.coalesce("_hi", "hi")}).drop("_lo", "_hi"))
-    return state.groupBy(*keys).agg(
-        F.max(F.when(F.col("which") == 0, F.col("hi"))).alias("d0"),
-        F.max(F.when(F.col("which") == 1, F.col("hi"))).alias("d1"))
-
-
-def bandwidths(df: DataFrame, slices: Sequence[str], columns: Sequence[str],
-               small_group: int = SMALL_GROUP) -> DataFrame:
+    probs = [i / (TRIED + 1) for i in range(1, TRIED + 1)]
+    tried = F.array_sort(F.array_union(F.percentile_approx("near", probs, 1000), F.percentile_approx("far", probs, 1000)))
+    limits = materialize(pairs.groupBy(*keys).agg(tried.alias("limits")))
+    slots = [("far_upto", "far", False), ("near_below", "near", True), ("far_below", "far", True)]
+    marks = pairs.join(limits, keys).select(*keys, "pairs", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), ranks.count_below("limits", v, 2 * TRIED + 2, equal).alias("slot")) for k, v, equal in slots])).alias("m"))
+    counted = marks.groupBy(*keys, "m.kind", "m.slot").agg(F.sum("pairs").alias("pairs"))
+    # At most three rows a limit and group.
+    facts = counted.groupBy(*keys).agg(F.collect_list(F.struct("kind", "slot", "pairs")).alias("counts")).join(limits, keys).join(state, keys)
+
+    def upto(kind: str, place) -> Column:
+        return F.aggregate("counts", F.lit(0).cast("long"), lambda total, c: total + F.when((c["kind"] == kind) & (c["slot"] <= place), c["pairs"]).otherwise(0))
+
+    place = F.sequence(F.lit(0), F.size("limits") - 1)
+    low = F.filter(place, lambda p: F.col("below") + upto("near_below", p) <= F.col("first"))
+    high = F.filter(place, lambda p: F.col("below") + upto("far_upto", p) > F.col("second"))
+    found = facts.withColumns({"_low": F.when(F.size(low) > 0, F.array_max(low)), "_high": F.when(F.size(high) > 0, F.array_min(high))})
+    finer = F.least(F.lit(STEP_BITS), F.col("shift"))
+    moved = found.select(
+        *keys, "first", "second", (F.col("shift") - finer).alias("shift"), finer.alias("finer"),
+        F.coalesce(F.get("limits", F.col("_low")), F.col("low")).alias("_new_low"), F.least(F.get("limits", F.col("_high")), F.col("high")).alias("high"),
+        F.when(F.col("_low").isNotNull(), F.col("below") + upto("far_below", F.col("_low"))).otherwise(F.col("below")).alias("_new_below"), "low", "below")
+    # A limit below the former one tells nothing new: pairs below that one are gone from the table.
+    rises = F.col("_new_low") > F.col("low")
+    return moved.select(*keys, "first", "second", "shift", "finer", F.when(rises, F.col("_new_low")).otherwise(F.col("low")).alias("low"), "high",
+                        F.when(rises, F.col("_new_below")).otherwise(F.col("below")).alias("below"))
+
+
+def _middle_distances(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, d0, d1): the two middle distances of all row pairs of each group; groups with one row have none.
+
+    A selection in the implicit matrix of pairs. Sorted distinct values are cut into buckets; bucket pairs whose distances lie wholly below the
+    wanted rank are counted from the bucket totals, those wholly above it are dropped, and only pairs of buckets that straddle it are cut finer,
+    until buckets hold one value each. About as many bucket pairs as buckets straddle, so rows grow with the values, never with their pairs.
+    """
+    groups = points.groupBy(*keys).agg(F.max("n_total").alias("total"), F.max("place_total").alias("values"))
+    pairs_of = F.expr("total * (total - 1) div 2")
+    shift = F.greatest(F.lit(0), F.ceil(F.log2(F.col("values").cast("double"))) - FIRST_BITS).cast("int")
+    state, seen = materialize_counted(
+        groups.withColumn("all", pairs_of).where("all > 0").select(
+            *keys, F.expr("(all - 1) div 2").alias("first"), F.expr("all div 2").alias("second"), shift.alias("shift"), F.lit(0).alias("finer"),
+            F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("below")),
+        coarsest=F.max("shift"))
+    pairs = materialize(_bucket_pairs(points, keys, state, None))
+    for _ in range(-(-(seen["coarsest"] or 0) // STEP_BITS)):
+        state = materialize(_narrowed(pairs, keys, state))
+        pairs = materialize(_bucket_pairs(points, keys, state, pairs))
+    # One value in each bucket: distances are exact.
+    steps = ranks.cumulate(pairs, keys, "near", {"pairs": F.col("pairs")}).join(state.select(*keys, "first", "second", "below"), keys)
+    under = F.col("below") + F.col("pairs_below")
+
+    def at(rank: str):
+        return F.max(F.when((under <= F.col(rank)) & (F.col(rank) < under + F.col("pairs")), F.col("near")))
+
+    return steps.groupBy(*keys).agg(at("first").alias("d0"), at("second").alias("d1"))
+
+
+def bandwidths(df: DataFrame, slices: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Median-heuristic bandwidth ``sqrt(median(d^2) / 2)`` over all pairs of a slice, per variable.
 
     Rows are first reduced to distinct values with counts.  1.0 if degenerate.
     """
     keys = [*slices, "variable"]
     totals, seen = materialize_counted(
-        unpivot(df, slices, columns).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+        unpivot(df, slices, columns).where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("place"))
     )
-    if seen["n"] <= small_group:
-        distances = _small_bandwidths(totals, keys)
-    else:
-        sizes = freeze(totals.groupBy(*keys).agg(F.count("*").alias("_distinct")))
-        large = sizes.where(F.col("_distinct") > small_group)
-        distances = _small_bandwidths(
-            totals.join(sizes.where(F.col("_distinct") <= small_group), keys, "left_semi"), keys
-        )
-        if not large.isEmpty():
-            distances = distances.unionByName(_large_bandwidths(totals.join(large, keys, "left_semi"), keys))
+    ranked = ranks.cumulate_totals(totals, keys, "value", ["n", "place"], ranks.bucket_number(seen["n"]))
+    points = materialize(ranked.select(*keys, "value", "n", F.col("place_below").alias("place"), "n_total", "place_total"))
+    groups = points.select(*keys).distinct()
+    distances = groups.join(_middle_distances(points, keys), keys, "left")
     middle = (F.col("d0") * F.col("d0") + F.col("d1") * F.col("d1")) / 2
     return distances.select(*keys, F.when(middle > 0, F.sqrt(middle / 2)).otherwise(1.0).alias("sigma"))
 

@@ -225,14 +225,30 @@ def brute_sigma(x):
     return math.sqrt(m / 2) if m > 0 else 1.0
 
 
-def test_bandwidth_paths_equal_brute_force(spark):
+@pytest.mark.parametrize("first, step", [(6, 3), (2, 1), (1, 2)])
+def test_bandwidth_equals_brute_force(spark, monkeypatch, first, step):
+    """Also with so few buckets that every round has to cut the straddling ones finer."""
+    monkeypatch.setattr(sensitivity, "FIRST_BITS", first)
+    monkeypatch.setattr(sensitivity, "STEP_BITS", step)
+    monkeypatch.setattr(sensitivity, "TRIED", 5)
     rng = random.Random(3)
     slices = {"u": [rng.random() for _ in range(60)], "ties": [float(i % 3) for i in range(41)],
-              "flat": [2.0] * 30, "pair": [1.0, 4.0], "heavy": [rng.paretovariate(1.2) for _ in range(80)]}
+              "flat": [2.0] * 30, "pair": [1.0, 4.0], "one": [7.0], "hot": [0.0] * 70 + [rng.random() for _ in range(50)], "heavy": [rng.paretovariate(1.2) for _ in range(80)]}
     df = spark.createDataFrame([(s, v) for s, xs in slices.items() for v in xs], "s string, v double")
-    for limit in (10**6, 0):
-        out = {r["s"]: r["sigma"] for r in sensitivity.bandwidths(df, ["s"], ["v"], small_group=limit).collect()}
-        assert {s: pytest.approx(brute_sigma(x), rel=1e-6) for s, x in slices.items()} == out
+    out = {r["s"]: r["sigma"] for r in sensitivity.bandwidths(df, ["s"], ["v"]).collect()}
+    assert {s: pytest.approx(brute_sigma(x), rel=1e-12) for s, x in slices.items()} == out
+
+
+def test_bandwidth_of_many_values_takes_few_jobs_and_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.lognormal(size=3000)
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    spark.sparkContext.setJobGroup("sigma", "")
+    got = sensitivity.bandwidths(df, [], ["v"]).first()["sigma"]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sigma"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == pytest.approx(math.sqrt(np.median((x[:, None] - x)[np.triu_indices(3000, 1)] ** 2) / 2), rel=1e-12)
+    assert jobs < 80  # adaptive execution counts every stage of the three tables a round writes
 
 
 def test_index_of_itself_is_one():
