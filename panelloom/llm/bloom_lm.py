@@ -13,7 +13,7 @@ hash segment, to the segment's table or filter, and the counts come back per blo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import in_blocks, utf8
+from panelloom.llm.common import byte_slices, in_blocks, utf8
 from panelloom.llm.hashing import U, mix, word_hashes
 from panelloom.session import materialize
 
@@ -32,7 +32,7 @@ VOCABULARY = 8_000_000
 #: Weight of the single-word model behind the pair counts.
 PRIOR = 50.0
 #: Probes per level, bits per inserted level at least, tokens counted by a task before it sends them.
-PROBES, BITS, HELD = 3, 8, 4_000_000
+PROBES, BITS, HELD = 3, 8, 2_000_000
 END = np.array([0x5851F42D4C957F2D], U)
 _FIXED = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -84,7 +84,7 @@ def counts(docs: DataFrame, segments: int) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(list(packed(kind, np.concatenate(own))), schema)
                     own.clear()
 
-        for batch in batches:
+        for batch in byte_slices(batches):
             for run, begins in tokens(utf8(batch.column("text"))):
                 words.append(run), couples.append(pairs(run, begins))
                 held += len(run)
@@ -122,13 +122,19 @@ def filter_bits(keys: np.ndarray, n: np.ndarray) -> bytes:
 class Filter:
     """All segments side by side; ``count`` estimates the count of each key from its level."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes]) -> None:
-        self.segments = segments
-        empty = bytes(8)
-        own = [parts.get(s, empty) for s in range(segments)]
-        self.start = np.cumsum([0, *map(len, own)])[:-1].astype(np.int64) * 8
-        self.mask = np.array([len(p) * 8 - 1 for p in own], U)
-        self.bits = np.frombuffer(b"".join(own), np.uint8)
+    def __init__(self, start: np.ndarray, mask: np.ndarray, bits: np.ndarray) -> None:
+        self.segments, self.start, self.mask, self.bits = len(start), start, mask, bits
+
+    @classmethod
+    def of(cls, segments: int, parts: Iterable[tuple[int, bytes]], size: int) -> Filter:
+        """Copies the segments into one array of ``size`` bytes, and 8 empty ones for the segments that are absent."""
+        bits = np.zeros(size + 8, np.uint8)
+        start, mask, at = np.full(segments, 8 * size, np.int64), np.full(segments, 63, U), 0
+        for s, own in parts:
+            bits[at : at + len(own)] = np.frombuffer(own, np.uint8)
+            start[s], mask[s] = 8 * at, U(8 * len(own) - 1)
+            at += len(own)
+        return cls(start, mask, bits)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         return estimate(self.level(keys))
@@ -151,14 +157,6 @@ def estimate(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)  # middle of the level's range
 
 
-def fold(bits: bytes, times: int) -> bytes:
-    out = np.frombuffer(bits, np.uint8)
-    for _ in range(times):
-        if len(out) > 8:
-            out = out[: len(out) // 2] | out[len(out) // 2 :]
-    return out.tobytes()
-
-
 def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -174,7 +172,8 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FIL
     context = docs.sparkSession.sparkContext
     sent = None
     if size <= filter_bytes:
-        sent = context.broadcast({r["segment"]: bytes(r["keys"]) for r in stored.where("kind = 'p'").select("segment", "keys").toLocalIterator()})
+        parts = ((r["segment"], r["keys"]) for r in stored.where("kind = 'p'").select("segment", "keys").toLocalIterator())
+        sent = context.broadcast(Filter.of(segments, parts, size))  # three arrays, one copy in each worker
     table = None
     if distinct <= vocabulary:
         listed = sorted((r["segment"], bytes(r["keys"]), bytes(r["n"])) for r in words.select("segment", "keys", "n").toLocalIterator())
@@ -203,8 +202,8 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FIL
     else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = Filter(segments, sent.value)
-            for batch in batches:
+            model = sent.value
+            for batch in byte_slices(batches):
                 out = []
                 for own, begins in tokens(utf8(batch.column("text"))):
                     near, back = np.unique(own, return_inverse=True)
@@ -226,7 +225,6 @@ def _exact(near: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _asked(rows: DataFrame, stored: DataFrame, segments: int, listed_counts, sent, sums, kind: str, columns: str) -> DataFrame:
     """The same scores where words, pairs or both are not broadcast: blocks of rows ask the stored segments for their distinct keys."""
-    model: list[Filter] = []  # made once by a worker
     asks = [k for k, held in (("w", listed_counts), ("p", sent)) if held is None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +254,7 @@ def _asked(rows: DataFrame, stored: DataFrame, segments: int, listed_counts, sen
         if what == "w":
             found = _exact(keys, np.frombuffer(own, U), np.frombuffer(n, "<i8")).astype("<i8")
         else:
-            found = Filter(1, {0: own} if own else {}).level(keys).astype(np.uint8)
+            found = Filter.of(1, [(0, own)] if own else [], len(own)).level(keys).astype(np.uint8)
         cuts = np.cumsum([0, *(len(k) // 8 for k in sent_keys)])
         return pa.table({"kind": pa.array([what] * asked.num_rows, pa.string()), "segment": asked.column("segment"), "block": asked.column("block"), "found": pa.array([found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
@@ -269,8 +267,6 @@ def _asked(rows: DataFrame, stored: DataFrame, segments: int, listed_counts, sen
             if len(keys) != len(found):
                 raise ValueError(f"{len(found)} answers for {len(keys)} keys")
             known[what] = keys, found.astype(float) if what == "w" else estimate(found.astype(np.int64))
-        if sent is not None and not model:
-            model.append(Filter(segments, sent.value))
         out = []
         for own, begins in runs:
             values = {}
@@ -279,7 +275,7 @@ def _asked(rows: DataFrame, stored: DataFrame, segments: int, listed_counts, sen
                     values[what] = known[what][1][np.searchsorted(known[what][0], asked)]
                 else:
                     near, place = np.unique(asked, return_inverse=True)
-                    values[what] = (listed_counts if what == "w" else model[0].count)(near)[place]
+                    values[what] = (listed_counts if what == "w" else sent.value.count)(near)[place]
             out.append(sums(begins, values["w"], values["p"]))
         return pa.table([part.column("doc_id"), part.column("held_out"), *(pa.array(np.concatenate(x)) for x in zip(*out))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

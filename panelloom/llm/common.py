@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised passes hold at once.
@@ -21,6 +22,17 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so that a batch never stands beside all its texts as Python objects."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // limit
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def in_blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text stands alone."""
     start, held = 0, 0

@@ -197,12 +197,14 @@ def test_filter_counts():
     rng = np.random.default_rng(3)
     keys, n = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
     n = rng.integers(1, 300, len(keys))
-    model = bloom_lm.Filter(1, {0: bloom_lm.filter_bits(keys, n)})
+    bits = bloom_lm.filter_bits(keys, n)
+    model = bloom_lm.Filter.of(1, [(0, bits)], len(bits))
     found = model.count(keys)
     assert (found >= np.where(n > 1, 1.5 * 2.0 ** np.floor(np.log2(n)), 1)).all()
     assert (model.count(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.1
-    folded = bloom_lm.Filter(1, {0: bloom_lm.fold(bloom_lm.filter_bits(keys, n), 2)})
-    assert (folded.count(keys) >= found).all()
+    apart = [(s, bloom_lm.filter_bits(k, c)) for s in (0, 3) for at in [bloom_lm._segment(keys, 4) == s] for k, c in [(keys[at], n[at])]]
+    several, here = bloom_lm.Filter.of(4, apart, sum(len(b) for _, b in apart)), bloom_lm._segment(keys, 4)
+    assert (several.count(keys)[np.isin(here, (0, 3))] > 0).all() and not several.count(keys)[np.isin(here, (1, 2))].any()
 
 
 # -- 4: WARC
