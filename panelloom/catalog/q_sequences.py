@@ -326,9 +326,12 @@ def segments(spark, sf):
     return read_table(spark, sf, "customer").selectExpr("c_custkey", "concat(c_mktsegment, '-', c_nationkey) as segment")
 
 
-@query("fn_encode_fit", sql([ENC], "select 'segment' as variable, class, cast(code as int) as code from enc", "variable class code"))
+@query("fn_encode_fit", sql([ENC], """select 'segment' as variable, segment as class, cast(row_number() over (order by segment) - 1 as int) as code
+    from (select distinct segment from cs) union all select 'c_name', c_name, cast(row_number() over (order by c_name) - 1 as int)
+    from (select distinct c_name from customer)""", "variable class code"))
 def fn_encode_fit(spark, sf):
-    return N.fit_encoding(train_rows(spark, sf), ["segment"])
+    """All customers: a column of few classes and one with a class per row."""
+    return N.fit_encoding(read_table(spark, sf, "customer").selectExpr("concat(c_mktsegment, '-', c_nationkey) as segment", "c_name"), ["segment", "c_name"])
 
 
 @query("fn_encode_unseen", sql([ENC], """select c_custkey, cast(coalesce(code, 0) as int) as segment from cs
@@ -394,11 +397,15 @@ def spl_stratified(spark, sf):
 
 
 FOLDS = """sizes as (select entity, count(*) as n_rows from opanel group by 1),
-rk as (select *, row_number() over (order by n_rows desc, md5('42:' || entity), entity) - 1 as r from sizes),
-folds as (select entity, n_rows, case when (r // 5) % 2 = 0 then r % 5 else 4 - r % 5 end as fold from rk)"""
+rk as (select *, row_number() over (order by n_rows desc, md5('42:' || entity), entity) as r from sizes),
+lists as (select list(n_rows order by r) as ns from rk),
+greedy as (select 0 as r, cast(null as bigint) as fold, [0, 0, 0, 0, 0]::bigint[] as held from lists
+  union all select g.r + 1, list_position(held, list_min(held)) - 1,
+    list_transform(held, lambda w, i: w + case when i = list_position(held, list_min(held)) then ns[g.r + 1] else 0 end) from greedy g, lists where g.r < len(ns)),
+folds as (select entity, n_rows, cast(fold as bigint) as fold from rk join greedy using (r))"""
 
 
-@query("spl_group_kfold", sql([ORDERS, FOLDS], "select * from folds", "entity n_rows fold"))
+@query("spl_group_kfold", sql(["recursive " + ORDERS, FOLDS], "select * from folds", "entity n_rows fold"))
 def spl_group_kfold(spark, sf):
     return X.group_folds(presets.orders_panel(spark, sf), "entity", 5)
 

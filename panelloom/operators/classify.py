@@ -13,6 +13,9 @@ from panelloom.functions.nullsafe import is_below, last_row, last_value, share
 from panelloom.operators.ranks import cumulate, unpivot
 from panelloom.spec import PanelSpec
 
+#: Largest n * m for which the two-sample test counts paths.
+EXACT_CELLS = 10_000
+
 
 def crop_failure(af: str, ta: str, threshold: float) -> Column:
     return is_below(af, threshold) | is_below(ta, threshold)
@@ -136,12 +139,34 @@ def diagnostic_summary(flags: DataFrame) -> DataFrame:
     return counts.unpivot([], counts.columns, "criterion", "n_flagged")
 
 
+def ks_exact(n: Column, m: Column, stat: Column) -> Column:
+    """Probability that two samples of n and m values from one continuous distribution lie at least ``stat`` apart.
+
+    Sorted together, the samples are a path from (0, 0) to (n, m); p(i, j) is the probability that it comes by (i, j) without having been
+    that far off the diagonal. One fold over i holds the row of all j.
+    """
+    far = F.round(stat * n * m).cast("long")
+
+    def cell(before: Column, row: Column, i: Column, j: Column) -> Column:
+        left = (n + m - i - j + 1).cast("double")
+        from_a = F.when(i > 0, F.get(before, j.cast("int")) * (n - i + 1) / left).otherwise(F.lit(0.0))
+        from_b = F.when(j > 0, F.get(row, (j - 1).cast("int")) * (m - j + 1) / left).otherwise(F.lit(0.0))
+        here = F.when((i == 0) & (j == 0), F.lit(1.0)).otherwise(from_a + from_b)
+        return F.when(F.abs(i * m - j * n) >= far, F.lit(0.0)).otherwise(here)
+
+    def row_of(before: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), m), F.array().cast("array<double>"), lambda row, j: F.array_append(row, cell(before, row, i, j)))
+
+    last = F.aggregate(F.sequence(F.lit(0).cast("long"), n), F.array().cast("array<double>"), row_of)
+    return F.when(far <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.get(last, m.cast("int")))))
+
+
 def ks_two_sample(df: DataFrame, flag: str, parameters: Sequence[str], min_size: int = 10) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per parameter, flagged against the rest.
 
     Both empirical distributions come from one distributed running count over
-    distinct values.  The p-value is the asymptotic series (an exact small-sample
-    p is a deviation not followed).
+    distinct values.  The p-value is exact up to ``EXACT_CELLS`` = n * m, beyond it
+    the asymptotic series.
     """
     long = unpivot(df.withColumn("_f", F.col(flag).cast("int")), ["_f"], parameters, "parameter")
     steps = cumulate(long, ["parameter"], "value", {"a": F.col("_f"), "b": 1 - F.col("_f")})
@@ -161,4 +186,6 @@ def ks_two_sample(df: DataFrame, flag: str, parameters: Sequence[str], min_size:
 
     series = 2.0 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
     p = F.when(F.col("_lam") < 0.1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    n, m = F.col("n_flagged"), F.col("n_rest")
+    p = F.when(n * m <= EXACT_CELLS, ks_exact(n, m, F.col("ks_stat"))).otherwise(p)
     return out.withColumn("p_value", p).drop("_lam").orderBy(F.desc("ks_stat"), "parameter")

@@ -14,7 +14,8 @@ from panelloom.functions.curves import curve_pieces, yearly_curve
 from panelloom.functions.labels import pair_label
 from panelloom.functions.nullsafe import clip
 from panelloom.operators.horizon import horizon_features
-from panelloom.session import broadcast_if_small, spread
+from panelloom.operators.lookup import lookup_join
+from panelloom.session import spread
 from panelloom.spec import PanelSpec
 
 YEARLY = PanelSpec("scenario_id", "year")
@@ -93,10 +94,8 @@ def lookup_median(scenarios: DataFrame, medians: DataFrame, crop: str = "main_cr
     """Median final stock by crop, the overall median (crop NULL) for other crops, else 0."""
     by_crop = medians.where(F.col("crop").isNotNull()).select(F.col("crop").alias("_crop"), F.col("median").alias("_m"))
     overall = medians.where(F.col("crop").isNull()).agg(F.max("median").alias("_g"))
-    return (
-        scenarios.join(broadcast_if_small(by_crop), F.col(crop) == F.col("_crop"), "left").join(F.broadcast(overall), F.lit(True), "left")
-        .withColumn(out, F.coalesce("_m", "_g", F.lit(0.0))).drop("_crop", "_m", "_g")
-    )
+    found = lookup_join(scenarios.withColumn("_crop", F.col(crop).cast("string")), by_crop, ["_crop"])
+    return found.join(F.broadcast(overall), F.lit(True), "left").withColumn(out, F.coalesce("_m", "_g", F.lit(0.0))).drop("_crop", "_m", "_g")
 
 
 def curve_arrays(knots: DataFrame, n_years: int = S.N_YEARS) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.lookup import lookup_join
 from panelloom.operators.ranks import hash_rank, seeded_md5
 from panelloom.session import broadcast_if_small, freeze, materialize
 
@@ -34,17 +35,44 @@ def stratified_split(entities: DataFrame, entity: str, stratum: str, test_share:
     ).drop("rank", "n_stratum")
 
 
+def deal_sizes(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, from, to, folds): how the greedy balance deals entities, given (size, number of entities).
+
+    Sizes come from the largest down; each entity goes to the fold with the fewest rows, the smallest fold of several. Entities of one size take
+    folds in the order of the sorted values w_f + m * size, so a run of them is a few cycles over folds, whatever its length: ranks in
+    [from, to) take ``folds`` in turn.
+    """
+    held, out = [0] * k, []
+    for size, n in sorted(sizes, reverse=True):
+        block, done = min(w // size for w in held), 0
+        while done < n:
+            ready = sorted((w % size, f) for f, w in enumerate(held) if w // size <= block)
+            later = [w // size for w in held if w // size > block]
+            cycles = (min(later) - block) if later else n  # cycles before another fold joins
+            take = min(n - done, cycles * len(ready))
+            folds = [f for _, f in ready]
+            out.append((size, done, done + take, folds))
+            for place, f in enumerate(folds):
+                held[f] += size * (take // len(folds) + (place < take % len(folds)))
+            done, block = done + take, block + cycles
+    return out
+
+
 def group_folds(df: DataFrame, entity: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Entity -> fold; entities by size descending are dealt out serpentine, so fold
-    row counts differ by about one entity."""
-    sizes = df.groupBy(entity).agg(F.count("*").alias("n_rows")).withColumn("_neg", -F.col("n_rows"))
-    ranked = hash_rank(sizes, [], entity, seed, lead=["_neg"])
-    lap = F.floor(F.col("rank") / k)
-    seat = F.col("rank") % k
-    return ranked.select(
-        entity, "n_rows",
-        F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("bigint").alias("fold"),
-    )
+    """Entity -> fold; the largest entities first, each to the fold with the fewest rows so far.
+
+    Entities of one size are in hash order. The greedy rule runs over sizes, of which n rows can have at most sqrt(2n), not over entities.
+    """
+    sizes = materialize(df.groupBy(entity).agg(F.count("*").alias("n_rows")))
+    counted = [(r["n_rows"], r["n"]) for r in sizes.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n")).collect()]
+    by_size: dict[int, list[tuple[int, int, list[int]]]] = {}
+    for size, a, b, folds in deal_sizes(counted, k):
+        by_size.setdefault(size, []).append((a, b, folds))
+    dealt = df.sparkSession.createDataFrame(list(by_size.items()), "n_rows long, parts array<struct<from: long, to: long, folds: array<int>>>")
+    ranked = lookup_join(hash_rank(sizes, ["n_rows"], entity, seed), dealt, ["n_rows"])
+    part = F.element_at(F.filter("parts", lambda p: (p["from"] <= F.col("rank")) & (F.col("rank") < p["to"])), 1)
+    turn = (F.col("rank") - part["from"]) % F.size(part["folds"])
+    return ranked.select(entity, "n_rows", F.get(part["folds"], turn.cast("int")).cast("bigint").alias("fold"))
 
 
 def balance_check(entities: DataFrame, stratum: str, split: str = "split", limit: float = 10.0) -> DataFrame:
