@@ -195,24 +195,26 @@ FEATURES, TARGETS = ["clim_mean", "clim_n"], ["crop_af"]
 ROWS = "rows0 as (select period, entity, clim_mean, clim_n::double as clim_n, crop_af from panel where crop_af is not null)"
 
 
-@query("sen_hsic_pair", sql([EVENTS, ROWS, hsic_sql("rows0", FEATURES, TARGETS, 3, 30)], "select * from hv", "period boot feature target", "hsic"))
+@query("sen_hsic_pair", sql([EVENTS, ROWS, hsic_sql("rows0", FEATURES, TARGETS, 100, 400)], "select * from hv", "period boot feature target", "hsic"))
 def sen_hsic_pair(spark, sf):
     """The index of every bootstrap sample."""
     rows = materialize(presets.events_panel(spark, sf).where("crop_af is not null").select("period", "entity", *FEATURES, *TARGETS))
     sigmas = N.bandwidths(rows, ["period"], [*FEATURES, *TARGETS])
-    samples = bootstrap_samples(rows, ["period"], "entity", 3, 30)
+    samples = bootstrap_samples(rows, ["period"], "entity", 100, 400)
     return N.hsic_values(samples, sigmas, ["period"], FEATURES, TARGETS).withColumn("boot", F.col("boot").cast("bigint"))
 
 
+RANKED = """select * exclude (best), cast(dense_rank() over (partition by period order by best desc, feature) as bigint) as feature_rank
+  from (select *, max(hsic_mean) over (partition by period, feature) as best from hsum)"""
 SUMMARY = """hsum as (select period, feature, target, avg(hsic) as hsic_mean, stddev_pop(hsic) as hsic_std, quantile_cont(hsic, 0.025) as hsic_ci_low,
   quantile_cont(hsic, 0.975) as hsic_ci_high from hv group by 1, 2, 3)"""
 
 
-@query("sen_hsic_boot", sql([EVENTS, ROWS, hsic_sql("rows0", FEATURES, TARGETS, 5, 40), SUMMARY], "select * from hsum",
-                            "period feature target", "hsic_mean hsic_std hsic_ci_low hsic_ci_high"))
+@query("sen_hsic_boot", sql([EVENTS, ROWS, hsic_sql("rows0", FEATURES, TARGETS, 100, 500), SUMMARY], RANKED,
+                            "period feature target feature_rank", "hsic_mean hsic_std hsic_ci_low hsic_ci_high"))
 def sen_hsic_boot(spark, sf):
     rows = presets.events_panel(spark, sf)
-    return N.hsic_indices(rows, "entity", FEATURES, TARGETS, ["period"], 5, 40).drop("feature_rank")
+    return N.hsic_indices(rows, "entity", FEATURES, TARGETS, ["period"])
 
 
 BY_YEAR = """onerow as (select period, entity, clim_mean, clim_n::double as clim_n, crop_af from panel where crop_af is not null),
@@ -220,30 +222,28 @@ enough as (select period, count(*) as n_obs from onerow group by 1 having count(
 rows0 as (select * from onerow where period in (select period from enough))"""
 
 
-@query("sen_hsic_by_year", sql([EVENTS, BY_YEAR, hsic_sql("rows0", FEATURES, TARGETS, 4, 30), SUMMARY],
-                               "select period, 'all' as crop_name, n_obs, feature, target, hsic_mean, hsic_ci_high from hsum join enough using (period)",
-                               "period crop_name n_obs feature target", "hsic_mean hsic_ci_high"))
+@query("sen_hsic_by_year", sql([EVENTS, BY_YEAR, hsic_sql("rows0", FEATURES, TARGETS, 100, 400), SUMMARY],
+                               f"select *, 'all' as crop_name from ({RANKED}) join enough using (period)",
+                               "period crop_name n_obs feature target feature_rank", "hsic_mean hsic_std hsic_ci_low hsic_ci_high"))
 def sen_hsic_by_year(spark, sf):
-    return N.hsic_by_period(presets.events_panel(spark, sf), "entity", "period", "category", FEATURES, TARGETS, min_obs=40,
-                            n_boot=4, boot_size=30).select("period", "crop_name", "n_obs", "feature", "target", "hsic_mean", "hsic_ci_high")
+    return N.hsic_by_period(presets.events_panel(spark, sf), "entity", "period", "category", FEATURES, TARGETS, min_obs=40)
 
 
 @query("sen_hsic_per_crop")
 def sen_hsic_per_crop(spark, sf):
     return N.hsic_by_period(presets.orders_panel(spark, sf), "entity", "year", "category", ["qty", "disc"], ["revenue"], "per_crop",
-                            min_obs=30, n_boot=3, boot_size=60)
+                            min_obs=30)
 
 
 @query("sen_hsic_dominant")
 def sen_hsic_dominant(spark, sf):
     return N.hsic_by_period(presets.orders_panel(spark, sf), "entity", "year", "category", ["qty", "disc"], ["revenue"], "dominant",
-                            min_obs=30, n_boot=3, boot_size=60)
+                            min_obs=30)
 
 
 @query("sen_warm_start")
 def sen_warm_start(spark, sf):
-    return N.warm_start(presets.orders_panel(spark, sf), "entity", "year", "category", ["qty", "disc"], [], ["revenue"], top_n=1,
-                        cheap_boot=2, n_boot=5, boot_size=60, min_obs=30)
+    return N.warm_start(presets.orders_panel(spark, sf), "entity", "year", "category", ["qty", "disc"], [], ["revenue"], top_n=1, min_obs=30)
 
 
 @query("sen_validate")
