@@ -64,10 +64,11 @@ def scn_ler_mean(spark, sf):
     case when sum("yield_TA") > 0 then sum("yield_AF_eff") / sum("yield_TA") end as "RR_crop_cumul",
     avg(case when "yield_TA" > 0.1 then "yield_AF_eff" / "yield_TA" end) as "RR_crop_mean_annual", arg_max_null("RYR_tree", year) as "RR_tree",
     count(*) filter (where not ("yield_TA" > 0.1)) as n_years_yield_excluded, arg_max(("plotWidth" - 3) / "plotWidth", year) as cult_frac,
-    arg_max("yield_AF", year) as "yield_AF_final", arg_max("carbonStem_AF", year) as "carbonStem_AF_final" from full_ group by 1)""",
-    "scenario_id n_years_yield_excluded", "RR_crop_cumul RR_crop_mean_annual RR_tree LER cult_frac yield_AF_final carbonStem_AF_final"))
+    arg_max("yield_AF", year) as "yield_AF_final", arg_max("carbonStem_AF", year) as "carbonStem_AF_final",
+    arg_max("yield_TA", year) as "yield_TA_final", arg_max("carbonStem_TF", year) as "carbonStem_TF_final" from full_ group by 1)""",
+    "scenario_id n_years_yield_excluded", "RR_crop_cumul RR_crop_mean_annual RR_tree LER cult_frac yield_AF_final carbonStem_AF_final yield_TA_final carbonStem_TF_final"))
 def scn_hybrid(spark, sf):
-    return C.hybrid_ratios(wide(spark, sf)).drop("yield_TA_final", "carbonStem_TF_final")
+    return C.hybrid_ratios(wide(spark, sf))
 
 
 @query("scn_trajectory", sql([EVENTS, PLAN, WIDE], """select *, "RR_crop_cumul" + "RYR_tree" as "LER_running" from (select scenario_id, year,
@@ -195,10 +196,13 @@ STATS = " union all ".join(f"""select 'scores', '{c}.{n}', round({e}, 4) from an
     ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("p10", f"quantile_cont({c}, 0.1)"), ("median", f"median({c})"), ("p90", f"quantile_cont({c}, 0.9)")])
 
 
-@query("pre_report", sql([PLAN, ANN.format(keep=VOTE)], f"""select 'counts' as section, 'n_total' as name, count(*)::double as value from ann
+REPORT = f"""select 'counts' as section, 'n_total' as name, count(*)::double as value from ann
     union all select 'counts', 'n_kept', count(*) filter (where keep) from ann union all select 'counts', 'n_rejected', count(*) filter (where not keep) from ann
     union all select 'counts', 'keep_rate_pct', round(100.0 * count(*) filter (where keep) / count(*), 2) from ann
     union all select 'population_pct', predicted_population, round(100.0 * count(*) / (select count(*) from ann), 2) from ann group by 2
-    union all select 'population_n', predicted_population, count(*) from ann group by 2 union all {STATS}""", "section name", "value"))
+    union all select 'population_n', predicted_population, count(*) from ann group by 2 union all {STATS}"""
+
+
+@query("pre_report", sql([PLAN, ANN.format(keep=VOTE)], REPORT, "section name", "value"))
 def pre_report(spark, sf):
     return K.report(annotated(spark, sf))

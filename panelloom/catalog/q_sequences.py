@@ -151,13 +151,13 @@ LEGACY = """pos as (select period, row_number() over (order by period) - 1 as po
 cnt as (select h, count(*) as n from pos, (select unnest([20, 30]) as h) where period <= h group by 1)"""
 
 
-@query("agg_horizon_trend", sql([EVENTS, HZ, LEGACY], """select hz.entity, hz.h as horizon, regr_slope(clim_mean, period::double) as slope,
+@query("agg_horizon_trend", sql([EVENTS, HZ, LEGACY], """select entity, h as horizon, case when h > 10 then slope end as slope, case when h > 10 then legacy end as legacy from (select hz.entity, hz.h, regr_slope(clim_mean, period::double) as slope,
     covar_pop(pos::double, clim_mean) / (any_value(n) * (any_value(n) * any_value(n) - 1) / 12.0) as legacy
-    from hz join pos using (period) join cnt on cnt.h = hz.h group by 1, 2""", "entity horizon", "slope legacy", 6), digits=6)
+    from hz left join pos using (period) left join cnt on cnt.h = hz.h group by 1, 2)""", "entity horizon", "slope legacy", 6), digits=6)
 def agg_horizon_trend(spark, sf):
     """Least-squares slope and the slice-scaled variant side by side."""
-    a = features(spark, sf).where("horizon > 10").select("entity", "horizon", F.col("clim_mean_trend").alias("slope"))
-    b = features(spark, sf, legacy_trend=True).where("horizon > 10").select(
+    a = features(spark, sf).select("entity", "horizon", F.col("clim_mean_trend").alias("slope"))
+    b = features(spark, sf, legacy_trend=True).select(
         "entity", "horizon", F.col("clim_mean_trend").alias("legacy"))
     return a.join(b, ["entity", "horizon"])
 
@@ -231,10 +231,9 @@ def pchip_curve(spark, sf):
     return yearly_curve(knots(spark, sf), ["entity"], "x", "y", 40)
 
 
-@query("win_pchip", sql([EVENTS, KNOTS, pchip_sql("knots", "entity", 30, False, None, None)], "select * from curve where year between 5 and 30",
-                        "entity year", "value"))
+@query("win_pchip", sql([EVENTS, KNOTS, pchip_sql("knots", "entity", 30, False, None, None)], "select * from curve", "entity year", "value"))
 def win_pchip(spark, sf):
-    return yearly_curve(knots(spark, sf), ["entity"], "x", "y", 30).where("year >= 5")
+    return yearly_curve(knots(spark, sf), ["entity"], "x", "y", 30)
 
 
 PROFILE_KNOTS = "pk as (select entity, x, y / nullif(max(y) over (partition by entity), 0) as y from knots)"

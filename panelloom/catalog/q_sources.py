@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from panelloom import spec as S
 from panelloom.catalog.ctes import EVENTS, PLAN
+from panelloom.catalog.q_scenarios import ANN, REPORT, VOTE
 from panelloom.catalog.registry import query, sql
 from panelloom.operators import plan_filter as K
 from panelloom.session import scratch_path
@@ -86,8 +87,9 @@ def snk_metrics(spark, sf):
     r = li.agg(F.avg("l_discount"), F.avg("l_tax"), F.max("l_discount"), F.max("l_tax")).first()
     path = scratch_path(spark, "snk_metrics")
     sinks.save_metrics(spark, {"disc": r[0], "tax": r[1]}, path, "first")
-    sinks.save_metrics(spark, {"disc": r[2], "tax": r[3]}, path, "second")
-    return spark.read.parquet(path).select("run_id", "disc", "tax")
+    for _ in range(2):  # a rerun leaves one row
+        sinks.save_metrics(spark, {"disc": r[2], "tax": r[3]}, path, "second")
+    return sinks.read_runs(spark, path).select("run_id", "disc", "tax")
 
 
 @query("snk_predictions", sql([], """select l_orderkey, l_linenumber, l_extendedprice as y, l_quantity * 1000 as p,
@@ -102,13 +104,14 @@ def snk_predictions(spark, sf):
 FOLDS = """select l_orderkey % 5 as fold, avg(l_quantity) as rmse, count(*) as n from lineitem group by 1"""
 
 
-@query("snk_cv", sql([], FOLDS, "fold n", "rmse"))
+@query("snk_cv", sql([], f"select * from ({FOLDS}), (values ('first'), ('second')) r(run_id)", "run_id fold n", "rmse"))
 def snk_cv(spark, sf):
     folds = readers.read_table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 5).alias("fold")).agg(
         F.avg("l_quantity").alias("rmse"), F.count("*").alias("n"))
     path = scratch_path(spark, "snk_cv")
-    sinks.save_fold_results(folds, path)
-    return spark.read.parquet(path)
+    for run in ("first", "second", "first"):
+        sinks.save_fold_results(folds, path, run)
+    return sinks.read_runs(spark, path)
 
 
 @query("snk_sobol", sql([], """select index_type, feature, avg(v) as value from (
@@ -131,10 +134,7 @@ def snk_importance(spark, sf):
     return spark.read.parquet(f"{path}/summary")
 
 
-@query("snk_report", sql([PLAN], """select 'n_total' as name, cast(count(*) as double) as value from plan
-    union all select 'n_kept', cast(count(*) filter (where p_ok > 0.5 and not (p_fail > 0.5)) as double) from plan""",
-    "name", "value"))
+@query("snk_report", sql([PLAN, ANN.format(keep=VOTE)], REPORT, "section name", "value"))
 def snk_report(spark, sf):
     path = sinks.write_report(K.report(_annotated(spark, sf)), scratch_path(spark, "report"))
-    back = spark.read.schema("section string, name string, value double").json(path)
-    return back.where("name in ('n_total', 'n_kept')").select("name", "value")
+    return spark.read.schema("section string, name string, value double").json(path)

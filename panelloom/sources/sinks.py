@@ -21,16 +21,35 @@ def write_plan(annotated: DataFrame, path: str, flag: str = "keep") -> str:
     return path
 
 
+def _of_run(df: DataFrame, run_id: str) -> DataFrame:
+    # The folder's name is a digest, so that reading never guesses a type for it; the id itself is an ordinary column.
+    return df.withColumns({"run_id": F.lit(run_id), "_run": F.concat(F.lit("r"), F.md5(F.lit(run_id)))})
+
+
+def save_run(df: DataFrame, path: str, run_id: str, append: bool = True) -> str:
+    """Rows of one run, beside those of other runs (or, without ``append``, instead of them).
+
+    A run has a folder of its own that is replaced as a whole, so writing it again, after a failure or by a speculative second attempt,
+    never doubles its rows and never touches another run.
+    """
+    writer = _of_run(df, run_id).write.mode("overwrite").partitionBy("_run")
+    writer.option("partitionOverwriteMode", "dynamic" if append else "static").parquet(path)
+    return path
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs below ``path``; a column that a run lacks is NULL there."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("_run")
+
+
 def save_metrics(spark: SparkSession, metrics: Mapping[str, float], path: str, run_id: str,
                  append: bool = True) -> str:
-    """One timestamped row per run."""
+    """One timestamped row per run; saving a run again replaces its row."""
     row = spark.range(1).select(
-        F.lit(run_id).alias("run_id"),
         F.current_timestamp().alias("saved_at"),
         *[F.lit(float(v)).alias(k) for k, v in metrics.items()],
     )
-    row.write.mode("append" if append else "overwrite").parquet(path)
-    return path
+    return save_run(row, path, run_id, append)
 
 
 def with_residual(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -45,11 +64,11 @@ def save_predictions(df: DataFrame, truth: str, predicted: str, path: str,
     return path
 
 
-def save_fold_results(df: DataFrame, path: str) -> bool:
-    """Writes nothing (and says so) when there are no folds."""
+def save_fold_results(df: DataFrame, path: str, run_id: str = "run") -> bool:
+    """Folds of one run beside those of others; writes nothing (and says so) when there are none."""
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    save_run(df, path, run_id)
     return True
 
 
