@@ -64,9 +64,11 @@ def ml_final(spark, sf):
     from panelloom.operators.prepare import static_first
 
     labels = tree_labels(training.health(p, LIMITS), "SimID", 30, 70).where("tree_class is not null")
-    f = ["latitude", "sand", "clay", "GDD_cycle_AF", "precipitation_AF"]
+    f = [c for c in S.TREE_CLASSIFIER_FEATURES if c in p.columns]
     rows = materialize(X.entity_split(static_first(p, training.FIELD, f).join(labels, "SimID"), "SimID"))
-    model = M.fit_classifier(rows.where("split = 'train'"), f, "tree_class", M.TreeOptions("forest", 5, 3), n_classes=3)
+    train = rows.where("split = 'train'")
+    f = M.usable_features(train, f)
+    model = M.fit_classifier(train, f, "tree_class", M.TreeOptions("forest"), n_classes=3)
     return E.class_report(M.classify(model, rows.where("split = 'test'"), f), "tree_class", "predicted_class")
 
 
@@ -156,13 +158,13 @@ def climate_rows(spark, sf):
 
 @query("ml_climate", digits=None)
 def ml_climate(spark, sf):
-    return K.validate(climate_rows(spark, sf), S.CLIMATE, 2, TREES)
+    return K.validate(climate_rows(spark, sf), S.CLIMATE)
 
 
 @query("ml_climate_predict", digits=None)
 def ml_climate_predict(spark, sf):
     """Every candidate site over all years."""
-    models = K.fit(climate_rows(spark, sf), S.CLIMATE, TREES)
+    models = K.fit(climate_rows(spark, sf), S.CLIMATE)
     p = presets.scored_plan(spark, sf).select("SimID", "latitude", "longitude", "main_crop")
     sites = apply_encoding(p, materialize(fit_encoding(p, ["main_crop"])), ["main_crop"])
     return K.predict_sites(sites, models)

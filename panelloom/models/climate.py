@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom import spec as S
-from panelloom.models import tabular as M
+from panelloom.models import boosting as B
 from panelloom.operators.encode import apply_encoding
-from panelloom.operators.metrics import fold_summary
+from panelloom.operators.metrics import fold_summary, regression_metrics
 from panelloom.operators.prepare import climate_guard, first_per_key
 from panelloom.operators.split import group_folds
+from panelloom.session import materialize
 
 # Fixed values.
 FEATURES = ["latitude", "longitude", "main_crop", "Harvest_Year_Absolute"]
@@ -27,24 +27,36 @@ def training_rows(df: DataFrame, encoding: DataFrame, variables: Sequence[str] =
     return apply_encoding(one, encoding, ["main_crop"])
 
 
-def fit(rows: DataFrame, variables: Sequence[str] = tuple(S.CLIMATE), o: M.TreeOptions | None = None) -> dict[str, PipelineModel]:
-    return {v: M.fit_regressor(rows, FEATURES, v, o) for v in variables}
+#: Options of the surrogates; one climate variable needs few splits on site, crop and year.
+SURROGATE = B.Boost(trees=24, depth=5, step=0.2, least_rows=10)
+
+
+def _stacked(rows: DataFrame, variables: Sequence[str], *keep: str) -> DataFrame:
+    """Rows of all variables below each other: ``variable``, ``truth`` and the features."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("truth")) for v in variables])
+    return rows.select(*keep, *FEATURES, F.explode(pairs).alias("_v")).select(*keep, *FEATURES, "_v.*")
+
+
+def fit(rows: DataFrame, variables: Sequence[str] = tuple(S.CLIMATE), o: B.Boost | None = None) -> dict[str, B.Model]:
+    """One model per variable, all fitted in one set of jobs."""
+    return B.fit(_stacked(rows, variables), [B.Job(v, v, FEATURES, o or SURROGATE) for v in variables], "truth", "variable")
 
 
 def validate(rows: DataFrame, variables: Sequence[str] = tuple(S.CLIMATE), k: int = 5,
-             o: M.TreeOptions | None = None) -> DataFrame:
-    """Grouped cross-validation per variable with its status."""
-    folded = rows.join(group_folds(rows, "SimID", k).select("SimID", "fold"), "SimID").cache()
-    out = None
-    for v in variables:
-        s = fold_summary(M.cross_validate(folded, FEATURES, v, "fold", k, o), ["r2_val", "rmse"]).withColumn("variable", F.lit(v))
-        out = s if out is None else out.unionByName(s)
+             o: B.Boost | None = None) -> DataFrame:
+    """Grouped cross-validation per variable with its status; the models of all variables and folds are fitted side by side."""
+    folds = group_folds(rows, "SimID", k).select("SimID", F.col("fold").cast("int").alias("fold"))
+    stacked = materialize(_stacked(rows.join(folds, "SimID"), variables, "fold"))
+    models = B.fit(stacked, [B.Job(f"{v}|{i}", v, FEATURES, o or SURROGATE, held=i) for v in variables for i in range(k)], "truth", "variable", "fold")
+    scored = B.predict(models, stacked.withColumn("_key", F.concat_ws("|", "variable", F.col("fold").cast("string"))), "predicted", "_key")
+    found = regression_metrics(scored, "truth", "predicted", ["variable", "fold"]).withColumnRenamed("r2", "r2_val")
+    out = fold_summary(found, ["r2_val", "rmse"], ["variable"])
     return out.withColumn("status", F.when(F.col("r2_val_mean") > GOOD_R2, "OK").otherwise("WARN"))
 
 
-def predict_sites(sites: DataFrame, models: dict[str, PipelineModel], n_years: int = S.N_YEARS) -> DataFrame:
+def predict_sites(sites: DataFrame, models: dict[str, B.Model], n_years: int = S.N_YEARS) -> DataFrame:
     """All years of every site in one pass, then the physical guard."""
     rows = sites.withColumn("Harvest_Year_Absolute", F.explode(F.sequence(F.lit(1), F.lit(n_years))))
     for v, model in models.items():
-        rows = M.predict(model, rows, FEATURES, out=v)
+        rows = B.predict(model, rows, v)
     return climate_guard(rows)
