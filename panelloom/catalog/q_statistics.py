@@ -229,6 +229,12 @@ def sen_hsic_by_year(spark, sf):
     return N.hsic_by_period(presets.events_panel(spark, sf), "entity", "period", "category", FEATURES, TARGETS, min_obs=40)
 
 
+@query("sen_hsic_whole")
+def sen_hsic_whole(spark, sf):
+    """Every row of every slice of line items; beyond SQL, as all pairs would have to be formed (tested against the exact index)."""
+    return N.hsic_whole(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], ["l_extendedprice", "l_tax"], ["l_linestatus", "l_returnflag"])
+
+
 @query("sen_hsic_per_crop")
 def sen_hsic_per_crop(spark, sf):
     return N.hsic_by_period(presets.orders_panel(spark, sf), "entity", "year", "category", ["qty", "disc"], ["revenue"], "per_crop",

@@ -182,3 +182,14 @@ def test_a_feature_met_twice_on_a_path():
     x = np.array([[0.5], [2.5], [9.0], [np.nan]])
     np.testing.assert_allclose(own.values(x)[:, 0] + own.base, model.score(x))
     assert own.base == pytest.approx(0.5 + 0.2 * 1 + 0.4 * 4 + 0.4 * 10)
+
+
+def test_halving_keeps_the_better_third(spark, rows):
+    from panelloom.models import tabular as M
+
+    best, report = M.halving_search(rows.where("fold is not null"), FEATURES, "y", "fold", 3, trials=7, space={"depth": [1, 2], "step": [0.01, 0.3], "least_rows": [5]}, first_trees=1)
+    rungs = report.groupBy("rung", "trees").agg(F.count(F.lit(1)).alias("n"), F.count_if("survived").alias("kept"), F.min(F.when(F.col("survived"), F.col("mean_r2"))).alias("low"),
+                                                F.max(F.when(~F.col("survived"), F.col("mean_r2"))).alias("high")).orderBy("rung").collect()
+    assert [(r["rung"], r["trees"], r["n"], r["kept"]) for r in rungs] == [(0, 1, 7, 3), (1, 2, 3, 1)]
+    assert all(r["low"] >= r["high"] for r in rungs) and best.step == 0.3 and best.trees == 2
+    assert M.halving_search(rows, FEATURES, "y", "fold", 3, trials=5, space={"depth": [1]}, seconds=0)[1].count() == 5

@@ -251,6 +251,22 @@ def test_bandwidth_of_many_values_takes_few_jobs_and_rows(spark):
     assert jobs < 80  # adaptive execution counts every stage of the three tables a round writes
 
 
+def test_whole_slices_by_feature_maps_equal_the_exact_index(spark):
+    rng = np.random.default_rng(2)
+    x, e = rng.normal(size=1000), rng.normal(size=1000)
+    table = {"x": x, "skew": np.exp(e), "y": x**2 + 0.3 * e, "z": rng.uniform(size=1000), "flat": np.ones(1000), "g": np.repeat([1, 2], 500), "h": np.repeat(["a", "b"], 500)}
+    df = spark.createDataFrame([tuple(v[i].item() if hasattr(v[i], "item") else v[i] for v in table.values()) for i in range(1000)], list(table)).repartition(5)
+    extra = spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 1, "a")], df.schema)
+    got = {(r["g"], r["h"], r["feature"], r["target"]): r for r in sensitivity.hsic_whole(df.unionByName(extra), ["x", "skew", "flat"], ["y", "z"], ["g", "h"]).collect()}
+    for g, h, at in ((1, "a", slice(0, 500)), (2, "b", slice(500, 1000))):
+        sample = {c: table[c][at] for c in ("x", "skew", "flat", "y", "z")}
+        exact = sensitivity.hsic_of_sample(sample, {c: brute_sigma(v) for c, v in sample.items()}, ["x", "skew", "flat"], ["y", "z"])
+        for f, t, value in exact:
+            r = got[g, h, f, t]
+            assert abs(r["hsic"] - value) < 0.01 and r["n_obs"] == 500
+    assert len(got) == 12 and sensitivity.hsic_whole(df.limit(0), ["x"], ["y"]).count() == 0
+
+
 def test_index_of_itself_is_one():
     x = np.arange(40.0) ** 2
     out = sensitivity.hsic_of_sample({"x": x, "c": np.ones(40)}, {"x": 200.0, "c": 1.0}, ["x", "c"], ["x"])
