@@ -108,7 +108,7 @@ def _clip(c):
 @query("wins_apply", sql([ORDERS, WINS], f"select entity, year, category, {', '.join(_clip(c) for c in COLS)} from opanel",
                          "entity year category", "qty revenue disc", 3), digits=3)
 def wins_apply(spark, sf):
-    p = presets.orders_panel(spark, sf)
+    p = materialize(presets.orders_panel(spark, sf))
     return Q.winsor_apply(p, Q.winsor_fit(p.where("year <= 1999"), COLS))
 
 
@@ -116,7 +116,7 @@ def wins_apply(spark, sf):
     f"select '{c}' as variable, count(*) filter (where {c} < lo or {c} > hi) as n_clipped from opanel, b where variable = '{c}'" for c in COLS),
     "variable n_clipped"))
 def wins_counts(spark, sf):
-    p = presets.orders_panel(spark, sf)
+    p = materialize(presets.orders_panel(spark, sf))
     return Q.winsor_counts(p, Q.winsor_fit(p.where("year <= 1999"), COLS))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.labels import pair_label
 from panelloom.operators.aggregate import probability_stats
+from panelloom.session import materialize
 
 # Annotation columns.
 ANNOTATIONS = [
@@ -82,7 +83,11 @@ def propagation_report(plans: Mapping[str, DataFrame | None], annotated: DataFra
 
 
 def report(annotated: DataFrame) -> DataFrame:
-    """Long report (section, name, value): counts, keep rate, label shares, score statistics."""
+    """Long report (section, name, value): counts, keep rate, label shares, score statistics.
+
+    The four columns it reads are written once.
+    """
+    annotated = materialize(annotated.select("keep", "predicted_population", "clf1_p_tree_ok", "clf2_p_yield_ok"))
     totals = annotated.agg(
         F.count("*").cast("double").alias("n_total"), F.count_if("keep").cast("double").alias("n_kept"),
     ).withColumn("n_rejected", F.col("n_total") - F.col("n_kept")).withColumn(

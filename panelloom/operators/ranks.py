@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import broadcast_if_small, freeze, materialize, materialize_counted
+from panelloom.session import broadcast_if_small, freeze, materialize_counted
 
 #: Rows that one bucket holds on average; the number of buckets follows from the counted rows.
 BUCKET_ROWS = 50_000
@@ -146,8 +146,8 @@ def rank_average(df: DataFrame, groups: Sequence[str], value: str, out: str = "r
     """Average-tie rank (1-based) joined to every row with a value; values with many ties are not shuffled (see ``lookup_join``)."""
     from panelloom.operators.lookup import HOT_SHARE, lookup_join
 
-    ranks = materialize(cumulate(df, groups, value))
-    rows = ranks.agg(F.sum("n")).first()[0] or 0
+    ranks, seen = materialize_counted(cumulate(df, groups, value), rows=F.sum("n"))
+    rows = seen["rows"] or 0
     keys = [*groups, value]
     hot = ranks.where(F.col("n") * HOT_SHARE > rows).select(*keys)
     return lookup_join(df, ranks.select(*keys, (F.col("n_below") + (F.col("n") + 1) / 2).alias(out)), keys, "inner", hot)

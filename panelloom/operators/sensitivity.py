@@ -20,7 +20,7 @@ from panelloom.operators.split import bootstrap_samples
 from panelloom.session import broadcast_if_small, freeze, materialize, materialize_counted
 
 #: Value buckets of a group at the start, as a power of two, and how many bits finer each round makes them.
-FIRST_BITS, STEP_BITS = 6, 3
+FIRST_BITS, STEP_BITS = 7, 3
 #: Quantiles of the bucket pairs' distance bounds that a round tries as limits.
 TRIED = 31
 CONSTANT = 1e-10
