@@ -23,12 +23,13 @@ COLUMNS = (
     "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest",
     "source_digest", "source_headers", "content_length", "block",
 )
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|title|section|article|header|footer|nav|blockquote|pre|form|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+RAW = {"script", "style", "noscript", "template"}
+BLOCKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 title section article header footer nav blockquote pre form hr".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)|[!?/]")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW} | {"title": re.compile("</title", re.I)}
+_HREF = re.compile(r"\bhref\s*=\s*([\"']?)", re.I)
+_BARE = re.compile(r"[^\s>]*")
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -40,18 +41,71 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(parts))}>"
 
 
+def scan(page: str) -> tuple[str, dict[str, object]]:
+    """(plain text, title, language and links in order of appearance) in one pass over the page; it never goes back, so time is linear.
+
+    Scripts, styles and comments are dropped up to their end or the page's, block tags are line ends, other tags blanks; a known tag reaches
+    up to the next >, an unknown one only if no < comes first. Entities are resolved, blank lines removed.
+    """
+    out: list[str] = []
+    title, lang, links = None, None, []
+    pos, end = 0, -1
+    while (at := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            out += [page[pos:at], " "]
+            pos = close + 3 if close >= 0 else len(page)
+            continue
+        found = _NAME.match(page, at + 1)
+        if not found:
+            out.append(page[pos : at + 1])
+            pos = at + 1
+            continue
+        if end < at:
+            end = page.find(">", at)
+            if end < 0:  # no tag can end any more
+                break
+        name, closing = (found[1] or "").lower(), page[at + 1] == "/"
+        if not (name in BLOCKS or name in RAW or name in ("a", "html")):
+            after = page.find("<", at + 1)
+            if 0 <= after < end:
+                out.append(page[pos:after])
+                pos = after
+                continue
+        out += [page[pos:at], "\n" if name in BLOCKS else " "]
+        pos = end + 1
+        if closing:
+            continue
+        if name in RAW:
+            close = _CLOSE[name].search(page, pos)
+            pos = close.end() if close else len(page)
+        elif name == "a" and (link := _HREF.search(page, at, pos)):
+            close = page.find(link[1], link.end()) if link[1] else -1
+            if close >= 0:
+                links.append(html.unescape(page[link.end() : close]))
+                if close > end:  # the value holds a >
+                    end = page.find(">", close)
+                    pos = end + 1 if end >= 0 else len(page)
+            else:
+                links.append(html.unescape(link[1] + _BARE.match(page, link.end(), pos)[0]))
+        elif name == "html" and lang is None and (named := _LANG.search(page, at, pos)):
+            lang = named[1].lower()
+        elif name == "title" and title is None and (close := _CLOSE["title"].search(page, pos)):
+            title = html.unescape(page[pos : close.start()]).strip()
+        elif name == "title" and title is None:
+            title = ""  # never closed: do not search for its end again
+    out.append(page[pos:])
+    lines = (_SPACES.sub(" ", line).strip() for line in html.unescape("".join(out)).split("\n"))
+    return "\n".join(line for line in lines if line), {"title": title or None, "lang": lang, "links": links}
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: scripts, styles and comments dropped, block tags as line ends, entities resolved, blank lines removed."""
-    text = html.unescape(_TAG.sub(" ", _BREAK.sub("\n", _DROP.sub(" ", page))))
-    lines = (_SPACES.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return scan(page)[0]
 
 
 def page_facts(page: str) -> dict[str, object]:
-    """Title, language and outgoing links in order of appearance."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [html.unescape(next((g for g in m.groups() if g is not None), "")) for m in _LINK.finditer(page)]
-    return {"title": html.unescape(title[1]).strip() if title else None, "lang": lang[1].lower() if lang else None, "links": links}
+    """Title (None without one), language and outgoing links."""
+    return scan(page)[1]
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -77,13 +131,14 @@ def derive(records: DataFrame) -> DataFrame:
                 payload = page.encode()
                 block = head.encode() + payload
                 source = record_id("response", str(page_id), uri, digest(block))
-                fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:] if ": " in line)
-                headers = json.dumps(fields, sort_keys=True)
+                fields = [line.split(": ", 1) for line in head.split("\r\n")[1:] if ": " in line]  # in order, repeated names too
+                headers = json.dumps(fields, ensure_ascii=False)
                 rows.append(("response", source, None, uri, date, "application/http; msgtype=response", digest(block), digest(payload), None, headers, len(block), block.decode()))
-                facts = page_facts(page) | {"http": fields}
-                for kind, form, text in (("metadata", "application/json", json.dumps(facts, sort_keys=True, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
-                    made = text.encode()
-                    rows.append((kind, record_id(kind, source), source, uri, date, form, digest(made), digest(made), digest(payload), headers, len(made), text))
+                text, facts = scan(page)
+                facts |= {"http": fields}
+                for kind, form, body in (("metadata", "application/json", json.dumps(facts, sort_keys=True, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", text)):
+                    made = body.encode()
+                    rows.append((kind, record_id(kind, source), source, uri, date, form, digest(made), digest(made), digest(payload), headers, len(made), body))
                 at += [i, i, i]
             kinds = [pa.string()] * 10 + [pa.int64(), pa.string()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
@@ -95,12 +150,14 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def serialize(derivatives: DataFrame) -> DataFrame:
-    """Every record in the WARC/1.1 file form (page_id, record_id, record)."""
-    lines = [
-        F.concat(F.lit(f"{name}: "), F.col(column)) for name, column in (
-            ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
-            ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"),
-        )
-    ]
+    """Every record in the WARC/1.1 file form (page_id, record_id, record); derivatives name their source's target, date, digest and headers."""
+    derived = F.col("refers_to").isNotNull()
+    named = (
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
+        ("WARC-Refers-To-Target-URI", F.when(derived, F.col("target_uri"))), ("WARC-Date", "date"), ("WARC-Refers-To-Date", F.when(derived, F.col("date"))),
+        ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Source-Digest", "source_digest"),
+        ("WARC-Source-Headers", F.when(derived, F.col("source_headers"))), ("Content-Type", "content_type"),
+    )
+    lines = [F.concat(F.lit(f"{name}: "), F.col(c) if isinstance(c, str) else c) for name, c in named]
     head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines, F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")))
     return derivatives.select("page_id", "record_id", F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
