@@ -24,13 +24,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import in_blocks, list_array, utf8
 from panelloom.llm.components import connected_components
 from panelloom.llm.hashing import U, mix, runs_of, word_hashes
-from panelloom.session import materialize, materialize_counted
+from panelloom.session import broadcast_if_small, drop_written, materialize, materialize_at, materialize_counted, scratch_path, settle
 
 #: Counters in each word sketch: the most that is broadcast, whatever the corpus.
 SKETCH = 1 << 20
@@ -119,21 +119,34 @@ def signatures(docs: DataFrame, n: int, threshold: int, sketch: np.ndarray) -> D
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, orders: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: prefix overlap under every order first, whole sets after it."""
+    """The pairs (a, b) that reach the threshold: prefix overlap under every order first, whole sets after it.
+
+    Each table of prefixes or sets is cut down to the classes that are still in a pair before it is joined.
+    """
     left = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("p0").alias("a0"))
     right = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("p0").alias("b0"))
     # Sets that reach t share at least t / (1 + t) of their sizes' sum, and outside the prefixes lie at most ceil(t * size) - 1 of the larger set.
     need = F.ceil((F.col("na") + F.col("nb")) * threshold / (100.0 + threshold) - 1e-6)
     beyond = F.ceil(F.greatest("na", "nb") * threshold / 100.0 - 1e-9) - 1
     least = F.greatest(F.lit(1), need - beyond)
-    near = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("a0", "b0")) >= least)
+    near = pairs.join(_only(left, pairs, "a"), "a").join(_only(right, pairs, "b"), "b").where(F.size(F.array_intersect("a0", "b0")) >= least)
     near = materialize(near.select("a", "b", "na", "nb"))
-    sides = [sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), *[F.col(f"p{k}").alias(f"{x}{k}") for k in range(1, orders)]) for x in "ab"]
-    both = F.size(F.array_intersect("ha", "hb"))
-    met = near.join(sides[0], "a").join(sides[1], "b")
     for k in range(1, orders):
-        met = met.where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= least)
-    return materialize(met.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+        sides = [_only(sets.select(F.col("node").alias(x), F.col(f"p{k}").alias(f"{x}{k}")), near, x) for x in "ab"]
+        met = near.join(sides[0], "a").join(sides[1], "b").where(F.size(F.array_intersect(f"a{k}", f"b{k}")) >= least)
+        near = materialize(met.select("a", "b", "na", "nb"))
+    sides = [_only(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")), near, x) for x in "ab"]
+    both = F.size(F.array_intersect("ha", "hb"))
+    met = near.join(sides[0], "a").join(sides[1], "b").where(100 * both >= threshold * (F.col("na") + F.col("nb") - both))
+    out = materialize(met.select("a", "b"))
+    settle(pairs.sparkSession)
+    return out
+
+
+def _only(table: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """Rows of ``table`` whose ``side`` stands in a pair; the ids are broadcast if they are few."""
+    ids = materialize(pairs.select(side).distinct())
+    return table.join(broadcast_if_small(ids, 1_000_000), side, "left_semi")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders: int = ORDERS) -> DataFrame:
@@ -145,18 +158,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     sketches = word_sketches(docs, orders)
     parsed = materialize(signatures(docs, n, threshold, sketches[0]).withColumn("row", F.monotonically_increasing_id()))
     with_set = parsed.where("digest is not null")
-    classes = materialize(
-        with_set.groupBy("digest").agg(F.min("row").alias("node")).join(with_set, "digest").where("row = node").drop("row")
-    )
+    first = with_set.groupBy("digest").agg(F.min("row").alias("row"))
+    # Prefixes move by row number, once and for one row of a class only.
+    paths = [scratch_path(docs.sparkSession, name) for name in ("classes", "postings", "sets")]
+    classes = materialize_at(with_set.join(first.select("row"), "row").withColumnRenamed("row", "node"), paths[0])
+    settle(docs.sparkSession)
     postings = classes.select("node", "n_shingles", F.size("p0").alias("width"), F.explode("p0").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
     # "away": share of the prefix that no other class holds; hubs are the members nearest to the rest of their posting.
     away = 1 - F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("width")
-    postings = materialize(postings.join(shared, "token").withColumn("away", away).drop("width"))
+    postings = materialize_at(postings.join(shared, "token").withColumn("away", away).drop("width"), paths[1])
+    settle(docs.sparkSession)
 
     # Whole sets and prefixes under the other orders, only for classes that share a posting.
     asked = postings.select("node").distinct().join(classes.select("node", "digest", "doc_id", "text_md5"), "node")
-    sets = materialize(_fetch(docs, asked, n, threshold, sketches))
+    sets = materialize_at(_fetch(docs, asked, n, threshold, sketches), paths[2])
+    settle(docs.sparkSession)
 
     labels, links = None, []
     for pick in (F.min(F.struct("away", "node", "n_shingles", "component")), F.max(F.struct("component", "node", "n_shingles"))):
@@ -168,7 +185,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 80, orders:
     links.append(_verified(_open_pairs(_labelled(postings, labels), sets, threshold), classes, sets, threshold, orders))
     labels = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
 
-    named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    named = materialize(classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+    for path in paths:
+        drop_written(docs.sparkSession, path)
+    settle(docs.sparkSession)
     rows = parsed.select("row", "doc_id", "text_md5", "n_shingles", "digest").join(named, "digest", "left").withColumn("component", F.coalesce("component", "row"))
     first = rows.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_md5"))).alias("least"), F.min("text_md5").alias("any"))
     joined = rows.join(first, "component")
@@ -190,7 +210,9 @@ def _open_pairs(held: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     # Differences to the hub, for members of which at least a third is shared with it.
     around = held.where("2 * least(n_shingles, nc) >= greatest(n_shingles, nc)").select("c", "node", "component", "n_shingles").distinct()
-    both = materialize(around).join(sets.select(F.col("node").alias("c"), F.col("hashes").alias("hc")), "c").join(sets.select("node", F.col("hashes").alias("hx")), "node")
+    around = materialize(around)
+    hubs, members = (_only(sets.select(F.col("node").alias(x), F.col("hashes").alias(h)), around, x) for x, h in (("c", "hc"), ("node", "hx")))
+    both = around.join(hubs, "c").join(members, "node")
     apart = F.array_union(F.array_except("hx", "hc"), F.array_except("hc", "hx"))
     near = materialize(both.select("c", "node", "component", "n_shingles", F.size("hc").alias("nc"), apart.alias("apart")).where("2 * size(apart) <= n_shingles + nc").drop("nc"))
 
@@ -234,10 +256,15 @@ def _fetch(docs: DataFrame, asked: DataFrame, n: int, threshold: int, sketches:
                     lists[k].append(_prefix(found, first, words, n, threshold, sketches[k], k))
             yield pa.RecordBatch.from_arrays([batch.column("node"), *(list_array(x, pa.int64()) for x in lists)], names)
 
-    a, b = docs.select("doc_id", "text").withColumn("md5", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))), asked.select("node", F.col("doc_id").alias("asked_id"), F.col("text_md5").alias("asked_md5"))
-    met = a.join(b, a["doc_id"].eqNullSafe(b["asked_id"]) & (a["md5"] == b["asked_md5"])).select("node", "text")
+    # A class is asked for by one (doc_id, text), so rows that repeat it are dropped where the join has brought them together.
+    own = docs.select(_row_key(F.col("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).alias("key"), "text")
+    met = own.join(asked.select("node", _row_key(F.col("doc_id"), F.col("text_md5")).alias("key")), "key").dropDuplicates(["key"]).select("node", "text")
     schema = "node long, " + ", ".join(f"{c} array<long>" for c in names[1:])
-    return met.dropDuplicates(["node"]).mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
+
+
+def _row_key(doc_id: Column, text_md5: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"), F.lit(":").cast("binary"), text_md5))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
