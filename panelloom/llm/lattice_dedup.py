@@ -1,8 +1,9 @@
 """Embedding near-duplicates by lattice hashing.
 
-Every vector is scaled to unit length and projected, per table, onto 8 random orthonormal directions; the scaled projection is decoded to
-its nearest point of the lattice E8, the cell. A vector is stored in its own cell and probes the cells next in distance. Vectors
-that meet in a cell of their label are verified by cosine in double precision. Cells are cut into blocks, so that a crowded cell
+Every vector is scaled to unit length and projected, per table, onto random orthonormal directions, 8 for each of one or more codes; each scaled
+projection is decoded to its nearest point of the lattice E8, and the points of a table together name a cell. The more vectors one label has, the more
+codes a cell's name takes, so that the number of cells grows with the vectors and a cell holds a bounded number of unrelated ones. A
+vector is stored in its own cell and probes the cells next in distance, lattice neighbours of its points. Vectors that meet in a cell of their label are verified by cosine in double precision. Cells are cut into blocks, so that a crowded cell
 becomes many tasks; a block pair returns link counts and spanning links only, never the pairs themselves. A pair is counted in the
 first table in which it meets, which both sides' cell lists decide.
 """
@@ -21,10 +22,13 @@ from panelloom.llm.components import connected_components
 from panelloom.llm.hashing import U, mix
 from panelloom.session import materialize
 
-TABLES = 6
-PROBES = 3
-#: Width of a cell relative to the distance of two unit vectors at the threshold, after projection.
-WIDTH = 3.5
+TABLES = 4
+#: Neighbours of each lattice point that are probed, and cells probed per table at most.
+PROBES, MOST_CELLS = 3, 16
+#: Width of a lattice cell relative to the distance of two unit vectors at the threshold, after projection.
+WIDTH = 3.0
+#: Share of unrelated vectors that a probed lattice point is reckoned to hold, and vectors of one label for which one code is enough.
+SHARE, ENOUGH = 0.004, 4096
 #: Vectors per block of a cell.
 BLOCK = 512
 #: Rows per bucket of block pairs, on average.
@@ -55,29 +59,45 @@ def _minimal() -> np.ndarray:
     return np.concatenate([pairs, signs[(signs < 0).sum(1) % 2 == 0] / 2])
 
 
-def cells(vectors: np.ndarray, tables: int, probes: int, threshold: float, seed: int = 7) -> np.ndarray:
-    """Cell keys [vector, table, 1 + probes]: the own cell, then the neighbours by distance."""
+def codes_for(vectors: int) -> int:
+    """Codes in a cell's name for so many vectors of one label: one more whenever a cell would hold ``ENOUGH`` times ``SHARE`` unrelated ones."""
+    return 1 + max(0, int(np.ceil(np.log(max(1, vectors / ENOUGH)) / -np.log(SHARE))))
+
+
+def cells(vectors: np.ndarray, tables: int, probes: int, threshold: float, codes: int = 1, seed: int = 7) -> np.ndarray:
+    """Cell keys [vector, table, cell]: the own cell, then the cells probed, by distance."""
     n, width = vectors.shape
     rng, around = np.random.default_rng(seed), _minimal()
     # Dimensions below 8 keep all of them and leave the rest of the lattice point at 0.
     scale = WIDTH * np.sqrt(2 - 2 * threshold) * np.sqrt(min(8, width) / width)
     weights = mix(np.arange(1, 9).astype(U)) | U(1)
-    out = np.empty((n, tables, 1 + probes), np.int64)
+    most = min(MOST_CELLS, (1 + probes) ** codes)
+    out = np.empty((n, tables, most), np.int64)
     for t in range(tables):
-        basis = np.linalg.qr(rng.standard_normal((width, min(8, width))))[0]
-        x = np.zeros((n, 8))
-        x[:, : basis.shape[1]] = vectors @ basis / scale
-        x += rng.random(8)
-        own = decode_e8(x)
-        rest = x - own / 2
-        # |rest - m|^2 = |rest|^2 + 2 - 2 rest.m for every minimal vector m
-        order = np.argsort(-(rest @ around.T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([own[:, None], own[:, None] + np.rint(2 * around[order]).astype(np.int64)], 1)
-        out[:, t] = mix((points.astype(U) * weights).sum(2, dtype=U) + U(t)).view(np.int64)
+        keys, apart = np.full((n, 1), t, U), np.zeros((n, 1))
+        for _ in range(codes):
+            basis = np.linalg.qr(rng.standard_normal((width, min(8, width))))[0]
+            x = np.zeros((n, 8))
+            x[:, : basis.shape[1]] = vectors @ basis / scale
+            x += rng.random(8)
+            own = decode_e8(x)
+            rest = x - own / 2
+            # |rest - m|^2 = |rest|^2 + 2 - 2 rest.m for every minimal vector m
+            close = rest @ around.T
+            order = np.argsort(-close, axis=1, kind="stable")[:, :probes]
+            points = np.concatenate([own[:, None], own[:, None] + np.rint(2 * around[order]).astype(np.int64)], 1)
+            code = mix((points.astype(U) * weights).sum(2, dtype=U))
+            more = np.concatenate([np.zeros((n, 1)), 2 - 2 * np.take_along_axis(close, order, 1)], 1)
+            keys = mix(keys[:, :, None] * U(0x9E3779B97F4A7C15) + code[:, None, :]).reshape(n, -1)
+            apart = (apart[:, :, None] + more[:, None, :]).reshape(n, -1)
+            # The own cell costs nothing, so it stays first.
+            best = np.argsort(apart, axis=1, kind="stable")[:, :MOST_CELLS]
+            keys, apart = np.take_along_axis(keys, best, 1), np.take_along_axis(apart, best, 1)
+        out[:, t] = keys.view(np.int64)
     return out
 
 
-def prepare(vectors: DataFrame, tables: int, probes: int, threshold: float) -> DataFrame:
+def prepare(vectors: DataFrame, tables: int, probes: int, threshold: float, codes: int = 1) -> DataFrame:
     """Usable vectors as node, label, unit vector (doubles as bytes), cells. Null, zero, empty or non-finite ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +113,7 @@ def prepare(vectors: DataFrame, tables: int, probes: int, threshold: float) -> D
                 good = np.isfinite(x).all(1) & (big[:, 0] > 0)
                 at, x = np.array(at)[good], x[good] / big[good]
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                keys = cells(x, tables, probes, threshold).reshape(len(x), -1)
+                keys = cells(x, tables, probes, threshold, codes).reshape(len(x), -1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("node").take(pa.array(at)), batch.column("label").take(pa.array(at)),
                     pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()),
@@ -114,7 +134,10 @@ def near_duplicates(
     rows = materialize(vectors.select("vec_id", "label", "embedding").withColumn("row", F.monotonically_increasing_id()))
     equal = rows.where("label is not null and embedding is not null").groupBy("label", "embedding").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(equal)
-    units = materialize(prepare(classes, tables, probes, threshold).join(classes.select("node", "copies"), "node"))
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    codes = codes_for(largest)
+    each = min(MOST_CELLS, (1 + probes) ** codes)
+    units = materialize(prepare(classes, tables, probes, threshold, codes).join(classes.select("node", "copies"), "node"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +147,7 @@ def near_duplicates(
             place = np.tile(np.arange(many), batch.num_rows)
             yield pa.RecordBatch.from_arrays([
                 batch.column("node").take(at), batch.column("label").take(at), pa.array(keys.ravel()),
-                pa.array((place // (1 + probes)).astype(np.int32)), pa.array(place % (1 + probes) == 0),
+                pa.array((place // each).astype(np.int32)), pa.array(place % each == 0),
             ], ["node", "label", "cell", "tab", "own"])
 
     kind = units.schema["label"].dataType.simpleString()
@@ -151,7 +174,7 @@ def near_duplicates(
         part = part.sort_values(group, ignore_index=True)
         keys = part[group].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
-        found = [f for a, b in zip(cuts, cuts[1:]) if b - a > 1 for f in _links(part.iloc[a:b], threshold, tables, probes)]
+        found = [f for a, b in zip(cuts, cuts[1:]) if b - a > 1 for f in _links(part.iloc[a:b], threshold, tables, each)]
         if not found:
             return pd.DataFrame({"node": [], "n": [], "to": []}).astype("int64")
         node, n, to = (np.concatenate(x) for x in zip(*found))
@@ -173,14 +196,14 @@ def near_duplicates(
     return joined.join(least, "component").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(part: pd.DataFrame, threshold: float, tables: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _links(part: pd.DataFrame, threshold: float, tables: int, each: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(node, copies of the other end, other end) for both ends of every link between a visiting and a stored vector of one block pair."""
     own, tab, sizes = part["own"].to_numpy(), int(part["tab"].iloc[0]), part["unit"].map(len).to_numpy()
     for size in np.unique(sizes):  # vectors of other widths never link
         a, b = part[own & (sizes == size)], part[~own & (sizes == size)]
         if not len(a) or not len(b):
             continue
-        ka, kb = (np.frombuffer(b"".join(x["cells"]), np.int64).reshape(len(x), tables, 1 + probes) for x in (a, b))
+        ka, kb = (np.frombuffer(b"".join(x["cells"]), np.int64).reshape(len(x), tables, each) for x in (a, b))
         ua, ub = (np.frombuffer(b"".join(x["unit"])).reshape(len(x), -1) for x in (a, b))
         na, nb, ca, cb = a["node"].to_numpy(), b["node"].to_numpy(), a["copies"].to_numpy(), b["copies"].to_numpy()
         j, i = np.nonzero((ub @ ua.T >= threshold) & (nb[:, None] != na[None, :]))
