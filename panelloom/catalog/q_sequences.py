@@ -11,6 +11,7 @@ from panelloom.catalog.q_aggregates import SIG, signatures
 from panelloom.catalog.registry import query, sql
 from panelloom.functions import arrays as A
 from panelloom.functions.curves import yearly_curve
+from panelloom.functions.nullsafe import percent_of
 from panelloom.operators import encode as N
 from panelloom.operators import horizon as H
 from panelloom.operators import ranks as R
@@ -85,7 +86,7 @@ def win_rank_average(spark, sf):
 def win_percentile_position(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     steps = R.cumulate(o, [], "o_totalprice").select(
-        "o_totalprice", F.bround(F.lit(100.0) * (F.col("n_below") + F.col("n")) / F.col("n_total"), 1).alias("position"))
+        "o_totalprice", percent_of(F.col("n_below") + F.col("n"), F.col("n_total")).alias("position"))
     return o.join(steps, "o_totalprice").select("o_orderkey", "position")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom import spec as S
-from panelloom.functions.nullsafe import clip, ratio_nonzero
+from panelloom.functions.nullsafe import clip, percent_of, ratio_nonzero
 from panelloom.operators.reshape import lengthen, widen
 
 # Strip width and the control forest's plot, in metres.
@@ -89,8 +89,7 @@ def percentile_positions(values: DataFrame, reference: DataFrame) -> DataFrame:
         values.where(F.col("value").isNotNull()).select("target", F.col("value").cast("double").alias("value"), F.lit(0).alias("ref"))
     )
     steps = cumulate(merged, ["target"], "value", {"ref": F.col("ref")}).where(F.col("ref_total") > 0)
-    share = steps.select("target", "value", F.bround(
-        F.lit(100.0) * (F.col("ref_below") + F.col("ref")) / F.col("ref_total"), 1).alias("percentile"))
+    share = steps.select("target", "value", percent_of(F.col("ref_below") + F.col("ref"), F.col("ref_total")).alias("percentile"))
     return values.withColumn("value", F.col("value").cast("double")).join(share, ["target", "value"])
 
 
