@@ -13,7 +13,7 @@ from panelloom.operators.encode import apply_encoding
 from panelloom.operators.metrics import fold_summary, regression_metrics
 from panelloom.operators.prepare import climate_guard, first_per_key
 from panelloom.operators.split import group_folds
-from panelloom.session import materialize
+from panelloom.session import materialize, spread
 
 # Fixed values.
 FEATURES = ["latitude", "longitude", "main_crop", "Harvest_Year_Absolute"]
@@ -56,7 +56,7 @@ def validate(rows: DataFrame, variables: Sequence[str] = tuple(S.CLIMATE), k: in
 
 def predict_sites(sites: DataFrame, models: dict[str, B.Model], n_years: int = S.N_YEARS) -> DataFrame:
     """All years of every site in one pass, then the physical guard."""
-    rows = sites.withColumn("Harvest_Year_Absolute", F.explode(F.sequence(F.lit(1), F.lit(n_years))))
-    for v, model in models.items():
-        rows = B.predict(model, rows, v)
+    # Sites come in few files; the rows multiply in the explode and again in the trees.
+    rows = spread(sites).withColumn("Harvest_Year_Absolute", F.explode(F.sequence(F.lit(1), F.lit(n_years))))
+    rows = B.predict_side_by_side(models, rows)
     return climate_guard(rows)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from panelloom.models import boosting as B
+from panelloom.models import climate as K
 
 
 def test_one_partition_is_spread_in_blocks(spark, monkeypatch):
@@ -35,3 +36,15 @@ def test_split_search_over_many_histograms_at_once():
     hists[3] = 0
     together = B.best_splits(hists, B.Boost(least_rows=20))
     assert together == [B.best_splits(h[None], B.Boost(least_rows=20))[0] for h in hists] and together[3] is None
+
+
+def test_sites_are_spread_before_their_years_and_scored_in_one_pass(spark):
+    rng = np.random.default_rng(7)
+    fields = "SimID long, latitude double, longitude double, main_crop double"
+    sites = spark.createDataFrame([(i, float(rng.integers(40, 50)), float(rng.integers(0, 9)), None if i % 9 == 0 else 1.0) for i in range(60)], fields).coalesce(1)
+    rows = spark.createDataFrame([(*map(float, r),) for r in rng.integers(0, 50, (200, 5))], "latitude double, longitude double, main_crop double, Harvest_Year_Absolute double, y double")
+    models = {v: B.fit(rows, [B.Job(v, "d", K.FEATURES, B.Boost(trees=2, depth=2, seed=i))], "y")[v] for i, v in enumerate(("GDD_cycle_AF", "ETP_cycle_AF"))}
+    out = K.predict_sites(sites, models, 5)
+    assert out.count() == 300 and out.rdd.getNumPartitions() > 1
+    one = B.predict(models["ETP_cycle_AF"], out, "again").toPandas()
+    assert one["again"].clip(lower=0).to_numpy() == pytest.approx(one["ETP_cycle_AF"].to_numpy())
