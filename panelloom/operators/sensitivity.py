@@ -214,6 +214,37 @@ def frequencies(n: int = FREQUENCIES, seed: int = 42) -> np.ndarray:
     return np.array([NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9)) for p in place])
 
 
+def map_sums(scaled: dict[str, np.ndarray], pairs: Sequence[tuple[str, str]], waves: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums of the feature maps of a block's columns, the row count last, and, by the pair's number, of their products.
+
+    A column of few different values is mapped once per value, and its products come from counts or sums by value; the sums are the same.
+    """
+    n = len(next(iter(scaled.values())))
+    maps, place, out = {}, {}, {}
+    for c, x in scaled.items():
+        values, at = np.unique(x, return_inverse=True)
+        if 4 * len(values) <= n:
+            x, place[c] = values, at
+        phase = x[:, None] * waves
+        maps[c] = np.concatenate([np.cos(phase), np.sin(phase)], 1)
+        whole = np.bincount(place[c], minlength=len(x)) @ maps[c] if c in place else maps[c].sum(0)
+        out[c] = np.concatenate([whole, [n]])
+
+    def by_value(few: str, other: str) -> np.ndarray:
+        if other in place:
+            size = len(maps[few]), len(maps[other])
+            return np.bincount(place[few] * size[1] + place[other], minlength=size[0] * size[1]).reshape(size).astype(float) @ maps[other]
+        order = np.argsort(place[few], kind="stable")
+        return np.add.reduceat(maps[other][order], np.searchsorted(place[few][order], np.arange(len(maps[few]))))
+
+    for i, (a, b) in enumerate(pairs):
+        if a in place:
+            out[str(i)] = maps[a].T @ by_value(a, b)
+        else:
+            out[str(i)] = (maps[b].T @ by_value(b, a)).T if b in place else maps[a].T @ maps[b]
+    return out
+
+
 def hsic_whole(df: DataFrame, features: Sequence[str], targets: Sequence[str], slices: Sequence[str] = (), n: int = FREQUENCIES, seed: int = 42) -> DataFrame:
     """(slices, feature, target, n_obs, hsic) over all complete rows of every slice, without any sample.
 
@@ -244,14 +275,8 @@ def hsic_whole(df: DataFrame, features: Sequence[str], targets: Sequence[str], s
                 sums = held.setdefault(name, {})
                 for at in range(0, len(part), 2048):
                     block = part.iloc[at : at + 2048]
-                    maps = {}
-                    for c in columns:
-                        phase = (block[c] / block[f"_s_{c}"]).to_numpy()[:, None] * waves
-                        maps[c] = np.concatenate([np.cos(phase), np.sin(phase)], 1)
-                        own = np.concatenate([maps[c].sum(0), [len(block)]])
-                        sums[c] = sums.get(c, 0) + own
-                    for i, (a, b) in enumerate(pairs):
-                        sums[str(i)] = sums.get(str(i), 0) + maps[a].T @ maps[b]
+                    for k, v in map_sums({c: (block[c] / block[f"_s_{c}"]).to_numpy() for c in columns}, pairs, waves).items():
+                        sums[k] = sums.get(k, 0) + v
             if len(held) > HELD_SLICES:
                 yield from send(held)
                 held = {}
