@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -309,14 +310,14 @@ def hsic_whole(df: DataFrame, features: Sequence[str], targets: Sequence[str], s
 
 def hsic_indices(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str],
                  slices: Sequence[str] = (), n_boot: int = 100, boot_size: int = 500, seed: int = 42,
-                 written: bool = False) -> DataFrame:
+                 written: bool = False, sigmas: DataFrame | None = None) -> DataFrame:
     """Bootstrap summary per (slice, feature, target); all slices are one grouped job.
 
-    ``written`` says that ``df`` is already a stored table of complete rows.
+    ``written`` says that ``df`` is already a stored table of complete rows; ``sigmas`` are its bandwidths if they are known.
     """
     columns = list(dict.fromkeys([*features, *targets]))
     rows = df if written else materialize(df.select(*slices, key, *columns).na.drop(subset=columns))
-    sigmas = bandwidths(rows, slices, columns)
+    sigmas = bandwidths(rows, slices, columns) if sigmas is None else sigmas
     samples = bootstrap_samples(rows, slices, key, n_boot, boot_size, seed)
     values = hsic_values(samples, sigmas, slices, features, targets)
     return order_by_best(boot_summary(values, [*slices, "feature", "target"], "hsic"), slices)
@@ -329,6 +330,15 @@ def hsic_by_period(df: DataFrame, entity: str, period: str, category: str, featu
 
     The dominant category is chosen before rows are reduced to one per entity.
     """
+    one = materialize(_entity_rows(df, entity, period, category, features, targets, mode, ids).na.drop(subset=[*features, *targets]))
+    slices = [period, "crop_name"]
+    kept, enough = _large_slices(one, slices, min_obs)
+    return hsic_indices(kept, entity, features, targets, slices, n_boot, boot_size, seed, written=True).join(enough, slices)
+
+
+def _entity_rows(df: DataFrame, entity: str, period: str, category: str, features: Sequence[str], targets: Sequence[str], mode: str = "all",
+                 ids: DataFrame | None = None) -> DataFrame:
+    """One row per (period, crop_name, entity), incomplete ones too."""
     if mode not in ("all", "dominant", "per_crop"):
         raise ValueError(f"unknown mode {mode!r}")
     df = df.where(F.col(period).isNotNull())
@@ -340,14 +350,15 @@ def hsic_by_period(df: DataFrame, entity: str, period: str, category: str, featu
     if mode == "per_crop":
         df = df.where(F.col(category).isNotNull())
     label = F.lit("all") if mode == "all" else F.col(category)
-    slices = [period, "crop_name"]
-    one = df.withColumn("crop_name", label).groupBy(*slices, entity).agg(
+    return df.withColumn("crop_name", label).groupBy(period, "crop_name", entity).agg(
         *[first_value(f, [category, f]).alias(f) for f in features], *[F.avg(t).alias(t) for t in targets]
-    ).na.drop(subset=[*features, *targets])
-    one = materialize(one)
-    enough = one.groupBy(*slices).agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
-    kept = one.join(enough.drop("n_obs"), slices, "left_semi")
-    return hsic_indices(kept, entity, features, targets, slices, n_boot, boot_size, seed, written=True).join(enough, slices)
+    )
+
+
+def _large_slices(rows: DataFrame, slices: list[str], min_obs: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of slices with ``min_obs`` rows at least, and those slices with ``n_obs``."""
+    enough = rows.groupBy(*slices).agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
+    return rows.join(enough.drop("n_obs"), slices, "left_semi"), enough
 
 
 def top_features(indices: DataFrame, n: int) -> DataFrame:
@@ -365,11 +376,20 @@ def warm_start(df: DataFrame, entity: str, period: str, category: str, numeric:
     The requested ``top_n`` is honoured.
     """
     features = [*numeric, *categorical]
-    options = dict(min_obs=min_obs, boot_size=boot_size, seed=seed)
-    cheap = hsic_by_period(df, entity, period, category, features, targets, n_boot=cheap_boot, **options)
-    ranked = top_features(cheap.where(F.col("feature").isin(list(numeric))), top_n)
+    slices, columns = [period, "crop_name"], [*features, *targets]
+    incomplete = reduce(Column.__or__, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in columns])
+    # Both runs read one table; where no row lacks a value they see the same rows, hence the same bandwidths.
+    one, seen = materialize_counted(_entity_rows(df, entity, period, category, features, targets), gaps=F.count_if(F.coalesce(incomplete, F.lit(False))))
+    sigmas = None if seen["gaps"] else materialize(bandwidths(_large_slices(one, slices, min_obs)[0], slices, columns))
+
+    def run(used: list[str], boots: int) -> DataFrame:
+        rows = materialize(one.na.drop(subset=[*used, *targets])) if seen["gaps"] else one
+        kept, enough = _large_slices(rows, slices, min_obs)
+        return hsic_indices(kept, entity, used, targets, slices, boots, boot_size, seed, written=True, sigmas=sigmas).join(enough, slices)
+
+    ranked = top_features(run(features, cheap_boot).where(F.col("feature").isin(list(numeric))), top_n)
     best = [r["feature"] for r in ranked.collect()]  # at most top_n names
-    return hsic_by_period(df, entity, period, category, [*best, *categorical], targets, n_boot=n_boot, **options)
+    return run([*best, *categorical], n_boot)
 
 
 # --- rank correlation ------------------------------------------------------
