@@ -170,11 +170,11 @@ def fit_stage2(panel: DataFrame, splits: DataFrame, o: B.Boost | None = None, fo
     final = {t: fitted[f"{t}|None"] for t in fits}
     test = B.predict(final, rows.where(F.col("split") == "test").where(F.col("target").isin(fits)), "_raw", "target")
     found = E.regression_metrics(test.withColumn("predicted", clip("_raw", 0)), "truth", "predicted", ["target"])
-    asked = rows.where(F.col("split") == "train").where(F.col("target").isin(fits)).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    scored = B.predict({k: m for k, m in fitted.items() if not k.endswith("None")}, asked.withColumn("_key", F.concat_ws("|", "target", F.col("held").cast("string"))), "predicted", "_key")
-    by_fold = E.regression_metrics(scored.withColumn("_val", F.col("fold") == F.col("held")), "truth", "predicted", ["target", "held", "_val"])
-    val = by_fold.where("_val").select("target", F.col("held").alias("fold"), "n", F.col("r2").alias("r2_val"), "rmse", "mae")
-    cv = val.join(by_fold.where("not _val").select("target", F.col("held").alias("fold"), F.col("r2").alias("r2_train")), ["target", "fold"])
+    folded = {k: m for k, m in fitted.items() if not k.endswith("|None")}
+    held = {j.name: (j.data, j.held) for j in jobs}
+    by_fold = B.fold_metrics(folded, held, rows.where("split = 'train'"), "truth", "fold", "target")
+    names = F.split("model", r"\|")
+    cv = by_fold.select(F.get(names, F.lit(0)).alias("target"), F.get(names, F.lit(1)).cast("int").alias("fold"), "n", "r2_val", "rmse", "mae", "r2_train")
     models = {t: (m, present[t]) for t, m in final.items()}
     return models, joined(report, found.withColumn("skipped", F.lit(False))), cv, B.importances(final, spark).withColumnRenamed("model", "target")
 
