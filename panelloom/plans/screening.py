@@ -11,7 +11,7 @@ from panelloom.operators import plan_filter as K
 from panelloom.operators.encode import apply_encoding, fit_encoding
 from panelloom.operators.prepare import geographic_rule
 from panelloom.plans.training import Limits, classifier_table, minority_count
-from panelloom.session import freeze
+from panelloom.session import freeze, spread
 
 TREE_FEATURES = S.prefilter_features(S.TREE_CLASSIFIER_FEATURES)
 YIELD_FEATURES = S.prefilter_features(S.YIELD_CLASSIFIER_FEATURES)
@@ -33,8 +33,11 @@ def fit(panel: DataFrame, limits: Limits | None = None, o: M.TreeOptions | None
 
 
 def screen(plan: DataFrame, models: dict, **decision) -> DataFrame:
-    """Annotated plan; both classifiers see every row."""
-    rows = apply_encoding(plan.withColumn("_crop", F.col("main_crop")), models["encoding"], ["main_crop"])
+    """Annotated plan; both classifiers see every row.
+
+    A plan comes from few and small files, so its rows are spread over the tasks before they are scored.
+    """
+    rows = apply_encoding(spread(plan).withColumn("_crop", F.col("main_crop")), models["encoding"], ["main_crop"])
     rows = M.classify(models["tree"], rows, models["tree_features"], "_p_ok", "_tree")
     p_fail, geo = None, None
     if models["yield"] is not None:
