@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom.functions.nullsafe import first_value
 from panelloom.spec import PanelSpec
@@ -49,9 +50,13 @@ def attribution_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     Both values sit in one row, so no join on a row number is needed; a
     feature value that is not a number becomes NULL.
     """
+    def number(f: str):
+        # The text of a double or an integer names the same number.
+        exact = isinstance(df.schema[f].dataType, (T.DoubleType, T.IntegralType))
+        return F.col(f).cast("double") if exact else F.col(f).cast("string").try_cast("double")
+
     pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"{prefix}{f}").cast("double").alias("shap_value"),
-                 F.col(f).cast("string").try_cast("double").alias("feature_value"))
+        F.struct(F.lit(f).alias("feature"), F.col(f"{prefix}{f}").cast("double").alias("shap_value"), number(f).alias("feature_value"))
         for f in features
     ])
     return df.select(*keys, F.explode(pairs).alias("s")).select(*keys, "s.*")
