@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,88 @@ def inference_grid(yearly: DataFrame, statics: Sequence[str] = tuple(S.STATIC_FE
     return horizon_features(yearly, YEARLY, sum_vars, mean_vars, statics, horizons=horizons, prepared=True, **options)
 
 
+def _running(values: np.ndarray, given: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Count, sum and summed squares of the given values up to each place, and those of ``x`` and of the products with it, around their means.
+
+    [place, row]; one value after the other by Welford's rule, as Spark's aggregates go, so that equal values have no spread at all.
+    """
+    out = np.zeros((5, *values.shape))
+    c, s, a, q, ax, qx, qy = np.zeros((7, values.shape[1]))
+    for t in range(len(values)):
+        ok = given[t]
+        c = c + ok
+        v = np.where(ok, values[t], 0.0)
+        d = np.where(ok, v - a, 0.0)
+        s, a = s + v, a + d / np.maximum(c, 1)
+        q = q + d * np.where(ok, v - a, 0.0)
+        dx = np.where(ok, x[t] - ax, 0.0)
+        ax = ax + dx / np.maximum(c, 1)
+        qx, qy = qx + dx * np.where(ok, x[t] - ax, 0.0), qy + dx * np.where(ok, v - a, 0.0)
+        out[:, t] = c, s, q, qx, qy
+    return out
+
+
+def grid_of_arrays(scenarios: DataFrame, statics: Sequence[str] = tuple(S.STATIC_FEATURES_B2), sum_vars: Sequence[str] = tuple(S.CLIMATE_SUM),
+                   mean_vars: Sequence[str] = tuple(S.CLIMATE_MEAN), horizons: Sequence[int] = tuple(S.HORIZONS), enrich_after: int = S.ENRICH_AFTER,
+                   recent: int = S.RECENT_WINDOW) -> DataFrame:
+    """``inference_grid`` of scenarios that carry every climate variable as an array of yearly doubles.
+
+    Running sums over the years give all horizons of a batch of scenarios at once, so no yearly row is made, copied by horizon, sorted or grouped. The
+    features are those of ``horizon_features`` (a test compares them); a horizon beyond the array takes all of it.
+    """
+    variables = [*sum_vars, *mean_vars]
+    spark_type = {f.name: f.dataType.simpleString() for f in scenarios.schema.fields}
+    parts = [(k, v) for v in variables for k in ("cum" if v in sum_vars else "mean", "std", "p10", "p90", "trend", "recent_mean")]
+    features = [f"{v}_{k}" for k, v in parts]
+    schema = f"scenario_id {spark_type['scenario_id']}, horizon int, " + ", ".join([*(f"`{c}` {spark_type[c]}" for c in statics), *(f"`{f}` double" for f in features)])
+
+    def quantile(ordered: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+        at = p * np.maximum(n - 1, 0)
+        lo, hi, row = np.floor(at).astype(int), np.ceil(at).astype(int), np.arange(len(n))
+        low, high = ordered[lo, row], ordered[hi, row]
+        return np.where((lo == hi) | (low == high), low, (hi - at) * low + (at - lo) * high)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            out: dict[int, dict[tuple[str, str], np.ma.MaskedArray]] = {h: {} for h in horizons}
+            seen = {h: np.zeros(rows) for h in horizons}
+            for v in variables:
+                lists = batch.column(v)
+                flat = lists.flatten()
+                given = np.ascontiguousarray(~flat.is_null().to_numpy(zero_copy_only=False).reshape(rows, -1).T)
+                values = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(rows, -1).T)
+                years = len(values)
+                n, total, m2, xx, xy = _running(values, given, np.arange(1.0, years + 1))
+                for h in horizons:
+                    last, own = min(h, years) - 1, out[h]
+                    c = n[last]
+                    seen[h] += c
+                    none, nothing = c == 0, np.full(rows, np.nan)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        own["cum" if v in sum_vars else "mean", v] = np.ma.array(total[last] if v in sum_vars else total[last] / c, mask=none)
+                        own["std", v] = np.ma.array(np.sqrt(m2[last] / c), mask=none)
+                        if h <= enrich_after:
+                            own |= {(k, v): np.ma.array(nothing, mask=True) for k in ("p10", "p90", "trend", "recent_mean")}
+                            continue
+                        ordered = np.sort(np.where(given[: last + 1], values[: last + 1], np.nan), 0)  # missing last
+                        own["p10", v], own["p90", v] = (np.ma.array(quantile(ordered, c, p), mask=none) for p in (0.1, 0.9))
+                        own["trend", v] = np.ma.array(xy[last] / xx[last], mask=xx[last] == 0)
+                        part = slice(max(h - recent, 0), last + 1)
+                        late = given[part].sum(0)
+                        sums = np.cumsum(np.where(given[part], values[part], 0.0), 0)[-1] if late.any() else np.zeros(rows)
+                        own["recent_mean", v] = np.ma.array(sums / late, mask=late == 0)
+            for h in horizons:
+                at = pa.array(np.flatnonzero(seen[h] > 0))
+                columns = [batch.column("scenario_id"), pa.array(np.full(rows, h, np.int32)), *(batch.column(c) for c in statics)]
+                columns += [pa.array(np.ascontiguousarray(out[h][p].data), pa.float64(), mask=np.ma.getmaskarray(out[h][p])) for p in parts]
+                yield pa.RecordBatch.from_arrays(columns, ["scenario_id", "horizon", *statics, *features]).take(at)
+
+    return scenarios.select("scenario_id", *statics, *variables).mapInArrow(run, schema)
+
+
 def route(scenarios: DataFrame, p_ok: str = "p_ok", p_fail: str | None = "p_fail",
           latitude: str = "latitude") -> DataFrame:
     """tree_status, yield_failed, population, branch.  Without a yield score the

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from panelloom import spec as S
 from panelloom.functions import arrays as A
+from panelloom.functions.nullsafe import clip
+from panelloom.models import boosting as B
 from panelloom.models import tabular as M
 from panelloom.operators import inference as I
 from panelloom.operators.encode import apply_encoding
 from panelloom.operators.scenario import sweep_grid
 from panelloom.plans.training import FIELD
-from panelloom.session import materialize
+from panelloom.session import materialize, spread
 
 
 def required_statics(trained: dict[str, object]) -> list[str]:
@@ -67,9 +69,14 @@ def stage1_knots(scenarios: DataFrame, trained: dict[str, object]) -> DataFrame:
         kind = scenarios.schema["scenario_id"].dataType.simpleString()
         return spark.createDataFrame([], f"scenario_id {kind}, target string, horizon int, value double")
     statics = [c for c in S.STATIC_FEATURES_B2 if c in scenarios.columns]
-    yearly = I.yearly_rows(scenarios.select("scenario_id", *statics, *S.CLIMATE))
     # Written once: every model reads only its own horizon and features.
-    grid = materialize(I.inference_grid(yearly, statics, horizons=sorted({h for _, h in models})))
+    grid = materialize(I.grid_of_arrays(spread(scenarios, "scenario_id"), statics, horizons=sorted({h for _, h in models})))
+    if all(isinstance(m, B.Model) for m, _ in models.values()):
+        # All boosted models score in one pass, a copy of the row for each target.
+        named = {f"{t}|{h}": m for (t, h), (m, _) in models.items()}
+        rows = grid.withColumn("target", F.explode(F.array(*[F.lit(t) for t in sorted({t for t, _ in models})])))
+        rows = rows.withColumn("_key", F.concat_ws("|", "target", F.col("horizon").cast("string"))).where(F.col("_key").isin(list(named)))
+        return B.predict(named, rows, "_log", "_key").select("scenario_id", "target", "horizon", clip(F.expm1("_log"), 0).alias("value"))
 
     def one(target: str, horizon: int) -> DataFrame:
         model, features = models[(target, horizon)]
@@ -87,6 +94,8 @@ def predict(scenarios: DataFrame, trained: dict[str, object]) -> tuple[DataFrame
     for every year of every runnable scenario.
     """
     runnable, rejects = I.split_invalid(scenarios, required_statics(trained))
+    # Scenarios come from few and small files: they are spread before the classifiers see them.
+    runnable = spread(runnable, "scenario_id")
     categories = [c for c in S.CATEGORICAL_B2 if c in scenarios.columns]
     p_fail = None if trained["yield_classifier"] is None else "p_fail"
     # The medians are keyed by crop name, the regressors read codes: rows carry both.
@@ -100,6 +109,10 @@ def predict(scenarios: DataFrame, trained: dict[str, object]) -> tuple[DataFrame
     def stage2(rows: DataFrame) -> DataFrame:
         given = rows.columns
         rows = as_codes(rows).withColumns({c: F.col("year").cast("double") for c in S.TEMPORAL})
+        boosted = {f"{t}_raw": pair[0] for t, pair in trained["stage2"].items() if isinstance(pair[0], B.Model)}
+        if len(boosted) == 2:  # both in one pass
+            rows = B.predict_side_by_side(boosted, rows)
+            return rows.select(*given, *[clip(F.col(c), 0).alias(c) for c in ("yield_AF_raw", "yield_TA_raw")])
         for target in ("yield_AF", "yield_TA"):
             if target not in trained["stage2"]:  # too few rows in training
                 rows = rows.withColumn(f"{target}_raw", F.lit(0.0))
