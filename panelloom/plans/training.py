@@ -224,7 +224,8 @@ def run(raw: DataFrame, excluded: tuple[str, ...] = (), limits: Limits | None =
     category names for the stunted medians.
     """
     limits = limits or Limits()
-    panel = freeze(P.prepare_panel(raw, excluded))
+    # Written by column: later steps read few of them, and a checkpoint would compute its rows twice.
+    panel = materialize(P.prepare_panel(raw, excluded))
     labelled = freeze(C.populations(health(panel, limits), limits.tree_fail, limits.tree_stunt, limits.yield_fail_rate))
     nominal = C.keep_population(panel, labelled, FIELD).drop("population", "population_binary")
     strata = G.signatures(nominal, "SimID", "Crop_Name")
@@ -232,7 +233,7 @@ def run(raw: DataFrame, excluded: tuple[str, ...] = (), limits: Limits | None =
     train = P.keep_ids(nominal, splits.where("split = 'train'"), "SimID")
     encoding = freeze(fit_encoding(train, S.CATEGORICAL_B2))
     bounds = freeze(Q.winsor_fit(train, S.STOCK_TARGETS))
-    clipped = freeze(Q.winsor_apply(apply_encoding(nominal, encoding, S.CATEGORICAL_B2), bounds))
+    clipped = materialize(Q.winsor_apply(apply_encoding(nominal, encoding, S.CATEGORICAL_B2), bounds))
     grown = P.keep_ids(clipped, labelled.where(F.col("final_stock") >= limits.tree_stunt), "SimID")
     entities = freeze(classifier_table(panel, limits, list(dict.fromkeys(S.TREE_CLASSIFIER_FEATURES + S.YIELD_CLASSIFIER_FEATURES))))
     table, clf_encoding = encoded_on_train(entities)
