@@ -194,12 +194,13 @@ def curve_arrays(knots: DataFrame, n_years: int = S.N_YEARS) -> DataFrame:
 
 
 def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: DataFrame,
-            stage2: Callable[[DataFrame], DataFrame], climate: Sequence[str] = (), n_years: int = S.N_YEARS) -> DataFrame:
+            stage2: Callable[[DataFrame], DataFrame], climate: Sequence[str] = (), n_years: int = S.N_YEARS, by_arrays: bool = False) -> DataFrame:
     """Yearly rows with all four targets.
 
     ``routed``: one row per scenario with routing columns, features and ``climate`` arrays.
     ``knots``: (scenario_id, target, horizon, value) of the stage-1 models.
-    ``stage2`` adds ``yield_AF_raw`` and ``yield_TA_raw`` to rows that carry ``carbonStem_AF``.
+    ``stage2`` adds ``yield_AF_raw`` and ``yield_TA_raw`` to rows that carry ``carbonStem_AF``; with ``by_arrays`` it adds them as yearly arrays to
+    one row per scenario, and the climate ends there.
     Curves join as arrays at scenario grain and the years are exploded last, so
     yearly rows are never shuffled.  The four branches are disjoint conditions over
     one table; every scenario gets all four targets, also on full failure.
@@ -221,10 +222,12 @@ def cascade(routed: DataFrame, knots: DataFrame, medians: DataFrame, profile: Da
     }).drop("_carbonStem_AF", "_carbonStem_TF", "_ratios", "stunted_final")
     rest = [c for c in rows.columns if c not in (*climate, *STOCKS)]
     series = [*climate, *STOCKS]
+    if by_arrays:
+        rows, series = stage2(rows), [*STOCKS, "yield_AF_raw", "yield_TA_raw"]
     yearly = rows.select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in series])).alias("_i", "_z")).select(
         *rest, (F.col("_i") + 1).cast("bigint").alias("year"), *[F.col(f"_z.{c}").alias(c) for c in series])
     failed = F.col("yield_failed") == 1
-    return stage2(yearly).withColumns({
+    return (yearly if by_arrays else stage2(yearly)).withColumns({
         t: F.when(failed, 0.0).otherwise(clip(f"{t}_raw", 0)) for t in ("yield_AF", "yield_TA")})
 
 

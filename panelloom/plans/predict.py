@@ -109,10 +109,6 @@ def predict(scenarios: DataFrame, trained: dict[str, object]) -> tuple[DataFrame
     def stage2(rows: DataFrame) -> DataFrame:
         given = rows.columns
         rows = as_codes(rows).withColumns({c: F.col("year").cast("double") for c in S.TEMPORAL})
-        boosted = {f"{t}_raw": pair[0] for t, pair in trained["stage2"].items() if isinstance(pair[0], B.Model)}
-        if len(boosted) == 2:  # both in one pass
-            rows = B.predict_side_by_side(boosted, rows)
-            return rows.select(*given, *[clip(F.col(c), 0).alias(c) for c in ("yield_AF_raw", "yield_TA_raw")])
         for target in ("yield_AF", "yield_TA"):
             if target not in trained["stage2"]:  # too few rows in training
                 rows = rows.withColumn(f"{target}_raw", F.lit(0.0))
@@ -121,9 +117,16 @@ def predict(scenarios: DataFrame, trained: dict[str, object]) -> tuple[DataFrame
             rows = M.predict(model, _with_inputs(rows, features), features, f"{target}_raw", nonnegative=True)
         return rows.select(*given, "yield_AF_raw", "yield_TA_raw")
 
+    boosted = {f"{t}_raw": pair[0] for t, pair in trained["stage2"].items() if isinstance(pair[0], B.Model)}
+
+    def stage2_arrays(rows: DataFrame) -> DataFrame:
+        """Both boosted models in one pass over the scenarios, no yearly row sent to them."""
+        found = B.predict_by_year(boosted, as_codes(rows), [*S.CLIMATE, *I.STOCKS], S.TEMPORAL, S.N_YEARS)
+        return found.select(*rows.columns, *boosted)
+
     knots = stage1_knots(as_codes(routed.where("branch = 'model'")), trained)
     profile = trained["stunted_profile"].withColumnRenamed(FIELD.period, "period")
-    rows = I.cascade(routed, knots, trained["stunted_medians"], profile, stage2, tuple(S.CLIMATE))
+    rows = I.cascade(routed, knots, trained["stunted_medians"], profile, stage2_arrays if len(boosted) == 2 else stage2, tuple(S.CLIMATE), by_arrays=len(boosted) == 2)
     return I.format_output(rows), rejects
 
 

@@ -53,3 +53,29 @@ def test_boosted_knots_in_one_pass(spark, scenarios):
             assert found[r["scenario_id"], target, h] == pytest.approx(r["v"])
     # No union of a scan by model: the written grid is read once.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_yearly_scores_of_arrays_equal_scores_of_rows(spark, scenarios):
+    features = ["Harvest_Year_Absolute", "sand", "ETP_cycle_AF", "frost_events_cycle_AF", "main_crop", "absent"]
+    yearly = I.yearly_rows(scenarios).withColumns({"Harvest_Year_Absolute": F.col("year").cast("double"), "absent": F.col("sand") % 3})
+    rows = yearly.withColumn("y", F.col("sand") / 10 + F.coalesce(F.col("ETP_cycle_AF"), F.lit(30.0)) + F.col("year") / 4)
+    models = {k: B.fit(rows, [B.Job(k, "rows", fs, B.Boost(6, 4))], "y")[k] for k, fs in (("a", features), ("b", features[:3]))}
+    plain = B.predict_side_by_side(models, yearly.drop("absent")).select("scenario_id", "year", "a", "b")
+    arrays = B.predict_by_year(models, scenarios, S.CLIMATE, S.TEMPORAL, S.N_YEARS).select("scenario_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z"))
+    want, found = (sorted(map(tuple, df.collect())) for df in (plain, arrays.select("scenario_id", (F.col("i") + 1).alias("year"), "z.a", "z.b")))
+    assert found == want and len(want) == 2400
+
+
+def test_cascade_by_arrays_equals_cascade_by_rows(spark, scenarios):
+    routed = scenarios.select("scenario_id", "GDD_cycle_AF", F.when(F.col("scenario_id") % 3 > 0, "model").otherwise("stunted").alias("branch"), F.lit("maize").alias("main_crop"),
+                              (F.col("scenario_id") % 4 == 0).cast("int").alias("yield_failed"))
+    knots = scenarios.select("scenario_id", F.explode(F.array(F.lit(10), F.lit(40))).alias("horizon")).select(
+        "scenario_id", F.lit("carbonStem_AF").alias("target"), "horizon", (F.col("horizon") + F.col("scenario_id")).cast("double").alias("value"))
+    medians = spark.createDataFrame([("maize", 6.0)], "crop string, median double")
+    profile = spark.createDataFrame([(1, 0.1), (40, 1.0)], "period long, profile double")
+    by_rows = I.cascade(routed, knots, medians, profile, lambda r: r.withColumns({"yield_AF_raw": F.col("carbonStem_AF") - 20, "yield_TA_raw": F.col("GDD_cycle_AF") / 9}), ["GDD_cycle_AF"])
+    by_arrays = I.cascade(routed, knots, medians, profile, lambda r: r.withColumns({
+        "yield_AF_raw": F.transform("carbonStem_AF", lambda x: x - 20), "yield_TA_raw": F.transform("GDD_cycle_AF", lambda x: x / 9)}), ["GDD_cycle_AF"], by_arrays=True)
+    kept = ["scenario_id", "year", *S.CURVE_TARGETS]
+    want, found = (sorted(map(tuple, df.select(kept).collect())) for df in (by_rows, by_arrays))
+    assert found == want and len(want) == 2400
