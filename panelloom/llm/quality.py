@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelloom.llm.common import utf8
+from panelloom.llm.common import byte_slices, utf8
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "space", "newline", "non_ascii", "punctuation", "exclaim", "symbol", "bar",
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")  # bounded by max_rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             x = np.array([statistics(t) for t in utf8(batch.column("text"))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("y"), *x.T], ["y", *FEATURES])
 
@@ -146,7 +146,7 @@ def score(docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
     names = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             x = np.array([statistics(t) for t in utf8(batch.column("text"))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(forest.score(x), pa.float64())], [*names, column])
 

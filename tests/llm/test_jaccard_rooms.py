@@ -24,3 +24,12 @@ def test_settled_postings_are_not_open(spark):
     assert ngram_join._open_pairs(held, sets, 4, 85, path).count() == 0
     assert spark.read.parquet(path).count() == 0
     drop_written(spark, path)
+
+
+def test_no_whole_set_is_kept(spark):
+    """What is fetched of a class is its text and its prefixes, which hold a fifth of its shingles here."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(404)))], "doc_id long, text string")
+    asked = docs.select(F.lit(7).cast("long").alias("node"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_md5"))
+    row = ngram_join._fetch(docs, asked, 5, 80, ngram_join.word_sketches(docs)).first().asDict()
+    assert row.pop("node") == 7 and row.pop("text").startswith("w0 w1 ")
+    assert set(row) == {"p0", "p1"} and all(len(p) == 81 for p in row.values())
